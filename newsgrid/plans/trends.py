@@ -58,7 +58,7 @@ def facet_counts(articles: DataFrame, ts: str = "published_at", row_id: str = "a
         for facet, field in (("person", "persons"), ("org", "orgs"), ("place", "places")):
             parts.append(_facets(facet, F.col(f"entities.{field}")))
     wide = "decimal(38,0)"
-    newest = (F.unix_micros(ts).cast(wide) * F.lit(10 ** 19).cast("decimal(20,0)")
+    newest = (F.unix_micros(ts).cast(wide) * F.lit(str(10 ** 19)).cast("decimal(20,0)")
               + F.col(row_id).cast(wide)).cast(wide)
     rows = articles.select(newest.alias("_at"), F.explode(F.concat(*parts)).alias("_f"))
     within = F.lit(999) - F.least(F.lit(999), F.col("_f.pos"))
