@@ -27,7 +27,7 @@ def strings(values: Iterable[str]) -> Column:
 def distinct_ignoring_case(items: Column) -> Column:
     """Keep the first spelling of each value, in order."""
     return let(items, lambda a: let(
-        F.transform(a, F.lower),
+        F.transform(a, lambda x: F.lower(x)),
         lambda low: F.filter(a, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)))
 
 
@@ -38,7 +38,7 @@ def drop_blank(items: Column) -> Column:
 def split_list(text: Column, sep: str = ",") -> Column:
     """``'a, b,,c'`` to ``[a, b, c]``: trimmed, blanks dropped."""
     parts = F.split(F.coalesce(text, F.lit("")), sep)
-    return drop_blank(F.transform(parts, F.trim))
+    return drop_blank(F.transform(parts, lambda x: F.trim(x)))
 
 
 def join_list(items: Column, sep: str = ",", max_chars: int | None = None) -> Column:

@@ -31,3 +31,9 @@ def inside(lat: Column, lng: Column, min_lat, min_lng, max_lat, max_lng) -> Colu
 def box_around(lat: Column, lng: Column, pad: float = 0.35) -> Column:
     return F.struct((lat - pad).alias("min_lat"), (lng - pad).alias("min_lng"),
                     (lat + pad).alias("max_lat"), (lng + pad).alias("max_lng"))
+
+
+def round_half_even(c: Column, digits: int) -> Column:
+    """Half-even rounding judged on the binary value, not on its decimal print."""
+    scale = float(10 ** digits)
+    return F.bround(c * F.lit(scale)) / F.lit(scale)

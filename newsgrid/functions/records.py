@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from newsgrid.functions.arrays import let
-from newsgrid.functions.numbers import clamp
+from newsgrid.functions.numbers import clamp, round_half_even
 from newsgrid.functions.text import blank_if_null
 from newsgrid.schemas import ENTITIES, INCIDENT_TYPES, SEVERITIES
 
@@ -67,7 +67,7 @@ def coerce_assessment(v: Column, fallback_title: Column, model: str) -> Column:
         .alias("summary"),
         F.substring(_text(v, "$.location_hint"), 1, 300).alias("location_hint"),
         truthy(_text(v, "$.is_followup")).alias("is_followup"),
-        F.bround(confidence, 2).alias("confidence"),
+        round_half_even(confidence, 2).alias("confidence"),
         flags.alias("flags"),
         F.lit(model).alias("model"),
         F.lit(False).alias("used_fallback")))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from newsgrid.functions.arrays import evaluate_once, let
-from newsgrid.functions.numbers import weighted_score
+from newsgrid.functions.numbers import round_half_even, weighted_score
 from newsgrid.functions.records import coerce_assessment, loose_object
 from newsgrid.functions.text import (
     blank_if_null, blank_out, contains_any, distinct_contained, matches_any, substring_total,
@@ -68,7 +68,7 @@ def classify(title: Column, body: Column, lex: IncidentLexicon) -> Column:
                            blank_out(b, lex.metaphors).alias("b")), best)
         verdict = let(top, lambda c: F.when(-c["neg"] >= CONFIDENCE_MIN, F.struct(
             c["type"].alias("type"), severity_of(full, lex).alias("severity"),
-            F.bround(-c["neg"], 2).alias("confidence"))))
+            round_half_even(-c["neg"], 2).alias("confidence"))))
         return F.when(~hard_excluded(t, lex) & (distinct_contained(full, lex.excluded) < 2),
                       verdict)
 

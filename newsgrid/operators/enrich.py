@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from newsgrid.functions.arrays import evaluate_once, head, let
-from newsgrid.functions.numbers import clamp
+from newsgrid.functions.numbers import clamp, round_half_even
 from newsgrid.functions.text import (
     blank_if_null, capitalised_spans, count_among, lower_tokens, ranked_tokens, substring_count,
     substring_total, without_words, word_hits,
@@ -105,7 +105,7 @@ def enrich_articles(df: DataFrame, lexicon: ArticleLexicon, title: str = "title"
     t = F.col("_text")
     out = evaluate_once(
         prepared,
-        sentiment_score=F.bround(sentiment_score(t, lexicon.valence, max_chars), 3),
+        sentiment_score=round_half_even(sentiment_score(t, lexicon.valence, max_chars), 3),
         bias_score=bias_score(t, F.col("_base"), lexicon.left, lexicon.right).cast("int"),
         topics=topics(t, lexicon.topics),
         keywords=keywords(t, lexicon.stop),

@@ -2,6 +2,7 @@
 
 from newsgrid.plans import (  # noqa: F401
     catalog_counts,
+    catalog_incidents,
     catalog_ingest,
     catalog_text,
 )

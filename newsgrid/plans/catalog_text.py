@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from newsgrid.functions import arrays, numbers, text as tx
@@ -220,9 +221,9 @@ def t28(spark, sf):
 SELECT doc_id, substring(text, 1, 20) || CASE WHEN b <> '' AND length(b) < 60 THEN ' — ' || b ELSE ''
          END AS title,
        substring(text, 1, 20) || CASE WHEN b <> '' THEN ' — ' || substring(b, 1, 40) ELSE '' END AS cut
-FROM (SELECT doc_id, text, trim(regexp_extract(text, '([^.\n]*)\.', 1)) AS b FROM documents)""")
+FROM (SELECT doc_id, text, trim(regexp_extract(text, '^([^.\n]*)\.', 1)) AS b FROM documents)""")
 def t29(spark, sf):
-    badge = F.regexp_extract("text", r"([^.\n]*)\.", 1)
+    badge = F.regexp_extract("text", r"^([^.\n]*)\.", 1)
     title = F.substring("text", 1, 20)
     return docs(spark, sf).select("doc_id", tx.with_level(title, badge, shorter_than=60)
                                   .alias("title"), tx.with_level(title, badge, 40).alias("cut"))
@@ -383,7 +384,7 @@ def p02(spark, sf):
     text = enrich.article_text(F.col("title"), F.col("content"))
     return articles(spark, sf).select(
         "article_id", F.array_join(arrays.head(enrich.entities(text, AW.stop)["persons"], 3), "|")
-        .alias("persons"), F.bround(F.col("bias_baseline") / 7.0, 3).alias("score"))
+        .alias("persons"), numbers.round_half_even(F.col("bias_baseline") / 7.0, 3).alias("score"))
 
 
 # -- lexicon joins ------------------------------------------------------------------
@@ -611,8 +612,6 @@ def c24(spark, sf):
 @query("v01_scorer_as_pandas_udf", with_views(_SCORED, a=ARTICLES))
 def v01(spark, sf):
     """The same scorer as an Arrow-batched Python function."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def answer(title: pd.Series, body: pd.Series) -> pd.Series:
         hit = ('{"is_incident": true, "incident_type": "police", "severity": "high", '
@@ -756,7 +755,7 @@ SELECT l_orderkey, l_linenumber, round_even(l_quantity / 8, 1) AS even, round(l_
   AS up FROM lineitem""")
 def m04(spark, sf):
     q = F.col("l_quantity") / 8
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.bround(q, 1)
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", numbers.round_half_even(q, 1)
                                                .alias("even"), F.round(q, 1).alias("up"))
 
 

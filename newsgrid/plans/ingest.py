@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from newsgrid.functions.dates import as_instant, instant
+from newsgrid.functions.numbers import round_half_even
 from newsgrid.functions.text import blank_if_null
 from newsgrid.operators.classify import (
     CONFIDENCE_MIN, CONFIDENCE_REVIEW, Scorer, gate_incidents, score_incidents,
@@ -81,7 +82,7 @@ def incident_payload(assessed: DataFrame, gazetteer: Sequence, places: DataFrame
         F.lit("unsafe").alias("status"), when.alias("incident_time"),
         p["name"].alias("location_name"), F.col("source").alias("reporter_name"),
         F.col("url").alias("source_url"), (reason != "").alias("needs_review"),
-        reason.alias("review_reason"), F.bround(i["confidence"], 2).alias("confidence"),
+        reason.alias("review_reason"), round_half_even(i["confidence"], 2).alias("confidence"),
         F.substring(i["summary"], 1, 500).alias("ai_summary"),
         F.substring(i["severity_reasoning"], 1, 500).alias("ai_severity_reasoning"),
         i["flags"].alias("ai_flags"), i["model"].alias("ai_model"),
