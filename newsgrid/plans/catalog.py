@@ -4,6 +4,7 @@ from newsgrid.plans import (  # noqa: F401
     catalog_counts,
     catalog_incidents,
     catalog_ingest,
+    catalog_pages,
     catalog_text,
 )
 from newsgrid.plans.registry import ORACLES, QUERIES

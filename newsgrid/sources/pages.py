@@ -85,7 +85,7 @@ def advisory_pages(pages: DataFrame, rules: Sequence[AdvisoryRule], as_of,
     for rule in rules:
         mine = pages.filter(F.col(issuer) == rule.issuer)
         html = F.col("html")
-        badge = F.coalesce(*[strip_tags(container_html(html, s)) for s in rule.level], F.lit(""))
+        badge = strip_tags(F.coalesce(*[container_html(html, s) for s in rule.level], F.lit("")))
         if rule.level_pattern:
             badge = F.regexp_extract(strip_tags(html), rule.level_pattern, 1)
         content = page_body(html, rule.body)
