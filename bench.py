@@ -30,10 +30,7 @@ def main() -> None:
     only = [q for q in os.environ.get("BENCH_ONLY", "").split(",") if q]
     spark = build_session("newsgrid-bench", f"local[{cpus}]", {
         "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": cpus,
-        "spark.driver.memory": "8g", "spark.log.level": "ERROR",
-        # Small local files: enough scan tasks to use every core.
-        "spark.sql.files.maxPartitionBytes": "4m",
-        "spark.sql.files.openCostInBytes": "64k"})
+        "spark.driver.memory": "8g", "spark.log.level": "ERROR"})
     # JVM and code cache warm-up, not measured.
     QUERIES["c17_source_health"](spark, sf_dir).write.format("noop").mode("overwrite").save()
     times: dict[str, float] = {}

@@ -83,39 +83,39 @@ def opening_pattern(selector: str) -> tuple[str, str]:
     return rf"(?is)<({tag})\b{need}[^>]*>", tag
 
 
+# Elements followed when a selector does not name one.
+_NESTING = ("div", "article", "main", "section", "span", "p", "h1", "h2", "td", "ul", "li")
+
+
 def container_html(html: Column, selector: str) -> Column:
     """Inner HTML of the first element a selector names; null when absent.
 
     Nested elements of the same name are followed to the matching end tag by
     folding over the start and end tags behind the opening one.
     """
-    opening, _ = opening_pattern(selector)
-    start = F.regexp_instr(html, F.lit(opening))
-    tag = F.lower(F.regexp_extract(html, opening, 1))
-    first = F.regexp_extract(html, opening, 0)
-
-    def inner(tail: Column) -> Column:
+    opening, tag = opening_pattern(selector)
+    names = _NESTING if tag == r"\w+" else (tag,)
+    # The opening tag and everything behind it, in one match.
+    found = F.regexp_extract(html, opening + "(.*)$", 0)
+
+    def inner(rest: Column) -> Column:
+        name = F.lower(F.regexp_extract(rest, r"^<(\w+)", 1)) if len(names) > 1 else F.lit(tag)
+        tail = F.regexp_replace(rest, r"^<[^>]*>", "")
         # Only tags named like the container can close it, so cut at those.
-        bits = F.split(tail, "(?i)(?=</?(?:div|article|main|section|span|p|h1|h2|td|ul|li)\\b)")
+        bits = F.split(tail, "(?i)(?=</?(?:" + "|".join(names) + r")\b)")
 
         def step(acc, bit):
-            low = F.lower(bit)
-            opens = F.startswith(low, F.concat(F.lit("<"), tag)) & F.rlike(low, F.lit(r"^<\w+[\s>/]"))
-            opens = opens & (F.regexp_extract(low, r"^<(\w+)", 1) == tag)
-            closes = F.regexp_extract(low, r"^</(\w+)", 1) == tag
-            depth = acc["depth"] + opens.cast("int") - closes.cast("int")
-            open_still = acc["depth"] > 0
-            return F.struct(
-                F.when(open_still, depth).otherwise(acc["depth"]).alias("depth"),
-                F.when(open_still & (depth > 0), acc["kept"] + F.length(bit))
-                .otherwise(acc["kept"]).alias("kept"))
-
-        folded = F.aggregate(
-            bits, F.struct(F.lit(1).alias("depth"), F.lit(0).alias("kept")), step)
-        return F.substring(tail, F.lit(1), folded["kept"])
-
-    tail = F.substring(html, start + F.length(first), F.length(html))
-    return F.when(start > 0, let(tail, inner))
+            opens = F.lower(F.regexp_extract(bit, r"^<(\w+)", 1)) == name
+            closes = F.lower(F.regexp_extract(bit, r"^</(\w+)", 1)) == name
+            depth = F.when(acc["depth"] > 0, acc["depth"] + opens.cast("int")
+                           - closes.cast("int")).otherwise(0)
+            kept = acc["kept"] + F.when(depth > 0, F.length(bit)).otherwise(0)
+            return F.struct(depth.alias("depth"), kept.alias("kept"))
+
+        return let(tail, lambda t: F.substring(t, F.lit(1), F.aggregate(
+            bits, F.struct(F.lit(1).alias("depth"), F.lit(0).alias("kept")), step)["kept"]))
+
+    return let(found, lambda f: F.when(f != "", inner(f)))
 
 
 def page_body(html: Column, containers: Sequence[str] = DEFAULT_CONTAINERS,

@@ -10,8 +10,8 @@ from newsgrid.functions.arrays import evaluate_once, let
 from newsgrid.functions.numbers import round_half_even, weighted_score
 from newsgrid.functions.records import coerce_assessment, loose_object
 from newsgrid.functions.text import (
-    blank_if_null, blank_out, contains_any, distinct_contained, matches_any, substring_total,
-    word_hits,
+    blank_if_null, blank_out, contains_any, distinct_contained, matches_any, word_hits,
+    words_of,
 )
 from newsgrid.operators.lexicon import IncidentLexicon, all_words, split_terms, term_hits
 
@@ -85,17 +85,18 @@ def classify_incidents(df: DataFrame, lex: IncidentLexicon, title: str = "title"
 
 def looks_like_incident(title: Column, body: Column, lex: IncidentLexicon) -> Column:
     """Inclusive gate: a cascade of cheap signals, the cheapest first."""
-    def any_term(text: Column, table) -> Column:
-        words = [w for terms in table.values() for w in split_terms(terms)[0]]
-        phrases = [p for terms in table.values() for p in split_terms(terms)[1]]
-        return (F.size(word_hits(text, words)) > 0) | contains_any(text, phrases)
+    both = [t for table in (lex.topics, lex.verbs) for terms in table.values() for t in terms]
+    words, phrases = split_terms(list(dict.fromkeys(both)))
+
+    def any_term(text: Column) -> Column:
+        return (F.exists(words_of(text), lambda w: w.isin(*words)) if words else F.lit(False)) | (
+            contains_any(text, phrases))
 
     def cascade(t: Column, b: Column) -> Column:
         # A cue in the title only adds the headline words of the body: every
         # other signal it looks for is tested by the last two rules anyway.
         cue = contains_any(t, lex.cues) & contains_any(b, lex.headline)
-        anywhere = (any_term(t, lex.topics) | any_term(b, lex.topics)
-                    | any_term(t, lex.verbs) | any_term(b, lex.verbs))
+        anywhere = any_term(t) | any_term(b)
         return (F.when(hard_excluded(t, lex), contains_any(t, lex.rescue))
                 .when(contains_any(t, lex.headline), True)
                 .when(cue, True)
@@ -165,5 +166,5 @@ def ai_payload(intel: Column, as_of: Column) -> Column:
 __all__ = [
     "CONFIDENCE_MIN", "CONFIDENCE_REVIEW", "Scorer", "ai_payload", "classify",
     "classify_incidents", "gate_incidents", "hard_excluded", "keyword_assessment",
-    "looks_like_incident", "score_incidents", "severity_of", "substring_total",
+    "looks_like_incident", "score_incidents", "severity_of",
 ]

@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from newsgrid.functions.arrays import evaluate_once, head, let
 from newsgrid.functions.numbers import clamp, round_half_even
 from newsgrid.functions.text import (
-    blank_if_null, capitalised_spans, count_among, lower_tokens, ranked_tokens, substring_count,
-    substring_total, without_words, word_hits,
+    blank_if_null, capitalised_spans, count_among, lower_tokens, ranked_tokens, substring_total,
+    without_words, word_hits,
 )
 from newsgrid.operators.lexicon import ArticleLexicon, Categories
 
@@ -62,16 +62,12 @@ def topics(text: Column, lexicon: Categories, k: int = 4) -> Column:
     """The ``k`` topics with the most term occurrences, table order on ties."""
     if not lexicon:
         return F.array().cast("array<string>")
-    table = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(name).alias("name"),
-                               F.array(*[F.lit(t) for t in terms]).alias("terms"))
-                      for i, (name, terms) in enumerate(lexicon.items())])
 
     def ranked(low: Column) -> Column:
-        counts = F.transform(table, lambda c: F.struct(
-            (-F.aggregate(c["terms"], F.lit(0),
-                          lambda acc, t: acc + substring_count(low, t))).alias("neg"),
-            c["ord"].alias("ord"), c["name"].alias("name")))
-        return F.array_sort(F.filter(counts, lambda c: c["neg"] < 0))
+        counts = F.array(*[F.struct((-substring_total(low, terms)).alias("neg"),
+                                    F.lit(i).alias("ord"), F.lit(name).alias("name"))
+                           for i, (name, terms) in enumerate(lexicon.items())])
+        return F.sort_array(F.filter(counts, lambda c: c["neg"] < 0))
 
     return F.transform(head(let(F.lower(text), ranked), k), lambda c: c["name"])
 

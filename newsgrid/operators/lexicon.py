@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 from newsgrid.functions.text import (
-    count_among, is_phrase, substring_total, word_hits,
+    count_among, is_phrase, substring_total, word_hits, words_of,
 )
 
 Categories = Mapping[str, Sequence[str]]
@@ -100,9 +100,8 @@ def category_hits_join(docs: DataFrame, doc_id: str, text: str, lexicon: DataFra
     Matching comes first: with a vocabulary small enough to broadcast only
     matched words are ever shuffled.
     """
-    words = F.filter(F.split(F.lower(F.col(text)), r"(?U)\W+"), lambda w: w != "")
     terms = lexicon.select("category", "term").distinct()
-    return (docs.select(doc_id, F.explode(words).alias("term"))
+    return (docs.select(doc_id, F.explode(words_of(F.lower(F.col(text)))).alias("term"))
             .join(terms, "term")
             .groupBy(doc_id, "category").agg(F.count("*").alias("hits")))
 

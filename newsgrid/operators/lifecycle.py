@@ -157,7 +157,7 @@ def incidents_with_updates(incidents: DataFrame, updates: DataFrame, n: int = 25
     fields = [c for c in ("update_id", "title", "body", "source", "reporter", "created_at")
               if c in updates.columns]
     nested = (newest_updates(updates, n).groupBy("incident_id")
-              .agg(F.array_sort(F.collect_list(F.struct("rank", *fields))).alias("updates")))
+              .agg(F.sort_array(F.collect_list(F.struct("rank", *fields))).alias("updates")))
     none = F.array().cast(nested.schema["updates"].dataType)
     return (incidents.join(nested, "incident_id", "left")
             .withColumn("updates", F.coalesce("updates", none)))

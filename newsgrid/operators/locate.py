@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from newsgrid.functions.arrays import distinct_ignoring_case, let
 from newsgrid.functions.numbers import inside, squared_degrees
 from newsgrid.functions.text import (
-    blank_if_null, place_hint_variants, title_place_candidates,
+    blank_if_null, place_hint_variants, title_place_candidates, words_of,
 )
 
 PLACE = "struct<name:string,lat:double,lng:double,specificity:int>"
@@ -85,7 +85,7 @@ def gazetteer_match_join(docs: DataFrame, doc_id: str, text: str, gazetteer: Dat
     Names are compared word by word, so punctuation inside a name is ignored.
     """
     def words(c: Column) -> Column:
-        return F.filter(F.split(F.lower(c), r"(?U)\W+"), lambda w: w != "")
+        return F.filter(words_of(F.lower(c)), lambda w: w != "")
 
     def runs(tokens: Column) -> Column:
         return F.flatten(F.transform(tokens, lambda _, i: F.transform(

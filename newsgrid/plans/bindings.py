@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newsgrid.operators.lexicon import ArticleLexicon, IncidentLexicon
 
@@ -151,12 +151,23 @@ COUNTRIES_ROWS = [
 ]
 
 
+def small_table(spark: SparkSession, rows, names: str) -> DataFrame:
+    """Inline rows with a known size, so that joins can tell they are small."""
+    return spark.sql(f"SELECT * FROM ({values_sql(rows)}) AS t({names})")
+
+
 def counties(spark: SparkSession) -> DataFrame:
     from newsgrid.schemas import COUNTY
-    rows = [(o, n, s, la, ln, la - p, ln - p, la + p, ln + p,
-             [(a, a.lower().replace(" ", "-"), y, x) for a, y, x in subs])
-            for o, n, s, la, ln, p, subs in COUNTIES_ROWS]
-    return spark.createDataFrame(rows, COUNTY)
+    flat = small_table(spark, [(o, n, s, la, ln, la - p, ln - p, la + p, ln + p)
+                               for o, n, s, la, ln, p, _ in COUNTIES_ROWS],
+                       "ord, name, slug, lat, lng, min_lat, min_lng, max_lat, max_lng")
+    subs = F.array().cast(COUNTY.split("subs ")[1])
+    for slug, subs_of in [(r[2], r[6]) for r in COUNTIES_ROWS if r[6]]:
+        listed = F.array(*[F.struct(F.lit(a).alias("name"), F.lit(a.lower().replace(" ", "-"))
+                                    .alias("slug"), F.lit(y).alias("lat"), F.lit(x).alias("lng"))
+                           for a, y, x in subs_of])
+        subs = F.when(F.col("slug") == slug, listed).otherwise(subs)
+    return flat.withColumn("subs", subs)
 
 
 def county_dicts() -> list[dict]:
@@ -165,9 +176,9 @@ def county_dicts() -> list[dict]:
 
 
 def countries(spark: SparkSession) -> DataFrame:
-    from newsgrid.schemas import COUNTRY
     rows = [(o, n, s, la, ln, *(b or (None,) * 4)) for o, n, s, la, ln, b in COUNTRIES_ROWS]
-    return spark.createDataFrame(rows, COUNTRY)
+    return small_table(spark, rows,
+                       "ord, name, slug, lat, lng, min_lat, min_lng, max_lat, max_lng")
 
 
 def quoted(values) -> str:
@@ -262,7 +273,7 @@ PLACES = [("tion", 5.5, 10.25), ("thon", 6.5, 11.25), ("eren", 7.5, 12.25), ("re
 
 
 def places(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PLACES, "name string, lat double, lng double")
+    return small_table(spark, PLACES, "name, lat, lng")
 
 
 # -- oracle snippets ------------------------------------------------------------

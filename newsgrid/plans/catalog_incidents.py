@@ -10,9 +10,9 @@ from newsgrid.operators import lifecycle, locate, moderation, ratelimit, reports
 from newsgrid.plans.bindings import (
     ARTICLES, COUNTIES_ROWS, GAZETTEER, INCIDENT_AS_OF, INCIDENTS, PLACES, REQUESTS, TITLE_STOPS,
     UPDATES, counties, counties_sql, countries, countries_sql, county_dicts, d_ascii, places,
-    plain, subs_sql, table, values_sql, view, with_views,
+    plain, small_table, subs_sql, table, values_sql, view, with_views,
 )
-from newsgrid.plans.catalog_counts import articles, incidents, updates
+from newsgrid.plans.catalog_counts import articles, heavy_articles, incidents, updates
 from newsgrid.plans.catalog_text import _place_sql
 from newsgrid.plans.registry import query
 
@@ -38,7 +38,7 @@ def _match_sql(text: str) -> str:
 @query("j08_gazetteer_match", with_views(_match_sql("title || ' ' || content"), a=ARTICLES))
 def j08(spark, sf):
     text = F.concat("title", F.lit(" "), "content")
-    m = articles(spark, sf).select("article_id", locate.gazetteer_match(text, GAZETTEER)
+    m = heavy_articles(spark, sf).select("article_id", locate.gazetteer_match(text, GAZETTEER)
                                    .alias("m"))
     return m.filter(F.col("m").isNotNull()).select("article_id", "m.*")
 
@@ -55,10 +55,9 @@ JOIN ({values_sql([(g["ord"], g["name"], g["lat"], g["lng"], g["specificity"]) f
 QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY specificity DESC, ord) = 1""",
     a=ARTICLES))
 def w05(spark, sf):
-    g = spark.createDataFrame([(x["ord"], x["name"], x["lat"], x["lng"], x["specificity"])
-                               for x in _ONE_WORD],
-                              "ord int, name string, lat double, lng double, specificity int")
-    return locate.gazetteer_match_join(articles(spark, sf), "article_id", "content", g, 1)
+    g = small_table(spark, [(x["ord"], x["name"], x["lat"], x["lng"], x["specificity"])
+                            for x in _ONE_WORD], "ord, name, lat, lng, specificity")
+    return locate.gazetteer_match_join(heavy_articles(spark, sf), "article_id", "content", g, 1)
 
 
 _CAND = f"""
@@ -71,7 +70,7 @@ SELECT article_id, word AS name, p.lat, p.lng FROM ({_CAND}) c
 JOIN ({values_sql(PLACES)}) AS p(name, lat, lng) ON lower(c.word) = p.name
 QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY pos) = 1""", a=ARTICLES))
 def j09(spark, sf):
-    a = articles(spark, sf).select("article_id", title_place_candidates(
+    a = heavy_articles(spark, sf).select("article_id", title_place_candidates(
         F.col("title"), TITLE_STOPS).alias("c"))
     return locate.lookup_candidates(a, "article_id", "c", places(spark))
 
@@ -92,7 +91,7 @@ LEFT JOIN (SELECT article_id, word AS name, p.lat FROM ({_CAND}) c
 
 @query("c13_resolve_location", with_views(_RESOLVED, a=ARTICLES))
 def c13(spark, sf):
-    a = articles(spark, sf)
+    a = heavy_articles(spark, sf)
     text = F.concat("title", F.lit(" "), F.substring("content", 1, 200))
     out = locate.resolve_location(a, "article_id", text, F.lit(None).cast("string"),
                                   F.col("title"), GAZETTEER, places(spark), TITLE_STOPS)

@@ -11,15 +11,16 @@ from newsgrid.plans.bindings import (
     ARTICLE_WORDS, ARTICLES, AS_OF, GAZETTEER, INCIDENT_WORDS, PLACES, SEEN, STORE, TITLE_STOPS,
     d_tokens, places, plain, table, values_sql, view, with_views,
 )
-from newsgrid.plans.catalog_counts import articles
+from newsgrid.plans.catalog_counts import heavy_articles as articles
 from newsgrid.plans.catalog_incidents import _match_sql
 from newsgrid.plans.catalog_text import _class_sql, _gate_sql, _place_sql
 from newsgrid.plans.registry import query
+from newsgrid.session import spread
 from newsgrid.sources import feeds, landed, pages as pg
 
 
 def raw_pages(spark, sf):
-    return table(spark, sf, "pages")
+    return spread(table(spark, sf, "pages"))
 
 
 def _text_sql(html: str) -> str:

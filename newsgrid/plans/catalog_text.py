@@ -12,15 +12,16 @@ from newsgrid.functions.records import (
 from newsgrid.operators import classify as cl, enrich, lexicon as lx, moderation
 from newsgrid.plans.bindings import (
     ARTICLE_WORDS as AW, ARTICLES, AS_OF, INCIDENT_WORDS as IW, INCIDENTS, TITLE_STOPS, d_any,
-    d_ascii, d_distinct, d_substrs, d_terms, d_tokens, d_words, quoted, table, values_sql, view,
-    with_views,
+    d_ascii, d_distinct, d_substrs, d_terms, d_tokens, d_words, quoted, small_table, table, values_sql,
+    view, with_views,
 )
-from newsgrid.plans.catalog_counts import _topic_counts_sql, articles, incidents
+from newsgrid.plans.catalog_counts import _topic_counts_sql, heavy_articles as articles, incidents
 from newsgrid.plans.registry import query
+from newsgrid.session import spread
 
 
 def docs(spark, sf):
-    return table(spark, sf, "documents")
+    return spread(table(spark, sf, "documents"))
 
 
 def low():
@@ -394,7 +395,7 @@ _TERM_ROWS = [(cat, i, w) for i, (cat, terms) in enumerate(IW.topics.items())
 
 
 def lexicon_table(spark):
-    return spark.createDataFrame(_TERM_ROWS, "category string, ord int, term string")
+    return small_table(spark, _TERM_ROWS, "category, ord, term")
 
 
 _HITS = f"""

@@ -76,17 +76,17 @@ def trend_facets(articles: DataFrame, as_of, window: str = "24h", ts: str = "pub
     ``trend_snapshot`` for the filled form.
     """
     counts = facet_counts(recent(articles, as_of, window, ts, row_id, max_rows), ts, row_id, zone)
-    # Ranked facets: a first limit per facet keeps the shuffle small whatever
-    # the number of distinct names.
-    top = Window.partitionBy("facet").orderBy(F.desc("n"), F.desc("first_seen"), F.asc("key"))
-    most = max(SHOWN.values())
-    ranked = (counts.filter(F.col("facet").isin(*SHOWN))
-              .withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= most))
-    limit = F.create_map(*[F.lit(x) for kv in SHOWN.items() for x in kv])
-    ranked = ranked.filter(F.col("rank") <= F.element_at(limit, F.col("facet")))
-    listed = (counts.filter(~F.col("facet").isin(*SHOWN))
-              .withColumn("rank", F.lit(0)))
-    return ranked.unionByName(listed).select("facet", "rank", "key", "n")
+    # Ranked facets share one group each, every other key is a group of its own:
+    # a single pass, and a limit in front of the shuffle however many names there are.
+    own = F.when(F.col("facet").isin(*SHOWN), F.lit("")).otherwise(F.col("key"))
+    top = Window.partitionBy("facet", own).orderBy(F.desc("n"), F.desc("first_seen"), F.asc("key"))
+    ranked = (counts.withColumn("rank", F.row_number().over(top))
+              .filter(F.col("rank") <= max(SHOWN.values())))
+    shown = F.lit(1)
+    for facet, k in SHOWN.items():
+        shown = F.when(F.col("facet") == facet, k).otherwise(shown)
+    rank = F.when(F.col("facet").isin(*SHOWN), F.col("rank")).otherwise(0)
+    return ranked.filter(F.col("rank") <= shown).select("facet", rank.alias("rank"), "key", "n")
 
 
 _NAMED = "array<struct<name:string,count:bigint>>"
@@ -97,7 +97,7 @@ def trend_snapshot(articles: DataFrame, as_of, window: str = "24h", **options) -
     rows = trend_facets(articles, as_of, window, **options)
 
     def listing(facet: str, order: str) -> Column:
-        items = F.array_sort(F.collect_list(F.when(
+        items = F.sort_array(F.collect_list(F.when(
             F.col("facet") == facet, F.struct(F.col(order).alias("o"), F.col("key"), F.col("n")))))
         return F.transform(items, lambda i: F.struct(
             i["key"].alias("name"), i["n"].alias("count"))).cast(_NAMED)

@@ -47,3 +47,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` on reliable storage, so lost executors do not replay it."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Give a scan with fewer splits than cores to every core.
+
+    Text jobs are bound by CPU, and a few small files would otherwise run on as
+    many tasks.  A table with enough splits, which is every large one, is left as
+    it is.  Only for plain scans: planning them runs nothing.
+    """
+    want = scan.sparkSession.sparkContext.defaultParallelism
+    have = scan._jdf.queryExecution().toRdd().getNumPartitions()
+    return scan if have >= want else scan.repartition(want)
