@@ -31,8 +31,8 @@ def object_text(reply: Column) -> Column:
 
 def loose_object(reply: Column) -> Column:
     """Variant of the recovered object, null when it is not a valid JSON object."""
-    text = object_text(reply)
-    return F.when(F.startswith(text, F.lit("{")), F.try_parse_json(text))
+    return let(object_text(reply), lambda t: F.when(
+        F.startswith(t, F.lit("{")), F.try_parse_json(t)))
 
 
 def _text(v: Column, path: str) -> Column:
@@ -46,6 +46,10 @@ def truthy(text: Column) -> Column:
 
 def coerce_assessment(v: Column, fallback_title: Column, model: str) -> Column:
     """Check and normalise a scorer's answer; null when there was none."""
+    return let(v, lambda answer: _coerced(answer, fallback_title, model))
+
+
+def _coerced(v: Column, fallback_title: Column, model: str) -> Column:
     kind = F.lower(F.trim(_text(v, "$.incident_type")))
     severity = F.lower(F.trim(_text(v, "$.severity")))
     confidence = clamp(F.coalesce(

@@ -9,7 +9,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from newsgrid.functions.arrays import evaluate_once, head, let
+from newsgrid.functions.arrays import head, let
 from newsgrid.functions.numbers import clamp, round_half_even
 from newsgrid.functions.text import (
     blank_if_null, capitalised_spans, count_among, lower_tokens, ranked_tokens, substring_total,
@@ -97,14 +97,16 @@ def enrich_articles(df: DataFrame, lexicon: ArticleLexicon, title: str = "title"
     text = article_text(F.col(title), F.col(content),
                         F.col(excerpt) if excerpt and excerpt in df.columns else None)
     base = F.col(baseline) if baseline in df.columns else F.lit(0)
-    prepared = df.withColumn("_text", text).withColumn("_base", base)
     t = F.col("_text")
-    out = evaluate_once(
-        prepared,
-        sentiment_score=round_half_even(sentiment_score(t, lexicon.valence, max_chars), 3),
-        bias_score=bias_score(t, F.col("_base"), lexicon.left, lexicon.right).cast("int"),
-        topics=topics(t, lexicon.topics),
-        keywords=keywords(t, lexicon.stop),
-        entities=entities(t, lexicon.stop))
-    return (out.withColumn("sentiment", sentiment_label(F.col("sentiment_score")))
+    # Plain columns, so that those nobody reads are pruned away.
+    return (df.withColumn("_text", text).withColumn("_base", base)
+            .withColumns({
+                "sentiment_score": round_half_even(
+                    sentiment_score(t, lexicon.valence, max_chars), 3),
+                "bias_score": bias_score(t, F.col("_base"), lexicon.left, lexicon.right)
+                .cast("int"),
+                "topics": topics(t, lexicon.topics),
+                "keywords": keywords(t, lexicon.stop),
+                "entities": entities(t, lexicon.stop)})
+            .withColumn("sentiment", sentiment_label(F.col("sentiment_score")))
             .drop("_text", "_base"))

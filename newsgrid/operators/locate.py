@@ -132,36 +132,52 @@ def lookup_candidates(df: DataFrame, row_id: str, candidates: str, places: DataF
             .select(row_id, "_p.*"))
 
 
+def _vague(place: Column, home: Home) -> Column:
+    return place.isNull() | (place["name"] == home.name)
+
+
+def match_place(text: Column, hint: Column, gazetteer: Sequence,
+                home: Home = DEFAULT_HOME) -> Column:
+    """Best listed place of a text; a hint helps out when the text only gives the country."""
+    def with_hint(found: Column) -> Column:
+        hinted = F.when(F.trim(blank_if_null(hint)) != "", gazetteer_match(hint, gazetteer))
+        return F.when(_vague(found, home), F.coalesce(hinted, found)).otherwise(found)
+
+    return let(best_location(text, gazetteer, home), with_hint)
+
+
+def look_up_place(df: DataFrame, row_id: str, loc: str, hint: Column, title: Column,
+                  places: DataFrame | None, stop_words: Sequence[str] = (),
+                  home: Home = DEFAULT_HOME) -> DataFrame:
+    """Replace ``loc`` by ``place`` and ``location_fallback``.
+
+    Rows that are still vague try their candidates against the place table; a
+    hit has specificity 1, and without any place the country centre is used.
+    """
+    if places is not None:
+        vague = df.filter(_vague(F.col(loc), home)).select(
+            row_id, place_candidates(hint, title, stop_words).alias("_cands"))
+        found = lookup_candidates(vague, row_id, "_cands", places).select(
+            row_id, place_struct(F.col("name"), F.col("lat"), F.col("lng"), 1).alias("_found"))
+        df = df.join(found, row_id, "left")
+    else:
+        df = df.withColumn("_found", F.lit(None).cast(PLACE))
+    place = F.coalesce("_found", loc, home_place(home))
+    fallback = F.col("_found").isNotNull() | F.col(loc).isNull()
+    return (df.withColumn("place", place).withColumn("location_fallback", fallback)
+            .drop(loc, "_found"))
+
+
 def resolve_location(df: DataFrame, row_id: str, text: Column, hint: Column, title: Column,
                      gazetteer: Sequence, places: DataFrame | None,
                      stop_words: Sequence[str] = (), home: Home = DEFAULT_HOME) -> DataFrame:
     """Add ``place`` and ``location_fallback``.
 
     Precedence: a listed place in the text, a listed place in the hint, the first
-    candidate the place table knows (specificity 1), the country centre.
+    candidate the place table knows, the country centre.
     """
-    def vague(p: Column) -> Column:
-        return p.isNull() | (p["name"] == home.name)
-
-    by_text = best_location(text, gazetteer, home)
-    by_hint = F.when(F.trim(blank_if_null(hint)) != "", best_location(hint, gazetteer, home))
-    first = df.withColumn("_by_text", by_text).withColumn("_by_hint", by_hint)
-    first = first.withColumn("_loc", F.when(
-        vague(F.col("_by_text")) & F.col("_by_hint").isNotNull()
-        & (F.col("_by_hint.name") != home.name), F.col("_by_hint")).otherwise(F.col("_by_text")))
-    first = first.withColumn("_cands", F.when(
-        vague(F.col("_loc")), place_candidates(hint, title, stop_words)))
-    if places is not None:
-        open_rows = first.select(row_id, "_cands").filter(F.size("_cands") > 0)
-        found = lookup_candidates(open_rows, row_id, "_cands", places).select(
-            row_id, place_struct(F.col("name"), F.col("lat"), F.col("lng"), 1).alias("_found"))
-        first = first.join(found, row_id, "left")
-    else:
-        first = first.withColumn("_found", F.lit(None).cast(PLACE))
-    place = F.coalesce("_found", "_loc", home_place(home))
-    fallback = F.col("_found").isNotNull() | F.col("_loc").isNull()
-    return (first.withColumn("place", place).withColumn("location_fallback", fallback)
-            .drop("_by_text", "_by_hint", "_loc", "_cands", "_found"))
+    matched = df.withColumn("_loc", match_place(text, hint, gazetteer, home))
+    return look_up_place(matched, row_id, "_loc", hint, title, places, stop_words, home)
 
 
 # -- boundaries --------------------------------------------------------------

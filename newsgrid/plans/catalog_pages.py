@@ -15,7 +15,7 @@ from newsgrid.plans.catalog_counts import heavy_articles as articles
 from newsgrid.plans.catalog_incidents import _match_sql
 from newsgrid.plans.catalog_text import _class_sql, _gate_sql, _place_sql
 from newsgrid.plans.registry import query
-from newsgrid.session import spread
+from newsgrid.session import cut_lineage, spread
 from newsgrid.sources import feeds, landed, pages as pg
 
 
@@ -229,14 +229,14 @@ def s08(spark, sf):
 
 # -- the ingest run -----------------------------------------------------------------
 
-def _run(spark, sf):
+def _run(spark, sf, **options):
     a = articles(spark, sf).drop("sentiment")
     have = table(spark, sf, "customer").select(
         F.concat(F.lit("https://news.example/"), F.md5("c_name")).alias("source_url"),
         F.lit("publish").alias("post_status"))
     return ingest.run_ingest(
         a, view(spark, sf, STORE), have, view(spark, sf, SEEN), ARTICLE_WORDS, INCIDENT_WORDS,
-        GAZETTEER, places(spark), AS_OF, [F.asc("article_id")], stop_words=TITLE_STOPS)
+        GAZETTEER, places(spark), AS_OF, [F.asc("article_id")], stop_words=TITLE_STOPS, **options)
 
 
 _FRESH = f"""SELECT *, {d_tokens('t')} AS tt, {d_tokens('b')} AS bt FROM (
@@ -274,7 +274,7 @@ def _chain(sql: str) -> str:
 SELECT article_id, type, severity, confidence, location_name, review_reason,
        'pending' AS post_status, false AS is_verified FROM ({_INCIDENT_ROWS})"""))
 def c15_incidents(spark, sf):
-    return _run(spark, sf).incidents.select(
+    return _run(spark, sf, keep_incidents=cut_lineage).incidents.select(
         "article_id", "type", "severity", "confidence", "location_name", "review_reason",
         "post_status", "is_verified")
 

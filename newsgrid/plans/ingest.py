@@ -16,7 +16,7 @@ from newsgrid.operators.classify import (
 from newsgrid.operators.dedupe import drop_seen, first_per_url, insert_if_absent, mark_seen
 from newsgrid.operators.enrich import enrich_articles
 from newsgrid.operators.lexicon import ArticleLexicon, IncidentLexicon
-from newsgrid.operators.locate import DEFAULT_HOME, Home, resolve_location
+from newsgrid.operators.locate import DEFAULT_HOME, Home, look_up_place, match_place
 from newsgrid.operators.moderation import review_reason, routed
 
 
@@ -63,14 +63,22 @@ def assess(fresh: DataFrame, articles: ArticleLexicon, incidents: IncidentLexico
 
 def incident_payload(assessed: DataFrame, gazetteer: Sequence, places: DataFrame | None,
                      as_of, row_id: str = "article_id", stop_words: Sequence[str] = (),
-                     home: Home = DEFAULT_HOME) -> DataFrame:
-    """Located and review-routed incident rows of the accepted articles."""
+                     home: Home = DEFAULT_HOME,
+                     keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """Located and review-routed incident rows of the accepted articles.
+
+    Texts are matched first and then left behind; ``keep`` may store the narrow
+    rest, which the place lookup reads twice.
+    """
     found = assessed.filter(F.col("outcome") == "incident")
     excerpt = blank_if_null(F.col("excerpt")) if "excerpt" in found.columns else F.lit("")
     text = F.concat(blank_if_null(F.col("title")), F.lit(" "), excerpt, F.lit(" "),
                     blank_if_null(F.col("content")))
-    located = resolve_location(found, row_id, text, F.col("intel.location_hint"), F.col("title"),
-                               gazetteer, places, stop_words, home)
+    hint = F.col("intel.location_hint")
+    matched = keep(found.select(
+        row_id, "title", "url", "source", "published_at", "intel",
+        match_place(text, hint, gazetteer, home).alias("_loc")))
+    located = look_up_place(matched, row_id, "_loc", hint, F.col("title"), places, stop_words, home)
     i, p = F.col("intel"), F.col("place")
     reason = review_reason(i["confidence"], F.col("location_fallback"), p["specificity"],
                            p["name"], i["used_fallback"], i["flags"], CONFIDENCE_REVIEW)
@@ -96,13 +104,19 @@ def run_ingest(batch: DataFrame, article_store: DataFrame, incident_store: DataF
                row_id: str = "article_id", scorer: Scorer | None = None,
                score_all: bool = False, stop_words: Sequence[str] = (),
                home: Home = DEFAULT_HOME,
-               keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> IngestRun:
-    """The whole run.  ``keep`` may store the assessed articles once (for example
-    ``session.cut_lineage``), since three results read them."""
+               keep: Callable[[DataFrame], DataFrame] = lambda df: df,
+               keep_incidents: Callable[[DataFrame], DataFrame] = lambda df: df) -> IngestRun:
+    """The whole run.
+
+    ``keep`` may store the assessed articles once (for example
+    ``session.cut_lineage``), since three results read them; ``keep_incidents``
+    does the same for the narrow rows of the incidents among them.
+    """
     fresh = drop_seen(first_per_url(batch, order), seen)
     assessed = keep(assess(fresh, articles, incidents, scorer, score_all))
     stored = insert_if_absent(assessed.drop("candidate", "intel", "outcome"), article_store, order)
-    found = incident_payload(assessed, gazetteer, places, as_of, row_id, stop_words, home)
+    found = incident_payload(assessed, gazetteer, places, as_of, row_id, stop_words, home,
+                             keep_incidents)
     new_incidents = insert_if_absent(found, incident_store, [F.asc(row_id)],
                                      url="source_url", store_url="source_url")
     # Accounting without marking every duplicate: a source's rows minus its fresh ones.
