@@ -16,12 +16,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+_SEP = "\u001f"
+
+
 def strings(values: Iterable[str]) -> Column:
-    """A literal ``array<string>``, also when empty."""
+    """A literal ``array<string>``, also when empty; folded to a constant."""
     values = list(values)
     if not values:
         return F.array().cast("array<string>")
-    return F.array(*[F.lit(v) for v in values])
+    return F.split(F.lit(_SEP.join(values)), _SEP)
 
 
 def distinct_ignoring_case(items: Column) -> Column:

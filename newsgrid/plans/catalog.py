@@ -5,6 +5,7 @@ from newsgrid.plans import (  # noqa: F401
     catalog_incidents,
     catalog_ingest,
     catalog_pages,
+    catalog_streams,
     catalog_text,
 )
 from newsgrid.plans.registry import ORACLES, QUERIES

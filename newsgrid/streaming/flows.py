@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQueryListener
+from pyspark.sql.types import StructType
 
 from newsgrid.functions.dates import local_date
 from newsgrid.sources.sinks import write_batch
 
 
-def file_stream(spark: SparkSession, path: str, schema: str, fmt: str = "parquet",
+def file_stream(spark: SparkSession, path: str, schema: str | StructType, fmt: str = "parquet",
                 files_per_trigger: int | None = None) -> DataFrame:
     reader = spark.readStream.format(fmt).schema(schema)
     if files_per_trigger:

@@ -15,12 +15,11 @@ _DAY_MS = 86_400_000
 
 
 class _GreedyLimit(StatefulProcessor):
-    def __init__(self, window_us: int) -> None:
-        self.window_us = window_us
+    def __init__(self, window_us: int, keep_ms: int | None) -> None:
+        self.window_us, self.keep_ms = window_us, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        # The state may go once the window has passed without a request.
-        self.last = handle.getValueState("last", "last long", self.window_us // 1000 + _DAY_MS)
+        self.last = handle.getValueState("last", "last long", self.keep_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         last = self.last.get()[0] if self.last.exists() else None
@@ -39,16 +38,22 @@ class _GreedyLimit(StatefulProcessor):
 
 
 def limit_rate(stream: DataFrame, key: str, ts: str, event_id: str, window_seconds: int,
-               consumes: str | None = None) -> DataFrame:
-    """Streaming form of ``operators.ratelimit.greedy_accept``."""
+               consumes: str | None = None, expire_state: bool = False) -> DataFrame:
+    """Streaming form of ``operators.ratelimit.greedy_accept``.
+
+    ``expire_state`` drops idle clients a day after their window.  It needs
+    processing-time mode, which never lets an ``availableNow`` run come to an end,
+    so it is for continuously running queries only.
+    """
     uses = F.coalesce(F.col(consumes), F.lit(False)) if consumes else F.lit(True)
     slim = stream.select(F.col(key).cast("string").alias("client"),
                          F.col(event_id).cast("long").alias("event_id"),
                          F.unix_micros(ts).alias("us"), uses.alias("uses"))
     return slim.groupBy("client").transformWithState(
-        _GreedyLimit(window_seconds * 1_000_000),
+        _GreedyLimit(window_seconds * 1_000_000,
+                     window_seconds * 1000 + _DAY_MS if expire_state else None),
         "client string, event_id long, accepted boolean, limited boolean", "append",
-        "ProcessingTime")
+        "ProcessingTime" if expire_state else "None")
 
 
 class _Ageing(StatefulProcessor):
