@@ -8,10 +8,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from newsgrid.functions.arrays import distinct_ignoring_case, let
+from newsgrid.functions.arrays import distinct_ignoring_case, let, strings
 from newsgrid.functions.numbers import inside, squared_degrees
 from newsgrid.functions.text import (
-    blank_if_null, place_hint_variants, title_place_candidates, words_of,
+    blank_if_null, place_hint_variants, title_place_candidates,
 )
 
 PLACE = "struct<name:string,lat:double,lng:double,specificity:int>"
@@ -81,20 +81,23 @@ def gazetteer_match_join(docs: DataFrame, doc_id: str, text: str, gazetteer: Dat
                          max_words: int = 4) -> DataFrame:
     """``doc_id, name, lat, lng, specificity`` for a gazetteer of any size.
 
-    Word runs of up to ``max_words`` are hash-joined on the lower-cased name.
-    Names are compared word by word, so punctuation inside a name is ignored.
+    Word runs of up to ``max_words``, with what stands between the words, are
+    hash-joined on the lower-cased name.
     """
-    def words(c: Column) -> Column:
-        return F.filter(words_of(F.lower(c)), lambda w: w != "")
-
-    def runs(tokens: Column) -> Column:
-        return F.flatten(F.transform(tokens, lambda _, i: F.transform(
-            F.sequence(F.lit(1), F.least(F.lit(max_words), F.size(tokens) - i)),
-            lambda n: F.array_join(F.slice(tokens, i + 1, n), " "))))
-
-    keys = (docs.select(doc_id, F.explode(F.array_distinct(let(words(F.col(text)), runs)))
-                        .alias("_key")))
-    places = gazetteer.withColumn("_key", F.array_join(words(F.col("name")), " "))
+    word = r"[\p{L}\p{N}_]+"
+
+    def runs(pieces: Column) -> Column:
+        # Words and separators alternate, so n words span 2n - 1 pieces.
+        return F.flatten(F.transform(pieces, lambda p, i: F.when(
+            F.rlike(p, F.lit("^" + word)), F.transform(
+                F.sequence(F.lit(1), F.lit(max_words)),
+                lambda n: F.array_join(F.slice(pieces, i + 1, n * 2 - 1), "")))
+            .otherwise(strings([]))))
+
+    pieces = F.regexp_extract_all(F.lower(F.col(text)), F.lit(
+        word + r"|[^\p{L}\p{N}_]+"), F.lit(0))
+    keys = docs.select(doc_id, F.explode(F.array_distinct(let(pieces, runs))).alias("_key"))
+    places = gazetteer.withColumn("_key", F.lower("name"))
     return (keys.join(places, "_key")
             .groupBy(doc_id)
             .agg(F.min_by(F.struct("name", "lat", "lng", "specificity"),

@@ -104,14 +104,14 @@ def r05(spark, sf):
 
 
 @query("r06_streaming_ageing", """
-WITH k AS (SELECT o_custkey, max(o_orderdate) AS at FROM orders GROUP BY 1),
+WITH k AS (SELECT o_custkey, max(o_orderdate) AS seen_at FROM orders GROUP BY 1),
      wm AS (SELECT max(o_orderdate) - INTERVAL '1' HOUR AS t FROM orders)
-SELECT o_custkey AS incident_id, 'active' AS stage, epoch_us(at) // 1000 AS at_ms FROM k
+SELECT o_custkey AS incident_id, 'active' AS stage, epoch_us(seen_at) // 1000 AS at_ms FROM k
 UNION ALL
-SELECT o_custkey, s.stage, epoch_us(at) // 1000 + s.h * 3600000
+SELECT o_custkey, s.stage, epoch_us(seen_at) // 1000 + CAST(s.h AS BIGINT) * 3600000
 FROM k, (VALUES ('warned', 144), ('expired', 168), ('resolved', 168), ('archived', 720))
   AS s(stage, h), wm
-WHERE at + s.h * INTERVAL '1' HOUR <= wm.t""")
+WHERE seen_at + s.h * INTERVAL '1' HOUR <= wm.t""")
 def r06(spark, sf):
     out = stateful.age_stream(_stream(spark, sf, "orders"), "o_custkey", "o_orderdate")
     return _run(spark, out)
