@@ -336,7 +336,7 @@ def c20(spark, sf):
 
 @query("j17_update_bumps", with_views(_BUMPS.replace("max(created_at) AS seen_at",
                                                     "epoch_us(max(created_at)) AS at_us"),
-                                      u=UPDATES))
+                                      u=UPDATES), longs=True)
 def j17(spark, sf):
     none = updates(spark, sf).select("incident_id").distinct().withColumns({
         "update_count": F.lit(0), "last_update_at": F.lit(None).cast("timestamp"),

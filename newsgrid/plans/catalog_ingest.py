@@ -379,7 +379,7 @@ def p16(spark, sf):
 @query("s09_social_articles", """
 SELECT 'https://twitter.com/' || source || '/status/' || doc_id AS url,
        substring(text, 1, 120) AS title, length(text) AS n_text, 'x.com/@' || source AS source
-FROM documents""")
+FROM documents""", longs=True)
 def s09(spark, sf):
     posts = table(spark, sf, "documents").select(
         F.col("doc_id").alias("id"), F.col("source").alias("handle"),

@@ -50,7 +50,7 @@ def c25(spark, sf):
 
 
 @query("s05_page_scan", f"""
-SELECT page_id, length({_BODY}) AS n_body FROM pages""")
+SELECT page_id, length({_BODY}) AS n_body FROM pages""", longs=True)
 def s05(spark, sf):
     return pg.extract_pages(raw_pages(spark, sf), AS_OF, ["div.none", "article"]).select(
         "page_id", F.length("content").alias("n_body"))

@@ -29,13 +29,13 @@ def low():
 
 
 @query("t01_whole_word_count", f"""
-SELECT doc_id, {d_words(d_tokens('lower(text)'), ['than'])} AS n FROM documents""")
+SELECT doc_id, {d_words(d_tokens('lower(text)'), ['than'])} AS n FROM documents""", longs=True)
 def t01(spark, sf):
     return docs(spark, sf).select("doc_id", tx.word_count(low(), "than").alias("n"))
 
 
 @query("t02_substring_count", f"""
-SELECT doc_id, {d_substrs('lower(text)', ['tion'])} AS n FROM documents""")
+SELECT doc_id, {d_substrs('lower(text)', ['tion'])} AS n FROM documents""", longs=True)
 def t02(spark, sf):
     return docs(spark, sf).select("doc_id", tx.substring_count(low(), F.lit("tion")).alias("n"))
 
@@ -95,7 +95,7 @@ _TOKENS = f"regexp_extract_all({d_ascii('lower(text)')}, '\\b[a-z]{{4,}}\\b')"
 
 
 @query("t08_lower_tokens", f"""
-SELECT doc_id, len({_TOKENS}) AS n, md5(array_to_string({_TOKENS}, ' ')) AS h FROM documents""")
+SELECT doc_id, len({_TOKENS}) AS n, md5(array_to_string({_TOKENS}, ' ')) AS h FROM documents""", longs=True)
 def t08(spark, sf):
     t = tx.lower_tokens(F.col("text"))
     return docs(spark, sf).select("doc_id", F.size(t).alias("n"), F.md5(F.array_join(t, " "))
@@ -112,7 +112,7 @@ def t09(spark, sf):
 
 @query("t10_truncation", """
 SELECT doc_id, length(substring(text, 1, 300)) AS n300, md5(substring(text, 1, 1500)) AS h1500
-FROM documents""")
+FROM documents""", longs=True)
 def t10(spark, sf):
     return docs(spark, sf).select("doc_id", F.length(tx.truncate(F.col("text"), 300)).alias("n300"),
                                   F.md5(tx.truncate(F.col("text"), 1500)).alias("h1500"))
@@ -270,7 +270,7 @@ def c02(spark, sf):
 @query("c03_bias_score", with_views(f"""
 SELECT article_id, greatest(-100, least(100, bias_baseline + greatest(-25, least(25, 3 * (
          {d_substrs('low', AW.right)} - {d_substrs('low', AW.left)}))))) AS bias
-FROM (SELECT *, lower({_TEXT}) AS low FROM a)""", a=ARTICLES))
+FROM (SELECT *, lower({_TEXT}) AS low FROM a)""", a=ARTICLES), longs=True)
 def c03(spark, sf):
     text = enrich.article_text(F.col("title"), F.col("content"))
     return articles(spark, sf).select("article_id", enrich.bias_score(
@@ -328,7 +328,7 @@ def c06(spark, sf):
 
 
 @query("a19_keyword_frequency", with_views(f"""
-SELECT article_id, w AS word, n FROM ({_RANKED_WORDS}) WHERE rk <= 5""", a=ARTICLES))
+SELECT article_id, w AS word, n FROM ({_RANKED_WORDS}) WHERE rk <= 5""", a=ARTICLES), longs=True)
 def a19(spark, sf):
     text = enrich.article_text(F.col("title"), F.col("content"))
     ranked = tx.ranked_tokens(tx.lower_tokens(text))
@@ -368,7 +368,7 @@ LEFT JOIN (SELECT article_id, round_even(coalesce(sum(v.val), 0.0)
              / sqrt(coalesce(sum(v.val), 0.0) * coalesce(sum(v.val), 0.0) + 15), 3) AS c
            FROM (SELECT article_id, unnest({d_tokens('lower(' + _TEXT + ')')}) AS w FROM a) x
            LEFT JOIN ({_valence_rows()}) AS v(word, val) ON x.w = v.word GROUP BY article_id) s
-  ON a.article_id = s.article_id""", a=ARTICLES))
+  ON a.article_id = s.article_id""", a=ARTICLES), longs=True)
 def c01(spark, sf):
     out = enrich.enrich_articles(articles(spark, sf).drop("sentiment"), AW, excerpt=None)
     return out.select("article_id", "sentiment", "sentiment_score", "bias_score",
@@ -411,7 +411,7 @@ def j07(spark, sf):
 
 @query("a20_lexicon_hit_totals", "SELECT doc_id, " + ", ".join(
     f"{d_terms('lower(text)', d_tokens('lower(text)'), t)} AS n_{c}" for c, t in IW.topics.items())
-    + " FROM documents")
+    + " FROM documents", longs=True)
 def a20(spark, sf):
     d = docs(spark, sf).select("doc_id", F.lower("text").alias("text"))
     return lx.count_by_category(d, "text", IW.topics).drop("text")
@@ -459,7 +459,7 @@ def _class_sql(src: str = "a", title: str = "title", body: str = "content") -> s
         cats.append(f"({i}, '{c}', 2 * {tv[0]} + {tv[1]}, 2 * {vv[0]} + {vv[1]})")
     return f"""
     SELECT article_id, type, CASE WHEN high >= 2 THEN 'high' WHEN high >= 1 OR med >= 2 THEN 'medium'
-             ELSE 'low' END AS severity, round_even(score, 2) AS confidence
+             ELSE 'low' END AS severity, CAST(round_even(score, 2) AS DOUBLE) AS confidence
     FROM (SELECT x.article_id, x.high, x.med, c.type, least(1.0, c.topic * 0.20 + c.verb * 0.40)
                    AS score, c.ord
           FROM (SELECT article_id, tc, bc, {d_tokens('tc')} AS tt, {d_tokens('bc')} AS bt,
@@ -586,7 +586,8 @@ SELECT a.article_id, CASE WHEN doc_ok THEN 'scorer' ELSE 'keyword-fallback' END
        CASE WHEN doc_ok THEN true ELSE c.type IS NOT NULL END AS is_incident,
        CASE WHEN doc_ok THEN 'police' ELSE coalesce(c.type, 'info') END AS incident_type,
        CASE WHEN doc_ok THEN 'high' ELSE coalesce(c.severity, 'low') END AS severity,
-       CASE WHEN doc_ok THEN 0.75 ELSE coalesce(c.confidence, 0.0) END AS confidence,
+       CASE WHEN doc_ok THEN CAST(0.75 AS DOUBLE) ELSE coalesce(c.confidence, CAST(0 AS DOUBLE)) END
+         AS confidence,
        CASE WHEN doc_ok THEN 'single_source' ELSE 'llm_unavailable' END AS flags
 FROM (SELECT *, contains(title, 'th') AS doc_ok FROM a) a
 LEFT JOIN ({_class_sql()}) c ON a.article_id = c.article_id"""
@@ -695,7 +696,7 @@ def x02(spark, sf):
 @query("x06_flags_text_and_list", """
 SELECT doc_id, len(l) AS n, array_to_string(l, ',') AS joined FROM (
   SELECT doc_id, list_filter(list_transform(string_split(substring(text, 1, 400), ','),
-                 lambda x: trim(x)), lambda x: trim(x) <> '') AS l FROM documents)""")
+                 lambda x: trim(x)), lambda x: trim(x) <> '') AS l FROM documents)""", longs=True)
 def x06(spark, sf):
     parts = arrays.split_list(F.substring("text", 1, 400))
     return docs(spark, sf).select("doc_id", F.size(parts).alias("n"), arrays.join_list(parts)
