@@ -5,7 +5,7 @@ All of it is row-local: no shuffle, no Python worker.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -88,9 +88,13 @@ def keywords(text: Column, stop: Sequence[str], k: int = 5, pool: int = 30) -> C
 
 def enrich_articles(df: DataFrame, lexicon: ArticleLexicon, title: str = "title",
                     content: str = "content", excerpt: str | None = "excerpt",
-                    baseline: str = "bias_baseline", max_chars: int | None = None) -> DataFrame:
+                    baseline: str = "bias_baseline", max_chars: int | None = None,
+                    sentiment: Callable[[Column], Column] | None = None) -> DataFrame:
     """Add sentiment, sentiment_score, bias_score, topics, keywords and entities.
 
+    ``sentiment`` may replace the valence table by any text -> score expression,
+    for example a ``pandas_udf``.
+
     Blank articles keep their baseline and get neutral defaults, which is what
     the expressions give on an empty text.
     """
@@ -102,7 +106,8 @@ def enrich_articles(df: DataFrame, lexicon: ArticleLexicon, title: str = "title"
     return (df.withColumn("_text", text).withColumn("_base", base)
             .withColumns({
                 "sentiment_score": round_half_even(
-                    sentiment_score(t, lexicon.valence, max_chars), 3),
+                    sentiment(t) if sentiment is not None
+                    else sentiment_score(t, lexicon.valence, max_chars), 3),
                 "bias_score": bias_score(t, F.col("_base"), lexicon.left, lexicon.right)
                 .cast("int"),
                 "topics": topics(t, lexicon.topics),

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from newsgrid.functions import dates, numbers
 from newsgrid.functions.text import title_place_candidates
+from newsgrid.functions.udfs import candidate_udtf
 from newsgrid.operators import lifecycle, locate, moderation, ratelimit, reports
+from newsgrid.operators.registry import PAUSE_HOURS
 from newsgrid.plans.bindings import (
-    ARTICLES, COUNTIES_ROWS, GAZETTEER, INCIDENT_AS_OF, INCIDENTS, PLACES, REQUESTS, TITLE_STOPS,
+    ARTICLES, COUNTIES_ROWS, GAZETTEER, INCIDENT_AS_OF, INCIDENTS, PLACES, REQUESTS, RUNS, TITLE_STOPS,
     UPDATES, counties, counties_sql, countries, countries_sql, county_dicts, d_ascii, places,
     plain, small_table, subs_sql, table, values_sql, view, with_views,
 )
@@ -757,3 +759,32 @@ SELECT event_id, CAST(CAST(ts + INTERVAL '3' HOUR AS DATE) AS VARCHAR) AS day FR
 def dt07(spark, sf):
     return table(spark, sf, "events").select("event_id", dates.local_date(
         F.col("ts"), "Africa/Nairobi").cast("string").alias("day"))
+
+
+@query("dt08_cooldown_end", """
+SELECT event_id, epoch_us(ts + INTERVAL '168' HOUR) AS until_us FROM events WHERE value < 30""")
+def dt08(spark, sf):
+    runs = view(spark, sf, RUNS).filter("articles_seen = 0")
+    return runs.select("event_id", F.unix_micros(dates.plus_hours(F.col("run_at"), PAUSE_HOURS))
+                       .alias("until_us"))
+
+
+@query("dt09_query_time_restriction", with_views("""
+SELECT article_id FROM a WHERE published_at > TIMESTAMP '2024-01-30 00:00:00'""", a=ARTICLES))
+def dt09(spark, sf):
+    a = articles(spark, sf)
+    return a.filter(dates.in_window(F.col("published_at"), "2024-01-31 00:00:00", "24h")).select(
+        "article_id")
+
+
+@query("v04_place_candidate_udtf", f"""
+SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, l[i] AS candidate
+FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i
+      FROM (SELECT doc_id, {_place_sql('substring(text, 1, 120)')} AS l FROM documents))""")
+def v04(spark, sf):
+    """Candidates as a table function, for SQL users."""
+    spark.udtf.register("place_candidates", candidate_udtf(TITLE_STOPS))
+    docs = table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 120)
+                                                .alias("title"))
+    return spark.sql("SELECT d.doc_id, c.pos, c.candidate FROM {d} d, "
+                     "LATERAL place_candidates(d.title) c", d=docs)

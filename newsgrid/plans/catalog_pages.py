@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from newsgrid.functions import html as hx
 from newsgrid.functions.text import strip_tags
+from newsgrid.functions.udfs import page_body_udf
 from newsgrid.plans import ingest
 from newsgrid.plans.bindings import (
     ARTICLE_WORDS, ARTICLES, AS_OF, GAZETTEER, INCIDENT_WORDS, PLACES, SEEN, STORE, TITLE_STOPS,
@@ -13,7 +14,9 @@ from newsgrid.plans.bindings import (
 )
 from newsgrid.plans.catalog_counts import heavy_articles as articles
 from newsgrid.plans.catalog_incidents import _match_sql
-from newsgrid.plans.catalog_text import _class_sql, _gate_sql, _place_sql
+from newsgrid.plans.catalog_text import (
+    _PARTS_TEXT, _class_sql, _gate_sql, _place_sql, text_parts,
+)
 from newsgrid.plans.registry import query
 from newsgrid.session import cut_lineage, spread
 from newsgrid.sources import feeds, landed, pages as pg
@@ -166,20 +169,15 @@ def s04(spark, sf):
                       .alias("us"))
 
 
-@query("s06_nested_advisory_documents", r"""
-SELECT conv_id, md5(coalesce(string_agg('## ' || role || chr(10) || body, chr(10) || chr(10)
-         ORDER BY turn) FILTER (WHERE body <> ''), '')) AS h, 'talk ' || conv_id AS excerpt
-FROM (SELECT conv_id, turn, role, trim(regexp_replace(text, '\s+', ' ', 'g')) AS body
-      FROM conversations) GROUP BY conv_id""")
+@query("s06_nested_advisory_documents", f"""
+SELECT conv_id, turn, {_PARTS_TEXT} AS h, 'talk ' || role AS excerpt
+FROM (SELECT conv_id, turn, role, string_split(text, chr(10)) AS l FROM conversations)""")
 def s06(spark, sf):
-    c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(
-        F.struct("turn", F.col("role").alias("title"), F.col("text").alias("body"))))
-        .alias("parts"))
-    docs = c.select("conv_id", F.to_json(F.struct(
-        F.concat(F.lit("talk "), F.col("conv_id").cast("string")).alias("description"),
-        F.struct("parts").alias("details"))).alias("json"))
+    docs = table(spark, sf, "conversations").select("conv_id", "turn", F.to_json(F.struct(
+        F.concat(F.lit("talk "), "role").alias("description"),
+        F.struct(text_parts().alias("parts")).alias("details"))).alias("json"))
     return landed.advisory_documents(docs, AS_OF).select(
-        "conv_id", F.md5("content").alias("h"), "excerpt")
+        "conv_id", "turn", F.md5("content").alias("h"), "excerpt")
 
 
 _RULES = [
@@ -304,3 +302,10 @@ def c15_funnel(spark, sf):
 @query("c15_incident_ingest_seen", _chain("SELECT url FROM a"))
 def c15_seen(spark, sf):
     return _run(spark, sf).seen.select("url")
+
+
+@query("v03_page_body_udf", f"SELECT page_id, md5({_BODY}) AS h FROM pages")
+def v03(spark, sf):
+    """The page body through an HTML parser instead of expressions."""
+    body = page_body_udf(hx.DEFAULT_CONTAINERS)
+    return raw_pages(spark, sf).select("page_id", F.md5(body("html")).alias("h"))

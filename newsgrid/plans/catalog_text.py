@@ -720,19 +720,23 @@ def x08(spark, sf):
         F.substring("text", 1, 300), " "), 8), " ").alias("first8"))
 
 
-@query("x09_nested_parts_to_text", r"""
-SELECT conv_id, md5(coalesce(string_agg('## ' || role || chr(10) || body, chr(10) || chr(10)
-         ORDER BY turn) FILTER (WHERE body <> ''), '')) AS h
-FROM (SELECT conv_id, turn, role, CASE WHEN role = 'user' THEN '' ELSE
-        trim(regexp_replace(text, '\s+', ' ', 'g')) END AS body FROM conversations)
-GROUP BY conv_id""")
+_PARTS_TEXT = r"""md5(array_to_string(list_transform(list_filter(list_transform(
+         range(1, len(l) + 1), lambda i: struct_pack(i := i, b := trim(regexp_replace(l[i], '\s+', ' ', 'g')))),
+         lambda p: p.b <> ''), lambda p: '## Part ' || (p.i - 1) || chr(10) || p.b), chr(10) || chr(10)))"""
+
+
+def text_parts():
+    """A turn's lines as titled parts of one nested document."""
+    return F.transform(F.split("text", "\n"), lambda line, i: F.struct(
+        F.concat(F.lit("Part "), i.cast("string")).alias("title"), line.alias("body")))
+
+
+@query("x09_nested_parts_to_text", f"""
+SELECT conv_id, turn, {_PARTS_TEXT} AS h
+FROM (SELECT conv_id, turn, string_split(text, chr(10)) AS l FROM conversations)""")
 def x09(spark, sf):
-    """A conversation is one nested document: a bounded list of turns."""
-    c = table(spark, sf, "conversations").select("conv_id", F.struct(
-        "turn", F.col("role").alias("title"),
-        F.when(F.col("role") == "user", "").otherwise(F.col("text")).alias("body")).alias("p"))
-    parts = c.groupBy("conv_id").agg(F.array_sort(F.collect_list("p")).alias("parts"))
-    return parts.select("conv_id", F.md5(joined_parts(F.col("parts"))).alias("h"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.md5(
+        joined_parts(text_parts())).alias("h"))
 
 
 @query("m02_weighted_score", """
@@ -767,3 +771,17 @@ SELECT c_custkey, CASE WHEN c_nationkey > 0 THEN round(c_custkey * 100.0 / c_nat
 def m06(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", numbers.percent(
         F.col("c_custkey"), F.col("c_nationkey")).alias("pct"))
+
+
+@query("v02_sentiment_backend", with_views("""
+SELECT article_id, round_even(len(string_split(content, 'tion')) / 1000.0, 3) AS score,
+       CASE WHEN round_even(len(string_split(content, 'tion')) / 1000.0, 3) >= 0.15 THEN 'positive'
+            ELSE 'neutral' END AS label FROM a""", a=ARTICLES))
+def v02(spark, sf):
+    """A caller's own score in place of the valence table."""
+    def score(text):
+        return F.size(F.split(F.col("content"), "tion")) / F.lit(1000.0)
+    out = enrich.enrich_articles(articles(spark, sf).drop("sentiment"), AW, excerpt=None,
+                                 sentiment=score)
+    return out.select("article_id", F.col("sentiment_score").alias("score"),
+                      F.col("sentiment").alias("label"))
