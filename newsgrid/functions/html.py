@@ -40,6 +40,11 @@ def page_excerpt(html: Column, given: Column | None = None) -> Column:
     return F.coalesce(*([_found(given)] if given is not None else []), *options, F.lit(""))
 
 
+def time_attribute(html: Column) -> Column:
+    """``datetime`` of the first ``<time>``, null when absent."""
+    return _found(attribute(F.regexp_extract(html, r"(?is)<time\b[^>]*>", 0), "datetime"))
+
+
 def page_published(html: Column, as_of, given: Column | None = None) -> Column:
     """JSON-LD, then three meta names, then the first ``<time>``, then ``as_of``."""
     blocks = F.regexp_extract_all(
@@ -47,10 +52,9 @@ def page_published(html: Column, as_of, given: Column | None = None) -> Column:
     dated = F.transform(blocks, lambda b: F.coalesce(
         F.get_json_object(b, "$.datePublished"), F.get_json_object(b, "$[0].datePublished")))
     linked = F.get(F.filter(dated, lambda d: d.isNotNull() & (d != "")), 0)
-    tag = F.regexp_extract(html, r"(?is)<time\b[^>]*>", 0)
     options = [linked, meta_content(html, "article:published_time"),
                meta_content(html, "datePublished"), meta_content(html, "pubdate"),
-               _found(attribute(tag, "datetime"))]
+               time_attribute(html)]
     if given is not None:
         options.insert(0, _found(given))
     return F.coalesce(F.try_to_timestamp(F.coalesce(*options)), instant(as_of))
@@ -64,7 +68,7 @@ DEFAULT_CONTAINERS = (
 
 _SELECTOR = re.compile(
     r"^(?P<tag>[a-z][a-z0-9]*)?(?:\.(?P<cls>[\w-]+))?(?:#(?P<id>[\w-]+))?"
-    r"(?:\[(?P<attr>[\w-]+)='?(?P<val>[^'\]]*)'?\])?$")
+    r"(?:\[(?P<attr>[\w-]+)(?P<part>\*)?='?(?P<val>[^'\]]*)'?\])?$")
 
 
 def opening_pattern(selector: str) -> tuple[str, str]:
@@ -79,7 +83,9 @@ def opening_pattern(selector: str) -> tuple[str, str]:
     if m["id"]:
         need += rf"(?=[^>]*\bid\s*=\s*['\"]{re.escape(m['id'])}['\"])"
     if m["attr"]:
-        need += rf"(?=[^>]*\b{re.escape(m['attr'])}\s*=\s*['\"]{re.escape(m['val'])}['\"])"
+        some = r"[^'\"]*" if m["part"] else ""  # *= asks for a part of the value
+        need += (rf"(?=[^>]*\b{re.escape(m['attr'])}\s*=\s*['\"]{some}{re.escape(m['val'])}"
+                 rf"{some}['\"])")
     return rf"(?is)<({tag})\b{need}[^>]*>", tag
 
 

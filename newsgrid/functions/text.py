@@ -205,7 +205,7 @@ _NAMED = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apo
 
 
 def decode_references(c: Column) -> Column:
-    """Decode named and decimal character references."""
+    """Decode named, decimal and hexadecimal character references."""
     out = c
     for name, char in _NAMED:
         out = F.replace(out, F.lit(name), F.lit(char))
@@ -216,7 +216,15 @@ def decode_references(c: Column) -> Column:
             acc, F.concat(F.lit("&#"), n, F.lit(";")),
             F.decode(F.unhex(F.lpad(F.hex(n.cast("int")), 8, "0")), "UTF-32")))
 
-    return F.replace(let(out, numeric), F.lit("&amp;"), F.lit("&"))
+    def hexadecimal(t: Column) -> Column:
+        codes = F.array_distinct(F.regexp_extract_all(
+            t, F.lit(r"&#([xX][0-9a-fA-F]{1,6});"), F.lit(1)))
+        return F.aggregate(codes, t, lambda acc, n: F.replace(
+            acc, F.concat(F.lit("&#"), n, F.lit(";")),
+            F.decode(F.unhex(F.lpad(F.substring(n, 2, 6), 8, "0")), "UTF-32")))
+
+    decoded = let(let(out, numeric), hexadecimal)
+    return F.replace(decoded, F.lit("&amp;"), F.lit("&"))
 
 
 def strip_tags(html: Column, sep: str = " ") -> Column:

@@ -212,8 +212,8 @@ def validate_updates(df: DataFrame, max_chars: int = 2000, salt: str = "") -> Da
 
     clean = df.withColumn("body", strip_tags(F.col("body"))).filter(F.col("body") != "")
     body = F.substring("body", 1, max_chars)
-    title = F.coalesce(F.when(blank_if_null(given("title").cast("string")) != "",
-                              given("title").cast("string")), first_words(body, 10))
+    asked = given("title").cast("string")
+    title = F.when(asked.isNull(), first_words(body, 10)).when(asked == "", "Update").otherwise(asked)
     return clean.withColumns({
         "title": title,
         "source": whitelisted(given("source").cast("string"), UPDATE_SOURCES, F.lit("community")),

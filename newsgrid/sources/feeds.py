@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newsgrid.functions.dates import parse_instant
-from newsgrid.functions.text import blank_if_null, strip_tags
+from newsgrid.functions.text import blank_if_null
 
 _LINK = "struct<_VALUE:string,_href:string>"
 _TEXT = "string"
@@ -37,6 +37,6 @@ def feed_articles(items: DataFrame, as_of, source: str, max_excerpt: int = 500)
             ("link", "title", "summary", "description", "published", "updated", "pubDate")]
     return (items.select(
         *rest, link.alias("url"), F.when(title == "", "(untitled)").otherwise(title).alias("title"),
-        F.substring(strip_tags(summary), 1, max_excerpt).alias("excerpt"), summary.alias("content"),
+        F.substring(summary, 1, max_excerpt).alias("excerpt"), summary.alias("content"),
         parse_instant(text("published", "pubDate", "updated"), as_of).alias("published_at"),
         F.lit(source).alias("source")).filter(F.col("url") != ""))

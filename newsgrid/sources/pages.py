@@ -12,6 +12,7 @@ from newsgrid.functions.dates import instant, last_updated_date, reissue_date
 from newsgrid.functions.html import (
     DEFAULT_CONTAINERS, absolute_url, container_html, page_body, page_excerpt, page_links,
     page_published, page_title,
+    time_attribute,
 )
 from newsgrid.functions.text import blank_if_null, strip_tags, with_level
 from newsgrid.operators.dedupe import first_per_url
@@ -65,12 +66,15 @@ class AdvisoryRule:
 
     issuer: str
     title: str
-    level: Sequence[str] = ()
-    body: Sequence[str] = ("main", "article")
-    level_pattern: str | None = None
+    title_from: str | None = None     # element whose text follows title_prefix, if present
+    title_prefix: str = ""
+    level: Sequence[str] = ()         # elements that may hold the level badge
+    level_pattern: str | None = None  # or a pattern over the page text
     level_max: int | None = None
     level_shorter_than: int | None = None
-    dated: str | None = None          # "reissued", "last_updated" or None
+    body: Sequence[str] = ("main", "article")
+    dated: str | None = None          # "reissued", "last_updated", "time" or None
+    excerpt: str | None = None        # fixed text before the level, instead of the description
     excerpt_from_body: bool = False
 
 
@@ -89,17 +93,24 @@ def advisory_pages(pages: DataFrame, rules: Sequence[AdvisoryRule], as_of,
         if rule.level_pattern:
             badge = F.regexp_extract(strip_tags(html), rule.level_pattern, 1)
         content = page_body(html, rule.body)
-        found = evaluate_once(mine, content=content, _badge=badge, _meta=page_excerpt(html))
-        when = {"reissued": reissue_date, "last_updated": last_updated_date}.get(rule.dated)
-        published = instant(as_of) if when is None else F.coalesce(
-            when(F.col("content")), instant(as_of))
+        head = strip_tags(container_html(html, rule.title_from)) if rule.title_from else F.lit("")
+        found = evaluate_once(mine, content=content, _badge=badge, _meta=page_excerpt(html),
+                              _head=head, _time=time_attribute(html))
+        when = {"reissued": reissue_date(F.col("content")),
+                "last_updated": last_updated_date(F.col("content")),
+                "time": F.try_to_timestamp(F.col("_time"))}.get(rule.dated)
+        published = instant(as_of) if when is None else F.coalesce(when, instant(as_of))
         excerpt = F.col("_meta")
-        if rule.excerpt_from_body:
+        if rule.excerpt is not None:
+            excerpt = F.trim(F.concat(F.lit(rule.excerpt + " "), F.col("_badge")))
+        elif rule.excerpt_from_body:
             excerpt = F.when(F.col("_meta") != "", F.col("_meta")).otherwise(
                 F.substring("content", 1, 280))
+        title = F.when(F.col("_head") != "", F.concat(F.lit(rule.title_prefix), F.col("_head"))
+                       ).otherwise(F.lit(rule.title))
         rows = found.select(
             *[c for c in pages.columns if c != "html"],
-            with_level(F.lit(rule.title), F.col("_badge"), rule.level_max,
+            with_level(title, F.col("_badge"), rule.level_max,
                        rule.level_shorter_than).alias("title"),
             blank_if_null(excerpt).alias("excerpt"), "content", published.alias("published_at"),
             F.lit(rule.issuer).alias("source"))

@@ -55,8 +55,8 @@ def test_headline_and_publisher(one):
 
 
 def test_tag_stripping_and_references(one):
-    t = "<p>a&amp;lt;b &#233;</p><script>var x='</p>'</script><!-- no --><b>c</b>"
-    assert one(tx.strip_tags(c()), t=t) == "a&lt;b é c"
+    t = "<p>a&amp;lt;b &#233;&#xE9;</p><script>var x='</p>'</script><!-- no --><b>c</b>"
+    assert one(tx.strip_tags(c()), t=t) == "a&lt;b éé c"
 
 
 def test_first_words(one):
@@ -162,3 +162,22 @@ def test_joined_parts_skip_empty_bodies(spark):
     df = spark.sql("""SELECT array(named_struct('title', 'A', 'body', '<p>x</p>'),
         named_struct('title', 'B', 'body', '<p> </p>'), named_struct('title', 'C', 'body', 'y')) AS p""")
     assert df.select(records.joined_parts(F.col("p"))).first()[0] == "## A\nx\n\n## C\ny"
+
+
+def test_advisory_rules(spark):
+    from newsgrid.sources.pages import AdvisoryRule, advisory_pages
+    pages = spark.createDataFrame([
+        ("a", "<h1>Conseils</h1><div class='my-Level-x'>Level 2: care</div><article>Text. Reissued "
+              "with updates: March 3, 2025 now</article>"),
+        ("b", "<main>危険 レベル 2<time datetime='2024-02-03T00:00:00Z'></time></main>"),
+        ("c", "<article>plain</article>")], "issuer string, html string")
+    rules = [AdvisoryRule("a", "A", title_from="h1", title_prefix="Office: ",
+                          level=("[class*='level']",), level_max=7, dated="reissued"),
+             AdvisoryRule("b", "B", level_pattern=r"(レベル\s*[1-4])", excerpt="Info.", dated="time"),
+             AdvisoryRule("c", "C", title_from="h1", excerpt_from_body=True)]
+    out = {r["issuer"]: r for r in advisory_pages(pages, rules, "2020-01-01 00:00:00").collect()}
+    assert out["a"]["title"] == "Office: Conseils — Level 2"
+    assert out["a"]["published_at"].month == 3
+    assert (out["b"]["title"], out["b"]["excerpt"]) == ("B — レベル 2", "Info. レベル 2")
+    assert out["b"]["published_at"].year == 2024
+    assert (out["c"]["title"], out["c"]["excerpt"]) == ("C", "plain")
