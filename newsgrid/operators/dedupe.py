@@ -52,11 +52,11 @@ def insert_if_absent(batch: DataFrame, store: DataFrame, order: Sequence[Column]
     titled = batch.filter(F.trim(blank_if_null(F.col("title"))) != "") if "title" in batch.columns \
         else batch
     live = store.filter(F.col(status).isin(*LIVE_STATUSES)) if status in store.columns else store
-    named = titled.filter(blank_if_null(F.col(url)) != "")
-    fresh = first_per_url(named, order, url).join(
-        live.select(F.col(store_url).alias(url)).distinct(), url, "left_anti").select(*batch.columns)
-    unnamed = titled.filter(blank_if_null(F.col(url)) == "").select(*batch.columns)
-    return fresh.unionByName(unnamed)
+    # Every row without a URL is a group of its own, so one pass serves both kinds.
+    own = F.when(blank_if_null(F.col(url)) == "", F.monotonically_increasing_id())
+    first = keep_first(titled.withColumn("_own", own), [url, "_own"], order)
+    stored = live.select(F.col(store_url).alias(url)).filter(blank_if_null(F.col(url)) != "")
+    return first.join(stored.distinct(), url, "left_anti").select(*batch.columns)
 
 
 def rejects(batch: DataFrame, required: str = "title") -> DataFrame:

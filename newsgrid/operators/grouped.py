@@ -48,6 +48,8 @@ def zero_streaks(runs: DataFrame, label: str = "label", run_at: str = "run_at",
     upto = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = (runs
             .withColumn("_bucket", F.floor(F.unix_seconds(run_at) / bucket_seconds))
+            # Said once here, so that both uses below share one shuffle.
+            .filter(F.col("_bucket").isNotNull() & F.col(label).isNotNull())
             .withColumn("_rn", F.row_number().over(within))
             .withColumn("_ok", F.when(F.col(seen) > 0, F.col("_rn")))
             .withColumn("_last_ok", F.max("_ok").over(upto))

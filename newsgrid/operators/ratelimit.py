@@ -146,7 +146,7 @@ def greedy_accept(events: DataFrame, key: str, ts: str, event_id: str, window_se
 
     ``consumes`` names a boolean column of requests that may take the window
     (all do by default); the others are only told whether they were limited.
-    Equal times are ordered by ``event_id``.
+    Equal times are ordered by ``event_id``; events without a time are left out.
     """
     window_us = window_seconds * _MICROS
     chunk_us = (chunk_seconds or max(24 * window_seconds, 86400)) * _MICROS
@@ -155,7 +155,9 @@ def greedy_accept(events: DataFrame, key: str, ts: str, event_id: str, window_se
     slim = (events.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_key"),
                           F.col(event_id).alias("_id"), F.unix_micros(ts).alias("_us"),
                           uses.alias("_uses"))
-            .withColumn("_chunk", F.floor(F.col("_us") / chunk_us))
+            .withColumn("_chunk", F.expr(f"(_us - pmod(_us, {chunk_us}L)) div {chunk_us}L"))
+            # Said once here, or the join adds it to one side and the shuffle runs twice.
+            .filter(F.col("_chunk").isNotNull())
             .repartition("_key", "_chunk"))
     order = ["_key", "_chunk", "_us", "_id"]
     steps = slim.sortWithinPartitions(*order).mapInPandas(
