@@ -272,7 +272,7 @@ def _chain(sql: str) -> str:
 SELECT article_id, type, severity, confidence, location_name, review_reason,
        'pending' AS post_status, false AS is_verified FROM ({_INCIDENT_ROWS})"""))
 def c15_incidents(spark, sf):
-    return _run(spark, sf, keep_incidents=cut_lineage).incidents.select(
+    return _run(spark, sf, keep_incidents=cut_lineage).incidents().select(
         "article_id", "type", "severity", "confidence", "location_name", "review_reason",
         "post_status", "is_verified")
 
@@ -280,7 +280,7 @@ def c15_incidents(spark, sf):
 @query("c15_incident_ingest_articles", _chain("""
 SELECT article_id, url FROM a WHERE url NOT IN (SELECT url FROM st WHERE post_status = 'publish')"""))
 def c15_articles(spark, sf):
-    return _run(spark, sf).articles.select("article_id", "url")
+    return _run(spark, sf).articles().select("article_id", "url")
 
 
 @query("c15_incident_ingest_funnel", _chain(f"""
@@ -296,12 +296,12 @@ FROM all_a LEFT JOIN (
   ON all_a.article_id = x.article_id
 GROUP BY source"""))
 def c15_funnel(spark, sf):
-    return _run(spark, sf).funnel
+    return _run(spark, sf).funnel()
 
 
 @query("c15_incident_ingest_seen", _chain("SELECT url FROM a"))
 def c15_seen(spark, sf):
-    return _run(spark, sf).seen.select("url")
+    return _run(spark, sf).seen().select("url")
 
 
 @query("v03_page_body_udf", f"SELECT page_id, md5({_BODY}) AS h FROM pages")

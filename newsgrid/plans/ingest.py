@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -29,12 +30,12 @@ def dedupe_and_ingest(batch: DataFrame, store: DataFrame, seen: DataFrame,
 
 @dataclass(frozen=True)
 class IngestRun:
-    """Lazy results of one run."""
+    """Results of one run, each planned only when asked for."""
 
-    articles: DataFrame
-    incidents: DataFrame
-    seen: DataFrame
-    funnel: DataFrame
+    articles: Callable[[], DataFrame]
+    incidents: Callable[[], DataFrame]
+    seen: Callable[[], DataFrame]
+    funnel: Callable[[], DataFrame]
 
 
 def assess(fresh: DataFrame, articles: ArticleLexicon, incidents: IncidentLexicon,
@@ -113,25 +114,35 @@ def run_ingest(batch: DataFrame, article_store: DataFrame, incident_store: DataF
     does the same for the narrow rows of the incidents among them.
     """
     fresh = drop_seen(first_per_url(batch, order), seen)
-    assessed = keep(assess(fresh, articles, incidents, scorer, score_all))
-    stored = insert_if_absent(assessed.drop("candidate", "intel", "outcome"), article_store, order)
-    found = incident_payload(assessed, gazetteer, places, as_of, row_id, stop_words, home,
-                             keep_incidents)
-    new_incidents = insert_if_absent(found, incident_store, [F.asc(row_id)],
-                                     url="source_url", store_url="source_url")
-    # Accounting without marking every duplicate: a source's rows minus its fresh ones.
-    asked = batch.groupBy("source").agg(F.count("*").alias("seen"))
-
-    def n(*values: str) -> Column:
-        return F.count_if(F.col("outcome").isin(*values))
-
-    ended = assessed.groupBy("source").agg(
-        F.count("*").alias("_fresh"), n("prefilter_dropped").alias("prefilter_dropped"),
-        n("rejected", "incident").alias("scorer_checked"),
-        n("rejected").alias("scorer_rejected"), n("incident").alias("incidents"))
-    counts = ("prefilter_dropped", "scorer_checked", "scorer_rejected", "incidents")
-    funnel = asked.join(ended, "source", "left").select(
-        "source", "seen",
-        (F.col("seen") - F.coalesce("_fresh", F.lit(0))).alias("already_seen"),
-        *[F.coalesce(c, F.lit(0)).alias(c) for c in counts])
-    return IngestRun(stored, new_incidents, mark_seen(seen, fresh, as_of), funnel)
+
+    @cache
+    def assessed() -> DataFrame:
+        return keep(assess(fresh, articles, incidents, scorer, score_all))
+
+    def stored() -> DataFrame:
+        return insert_if_absent(assessed().drop("candidate", "intel", "outcome"), article_store,
+                                order)
+
+    def new_incidents() -> DataFrame:
+        found = incident_payload(assessed(), gazetteer, places, as_of, row_id, stop_words, home,
+                                 keep_incidents)
+        return insert_if_absent(found, incident_store, [F.asc(row_id)],
+                                url="source_url", store_url="source_url")
+
+    def funnel() -> DataFrame:
+        # Accounting without marking every duplicate: a source's rows minus its fresh ones.
+        def n(*values: str) -> Column:
+            return F.count_if(F.col("outcome").isin(*values))
+
+        asked = batch.groupBy("source").agg(F.count("*").alias("seen"))
+        ended = assessed().groupBy("source").agg(
+            F.count("*").alias("_fresh"), n("prefilter_dropped").alias("prefilter_dropped"),
+            n("rejected", "incident").alias("scorer_checked"),
+            n("rejected").alias("scorer_rejected"), n("incident").alias("incidents"))
+        counts = ("prefilter_dropped", "scorer_checked", "scorer_rejected", "incidents")
+        return asked.join(ended, "source", "left").select(
+            "source", "seen",
+            (F.col("seen") - F.coalesce("_fresh", F.lit(0))).alias("already_seen"),
+            *[F.coalesce(c, F.lit(0)).alias(c) for c in counts])
+
+    return IngestRun(stored, new_incidents, lambda: mark_seen(seen, fresh, as_of), funnel)

@@ -151,3 +151,27 @@ def test_review_reasons_in_order(one):
     none = one(moderation.review_reason(F.lit(0.6), F.lit(False), F.lit(2), F.lit("X"),
                                         F.lit(False), F.array(F.lit("y"))))
     assert none == ""
+
+
+def test_starter_vocabulary(spark):
+    from newsgrid import defaults
+    df = spark.createDataFrame([("Lorry collided with bus", "A fatal crash. Police said a success.", 0)],
+                               "title string, content string, bias_baseline int")
+    row = cl.classify_incidents(enrich.enrich_articles(df, defaults.ARTICLES, excerpt=None),
+                                defaults.INCIDENTS).first()
+    assert (row["incident"]["type"], row["incident"]["severity"]) == ("accident", "medium")
+    assert row["topics"] == ["security"] and row["sentiment"] == "positive"
+
+
+def test_one_url_with_most_rows(spark):
+    """A URL with nine tenths of the batch: same result, and the limit sits before the shuffle."""
+    from newsgrid.operators.dedupe import insert_if_absent
+    batch = spark.range(20000).select(
+        F.col("id").alias("article_id"), F.lit("t").alias("title"),
+        F.when(F.col("id") % 10 == 0, F.concat(F.lit("u"), F.col("id").cast("string")))
+        .otherwise("hot").alias("url"))
+    store = spark.createDataFrame([("u0", "publish")], "url string, post_status string")
+    out = insert_if_absent(batch, store, [F.asc("article_id")])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.rindex("WindowGroupLimit") > plan.index("Exchange")
+    assert out.count() == 2000 and out.filter("url = 'hot'").first()["article_id"] == 1
