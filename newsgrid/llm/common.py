@@ -31,18 +31,25 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder's path in the shared folder; it is deleted when the driver's JVM ends."""
+    path = f"{checkpoint_dir(spark)}/newsgrid-{label}-{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(hadoop.getParent())
+    files.deleteOnExit(hadoop)
+    return path
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts lineage, so a lost executor replays one stage at most, and fixes what
-    later passes see.  The folder is deleted when the driver's JVM ends.
+    later passes see.
     """
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/newsgrid-{label}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, label)
     df.write.parquet(path)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def slices(lengths: np.ndarray, most: int) -> list[tuple[int, int]]:

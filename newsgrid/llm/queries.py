@@ -6,11 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newsgrid.llm.bpe import bpe_decode, bpe_encode
-from newsgrid.llm.common import ORACLES, QUERIES, query, read
+from newsgrid.llm.common import ORACLES, QUERIES, query, read, scratch
+from newsgrid.llm.huffman import read_tokens, write_texts
+from newsgrid.llm.shard import shard_by_bytes
 
 __all__ = ["ORACLES", "QUERIES"]
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def bpe_digest(docs: DataFrame) -> DataFrame:
@@ -26,3 +29,19 @@ def bpe_digest(docs: DataFrame) -> DataFrame:
 @query("op9_bpe_round_trip")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(read(spark, sf_dir, "documents"))
+
+
+@query("op3_shards")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_by_bytes(read(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op7_token_file")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "token-file")
+    write_texts(read(spark, sf_dir, "documents"), WORD_TOKENIZER, path)
+    return read_tokens(spark, path).select(
+        "doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"),
+        F.crc32("ids").alias("ids_crc32"))
