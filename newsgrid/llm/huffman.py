@@ -28,53 +28,102 @@ from newsgrid.llm.common import lists, materialise, slices
 LIMIT = 18            # longest code; vocabularies have up to 2 ** LIMIT ids
 BLOCK_IDS = 1 << 16   # ids after which a block is closed; a document is never split
 STRIDE = 128
-BATCH_CHARS = 1 << 21
-CACHE_WORDS = 300_000
+BATCH_CHARS = 1 << 22
+CACHE_WORDS = 400_000
 CACHED_LENGTH = 100
+GROUP_WORDS = 64
+# First UTF-8 bytes of the combining marks U+0300 to U+036F.
+COMBINING_LEADS = {0xCC, 0xCD}
 
 
 class Words(dict):
     """Words between spaces to the bytes of their ids, by the tokenizers library.
 
     Its pattern drops white space and never joins across it, so a text's ids are
-    those of its words in a row.
+    those of its words in a row.  It also parts letters and digits from other
+    marks, so marks at a word's end are looked up alone.
     """
 
-    def __init__(self, definition: str):
+    def __init__(self, definition: str, kind: str):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(definition)
+        self.kind = kind
+        self.again: set[bytes] = set()            # words found in the cache since it was emptied
+
+    def split(self, text: str) -> list[bytes]:
+        raw = text.encode()
+        if not COMBINING_LEADS & set(raw):        # else a mark could compose with a letter's other case
+            raw = raw.lower()
+        return raw.replace(b"\n", b" ").split(b" ")
+
+    def learn(self, pieces: list[bytes]) -> None:
+        texts = [p.decode() for p in pieces]
+        plain = [i for i, t in enumerate(texts) if t.isalpha()]
+        odd = [i for i, t in enumerate(texts) if not t.isalpha()]
+        width = np.dtype(self.kind).itemsize
+        for a in range(0, len(plain), GROUP_WORDS):
+            group = plain[a:a + GROUP_WORDS]
+            got = self.tokenizer.encode(" ".join([texts[i] for i in group]),
+                                        add_special_tokens=False)
+            of = got.word_ids
+            if not of or of[-1] != len(group) - 1:      # a word is more than one unit of the pattern
+                odd += group
+                continue
+            raw = np.array(got.ids, self.kind).tobytes()
+            ends = (np.searchsorted(of, range(len(group)), side="right") * width).tolist()
+            self.update(zip([pieces[i] for i in group],
+                            [raw[x:y] for x, y in zip([0, *ends], ends)]))
+        for a in range(0, len(odd), 4096):
+            got = self.tokenizer.encode_batch([texts[i] for i in odd[a:a + 4096]],
+                                              add_special_tokens=False)
+            self.update((pieces[i], np.array(e.ids, self.kind).tobytes())
+                        for i, e in zip(odd[a:], got))
 
     def encode(self, texts: list[str], end: bytes) -> tuple[list[bytes], np.ndarray]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self) > CACHE_WORDS:
+        split = [self.split(t) for t in texts]
+        unique = set().union(*split)
+        new = unique.difference(self)
+        self.again |= unique - new
+        if len(self) + len(new) > CACHE_WORDS:
+            kept = {w: self[w] for w in self.again if w in self and len(w) <= CACHED_LENGTH}
             self.clear()
-        new = list({w for words in split for w in words} - self.keys())
-        for a in range(0, len(new), 4096):
-            got = self.tokenizer.encode_batch(new[a:a + 4096], add_special_tokens=False)
-            self.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new[a:], got))
+            self.again = set()
+            if len(kept) < CACHE_WORDS // 2:
+                self.update(kept)
+            new = unique.difference(self)
+        parts, pieces = [], set()
+        for w in new:
+            core = w.rstrip(b".,!?;:")
+            if core and core != w and (core[-1:].isalnum()):
+                parts.append((w, core, w[len(core):]))
+                pieces.add(core)
+                pieces.add(w[len(core):])
+            else:
+                pieces.add(w)
+        self.learn(list(pieces.difference(self)))
+        for w, core, rest in parts:
+            self[w] = self[core] + self[rest]
         out = [b"".join([*map(self.__getitem__, words), end]) for words in split]
-        for w in [w for w in new if len(w) > CACHED_LENGTH]:
-            del self[w]
-        return out, np.fromiter(map(len, out), np.int64, len(out)) // 4
+        return out, np.fromiter(map(len, out), np.int64, len(out)) // np.dtype(self.kind).itemsize
 
 
 @lru_cache(maxsize=2)
-def word_cache(definition: str) -> Words:
-    return Words(definition)
+def word_cache(definition: str, kind: str) -> Words:
+    return Words(definition, kind)
 
 
 def tokenize(df: DataFrame, tokenizer_path: str, end_id: int, key: str = "doc_id",
-             text: str = "text") -> DataFrame:
-    """``key`` and ``ids``: little-endian unsigned 32-bit ids of the whole text and ``end_id``."""
+             text: str = "text", kind: str = "<u4") -> DataFrame:
+    """``key`` and ``ids``: the ids of the whole text and ``end_id`` as numbers of ``kind``."""
     with open(tokenizer_path, encoding="utf-8") as file:
         definition = df.sparkSession.sparkContext.broadcast(file.read())
     schema = T.StructType([df.schema[key], T.StructField("ids", T.BinaryType())])
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], kind).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_cache(definition.value)
+        words = word_cache(definition.value, kind)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in slices(np.fromiter(map(len, texts), np.int64, len(texts)), BATCH_CHARS):
@@ -86,13 +135,13 @@ def tokenize(df: DataFrame, tokenizer_path: str, end_id: int, key: str = "doc_id
     return df.select(key, text).mapInArrow(run, schema)
 
 
-def id_counts(tokens: DataFrame) -> DataFrame:
+def id_counts(tokens: DataFrame, kind: str = "<u4") -> DataFrame:
     """How often every id occurs; each task sums its own before the shuffle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
             for a, b in slices(np.array([len(x) for x in batch.column(0).to_pylist()]), 1 << 24):
-                ids = np.frombuffer(b"".join(batch.column(0).slice(a, b - a).to_pylist()), "<u4")
+                ids = np.frombuffer(b"".join(batch.column(0).slice(a, b - a).to_pylist()), kind)
                 counts = np.bincount(ids, minlength=len(total))
                 counts[:len(total)] += total
                 total = counts
@@ -192,19 +241,20 @@ def load_code(spark: SparkSession, path: str):
                                              np.array([r.length for r in rows], np.int64)))
 
 
-def write_tokens(tokens: DataFrame, path: str, key: str = "doc_id") -> None:
-    """Write ``tokens`` (``key``, ``ids``) as a token file in ascending order of ``key``."""
+def write_tokens(tokens: DataFrame, path: str, key: str = "doc_id", kind: str = "<u4") -> None:
+    """Write ``tokens`` (``key``, ``ids`` of ``kind``) as a token file in ascending order of ``key``."""
     spark = tokens.sparkSession
-    counted = id_counts(tokens).orderBy("id").collect()     # bounded by the vocabulary
+    width = np.dtype(kind).itemsize
+    counted = id_counts(tokens, kind).orderBy("id").collect()     # bounded by the vocabulary
     lengths = code_lengths(np.array([r.n for r in counted], np.int64))
     spark.createDataFrame([(r.id, int(n)) for r, n in zip(counted, lengths)],
                           "id long, length int").coalesce(1).write.parquet(f"{path}/codebook")
     code = load_code(spark, path)
-    kind = tokens.schema[key].dataType
+    key_type = tokens.schema[key].dataType
     schema = T.StructType([
         T.StructField("part", T.IntegerType()), T.StructField("block", T.IntegerType()),
         T.StructField("first", T.LongType()), T.StructField("n_ids", T.LongType()),
-        T.StructField("keys", T.ArrayType(kind)),
+        T.StructField("keys", T.ArrayType(key_type)),
         T.StructField("counts", T.ArrayType(T.IntegerType())),
         T.StructField("checkpoints", T.ArrayType(T.LongType())),
         T.StructField("payload", T.BinaryType())])
@@ -215,11 +265,11 @@ def write_tokens(tokens: DataFrame, path: str, key: str = "doc_id") -> None:
         def close() -> pa.RecordBatch:
             nonlocal block, first, held, held_ids
             raw = [x for _, x in held]
-            payload, offsets = code.value.pack(np.frombuffer(b"".join(raw), "<u4"))
+            payload, offsets = code.value.pack(np.frombuffer(b"".join(raw), kind))
             out = pa.RecordBatch.from_arrays([
                 pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([first]),
                 pa.array([held_ids]), pa.array([[k for k, _ in held]], keys),
-                lists(np.array([len(x) // 4 for x in raw], np.int32), np.array([len(raw)]),
+                lists(np.array([len(x) // width for x in raw], np.int32), np.array([len(raw)]),
                       pa.int32()),
                 lists(offsets, np.array([len(offsets)]), pa.int64()),
                 pa.array([payload], pa.binary())], names=schema.names)
@@ -230,7 +280,7 @@ def write_tokens(tokens: DataFrame, path: str, key: str = "doc_id") -> None:
             keys = pa.list_(batch.schema.field(0).type)
             for pair in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 held.append(pair)
-                held_ids += len(pair[1]) // 4
+                held_ids += len(pair[1]) // width
                 if held_ids >= BLOCK_IDS:
                     yield close()
         if held:
@@ -286,4 +336,7 @@ def read_tokens(spark: SparkSession, path: str, key: str = "doc_id") -> DataFram
 def write_texts(df: DataFrame, tokenizer_path: str, path: str, end_id: int = 1,
                 key: str = "doc_id", text: str = "text") -> None:
     """Tokenise whole texts and write them as a token file."""
-    write_tokens(materialise(tokenize(df, tokenizer_path, end_id, key, text), "tokens"), path, key)
+    from tokenizers import Tokenizer
+    kind = "<u2" if Tokenizer.from_file(tokenizer_path).get_vocab_size() <= 1 << 16 > end_id else "<u4"
+    tokens = materialise(tokenize(df, tokenizer_path, end_id, key, text, kind), "tokens")
+    write_tokens(tokens, path, key, kind)

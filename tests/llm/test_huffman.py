@@ -44,9 +44,11 @@ def test_bits(n):
 
 
 def test_words_equal_library():
-    own, lib = Words(open(PATH).read()), Tokenizer.from_file(PATH)
+    own, lib = Words(open(PATH).read(), "<u4"), Tokenizer.from_file(PATH)
     texts = ["", " ", "It's  a\n\ntest", "ÉCOLE über", "a b\x1cc", "́x y", "<|endoftext|> x",
-             "don'<|startoftext|>'s", "日本 🙂", "Σας ΣΑΣ", "1234 5", "w" * 3000, "x y\tz"]
+             "don'<|startoftext|>'s", "日本 🙂", "Σας ΣΑΣ", "1234 5", "w" * 3000, "x y\tz",
+             "J\u030c j\u030c \u01f0 \u0130I\u0307", "End. END!! a'. é. 'x.' ...a 5. x\u0301. (b). it's. \u00b2.",
+             "a\u00a0b. \u2126hm \u00c5 \u1fbe \u0345. \ufb01.", "aa\u1100\u1161. \ud55c."]
     out, _ = own.encode(texts, b"")
     for text, raw in zip(texts, out):
         assert np.frombuffer(raw, "<u4").tolist() == lib.encode(
