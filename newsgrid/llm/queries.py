@@ -7,14 +7,21 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newsgrid.llm.bpe import bpe_decode, bpe_encode
 from newsgrid.llm.common import ORACLES, QUERIES, query, read, scratch
+from newsgrid.llm.decontaminate import find_items
+from newsgrid.llm.hostrank import judge_urls
 from newsgrid.llm.huffman import read_tokens, write_texts
+from newsgrid.llm.lines import dedup_lines
 from newsgrid.llm.shard import shard_by_bytes
+from newsgrid.llm.simhash import group_near
 
 __all__ = ["ORACLES", "QUERIES"]
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
+ALLOW = ("org/", "com/fr/")
+BLOCK = ("example.org/es/", "example.org/en/1", "com/de/")
+
 
 def bpe_digest(docs: DataFrame) -> DataFrame:
     """Encode, decode again, and reduce both to digests."""
@@ -45,3 +52,94 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path).select(
         "doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op1_simhash_groups")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_near(read(spark, sf_dir, "documents"))
+
+
+def _fits(rule: str) -> str:
+    name, _, start = rule.partition("/")
+    return f"((host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '/{start}'))"
+
+
+OP6_SQL = r"""
+WITH RECURSIVE cut AS (
+  SELECT page_id, html, CASE WHEN strpos(url, '://') > 0
+                             THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+  FROM pages),
+named AS (
+  SELECT page_id, html, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM cut),
+found AS (
+  SELECT page_id, html, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM named),
+ruled AS (
+  SELECT *, CASE """ + " ".join(f"WHEN {_fits(r)} THEN '{r}'" for r in sorted(
+    (*ALLOW, *BLOCK), key=lambda r: (-len(r), r))) + r""" END AS rule FROM found),
+links AS (
+  SELECT host AS src, lower(unnest(regexp_extract_all(
+    html, '(?i)\shref\s*=\s*["'']?\s*(?:https?:)?//([^\s"''<>/?#]+)', 1))) AS dst
+  FROM ruled WHERE host <> ''),
+edges AS (SELECT src, dst, count(*) AS n FROM links WHERE src <> dst GROUP BY src, dst),
+spread AS (
+  SELECT 'trust' AS kind, src AS host, dst AS next, n / sum(n) OVER (PARTITION BY src) AS share FROM edges
+  UNION ALL
+  SELECT 'distrust', dst, src, n / sum(n) OVER (PARTITION BY dst) FROM edges),
+step AS (
+  SELECT 0 AS round, CASE WHEN rule IN """ + str(BLOCK) + r""" THEN 'distrust' ELSE 'trust' END AS kind,
+         host, count(*) * 0.15::DOUBLE AS score
+  FROM ruled WHERE rule IS NOT NULL GROUP BY ALL
+  UNION ALL
+  SELECT round + 1, kind, next, sum(score * share * 0.85::DOUBLE)
+  FROM step JOIN spread USING (kind, host) WHERE round < 50 GROUP BY round, kind, next),
+scores AS (
+  SELECT host, coalesce(sum(score) FILTER (kind = 'trust'), 0) AS trust,
+         coalesce(sum(score) FILTER (kind = 'distrust'), 0) AS distrust FROM step GROUP BY host)
+SELECT page_id, r.host, path, rule,
+       CASE WHEN rule IN """ + str(BLOCK) + r""" THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+            WHEN distrust > 2.0 * trust THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled r LEFT JOIN scores s ON r.host = s.host
+"""
+
+
+@query("op6_url_verdicts", OP6_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(read(spark, sf_dir, "pages"), ALLOW, BLOCK)
+
+
+OP8_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), x -> x <> '') AS w
+  FROM documents),
+i AS (
+  SELECT item_id, w, least(5, len(w)) AS n FROM (
+    SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), x -> x <> '') AS w
+    FROM benchmark) WHERE len(w) > 0),
+ds AS (
+  SELECT DISTINCT doc_id, n, unnest(list_transform(range(1, len(w) - n + 2),
+         k -> array_to_string(w[k:k + n - 1], ' '))) AS s
+  FROM d, (SELECT DISTINCT n FROM i) WHERE len(w) >= n),
+si AS (
+  SELECT DISTINCT item_id, n, unnest(list_transform(range(1, len(w) - n + 2),
+         k -> array_to_string(w[k:k + n - 1], ' '))) AS s FROM i),
+total AS (SELECT item_id, count(*) AS n_shingles FROM si GROUP BY item_id)
+SELECT doc_id, item_id, n_shingles, count(*) AS n_shared, count(*) / n_shingles AS containment
+FROM ds JOIN si USING (n, s) JOIN total USING (item_id)
+GROUP BY doc_id, item_id, n_shingles
+HAVING count(*) >= ceil(0.8 * n_shingles - 1e-9)
+"""
+
+
+@query("op8_benchmark_matches", OP8_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_items(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query("op10_line_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(docs, spans="spans").select(
+        "doc_id", F.aggregate("spans", F.lit(0), lambda n, s: n + s["end"] - s["first"])
+        .cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
