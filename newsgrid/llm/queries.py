@@ -92,7 +92,7 @@ step AS (
   FROM ruled WHERE rule IS NOT NULL GROUP BY ALL
   UNION ALL
   SELECT round + 1, kind, next, sum(score * share * 0.85::DOUBLE)
-  FROM step JOIN spread USING (kind, host) WHERE round < 50 GROUP BY round, kind, next),
+  FROM step JOIN spread USING (kind, host) WHERE round < 60 GROUP BY round, kind, next),
 scores AS (
   SELECT host, coalesce(sum(score) FILTER (kind = 'trust'), 0) AS trust,
          coalesce(sum(score) FILTER (kind = 'distrust'), 0) AS distrust FROM step GROUP BY host)
