@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newsgrid.llm.bpe import bpe_decode, bpe_encode
 from newsgrid.llm.common import ORACLES, QUERIES, query, read, scratch
+from newsgrid.llm.crf import held_out, identify
 from newsgrid.llm.decontaminate import find_items
 from newsgrid.llm.hostrank import judge_urls
 from newsgrid.llm.huffman import read_tokens, write_texts
@@ -110,19 +111,19 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = r"""
 WITH d AS (
-  SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), x -> x <> '') AS w
+  SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w
   FROM documents),
 i AS (
   SELECT item_id, w, least(5, len(w)) AS n FROM (
-    SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), x -> x <> '') AS w
+    SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w
     FROM benchmark) WHERE len(w) > 0),
 ds AS (
   SELECT DISTINCT doc_id, n, unnest(list_transform(range(1, len(w) - n + 2),
-         k -> array_to_string(w[k:k + n - 1], ' '))) AS s
+         lambda k: array_to_string(w[k:k + n - 1], ' '))) AS s
   FROM d, (SELECT DISTINCT n FROM i) WHERE len(w) >= n),
 si AS (
   SELECT DISTINCT item_id, n, unnest(list_transform(range(1, len(w) - n + 2),
-         k -> array_to_string(w[k:k + n - 1], ' '))) AS s FROM i),
+         lambda k: array_to_string(w[k:k + n - 1], ' '))) AS s FROM i),
 total AS (SELECT item_id, count(*) AS n_shingles FROM si GROUP BY item_id)
 SELECT doc_id, item_id, n_shingles, count(*) AS n_shared, count(*) / n_shingles AS containment
 FROM ds JOIN si USING (n, s) JOIN total USING (item_id)
@@ -143,3 +144,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.aggregate("spans", F.lit(0), lambda n, s: n + s["end"] - s["first"])
         .cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query("op4_language")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return identify(docs, ~held_out()).select(
+        "doc_id", held_out().alias("held_out"), "lang_pred", "score")
