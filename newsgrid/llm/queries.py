@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from newsgrid.llm.ann import nearest_rows
 from newsgrid.llm.bpe import bpe_decode, bpe_encode
 from newsgrid.llm.common import ORACLES, QUERIES, query, read, scratch
 from newsgrid.llm.crf import held_out, identify
@@ -151,3 +152,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return identify(docs, ~held_out()).select(
         "doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query("op5_neighbours")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_rows(read(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
