@@ -150,13 +150,11 @@ def dedup_lines(docs: DataFrame, words: int = WORDS, key: str = "doc_id", text:
         return pd.DataFrame(out, columns=["text", "gone"])
 
     held = docs.select(F.struct(*docs.columns).alias("row"), docs[key].alias("key"))
-    joined = held.join(found, "key", "left")
-    changed = joined.filter("spans IS NOT NULL").withColumn(
-        "cut", apply(F.col(f"row.`{text}`"), F.col("spans")))
-    same = joined.filter("spans IS NULL")
+    old = F.col(f"row.`{text}`")
+    # Only texts that change are handed to Python.  The merge join keeps one plan at every size.
+    joined = held.join(found.hint("merge"), "key", "left").withColumn(
+        "cut", apply(F.when(F.col("spans").isNotNull(), old), F.col("spans")))
+    left = F.when(F.col("spans").isNull(), old).otherwise(F.col("cut.text"))
     extra = [] if spans is None else [F.col("cut.gone").alias(spans)]
-    none = [] if spans is None else [F.array().cast(cut["gone"].dataType).alias(spans)]
-    keep = [c for c in docs.columns if c != spans]
-    return (changed.select(*[F.col("cut.text").alias(c) if c == text else F.col(f"row.`{c}`").alias(c)
-                             for c in keep], *extra)
-            .unionByName(same.select(*[F.col(f"row.`{c}`").alias(c) for c in keep], *none)))
+    return joined.select(*[(left if c == text else F.col(f"row.`{c}`")).alias(c)
+                           for c in docs.columns if c != spans], *extra)
