@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable
 
@@ -52,6 +53,12 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps whose results are written."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def slices(lengths: np.ndarray, most: int) -> list[tuple[int, int]]:
     """Consecutive row ranges of about ``most`` units each; a larger row is one alone."""
     cuts, start, total = [], 0, 0

@@ -15,6 +15,7 @@ from newsgrid.llm.huffman import read_tokens, write_texts
 from newsgrid.llm.lines import dedup_lines
 from newsgrid.llm.shard import shard_by_bytes
 from newsgrid.llm.simhash import group_near
+from newsgrid.llm.substrings import dedup_substrings
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -157,3 +158,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_neighbours")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_rows(read(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
+@query("op2_substring_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = F.aggregate("spans", F.lit(0), lambda n, s: n + s["end"] - s["first"]).cast("long")
+    return dedup_substrings(read(spark, sf_dir, "documents")).select(
+        "doc_id", (F.length("kept") + removed).alias("n_bytes"), removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
