@@ -30,6 +30,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -100,6 +101,12 @@ def unpack(segment: int) -> tuple[int, int, int]:
     return first, first + (segment >> 8 & 0xFF), first + (segment & 0xFF)
 
 
+def changes(column: pa.Array) -> np.ndarray:
+    """Whether each value but the first differs from the one before."""
+    return pc.not_equal(column.slice(1), column.slice(0, max(len(column) - 1, 0))).to_numpy(
+        zero_copy_only=False).astype(bool)
+
+
 def emit_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows ``anchor``, ``content``, ``key``, ``segment``, ``again``.
 
@@ -110,6 +117,8 @@ def emit_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         order = sorted(range(len(keys)), key=keys.to_pylist().__getitem__)
         texts = batch.column(1).take(pa.array(order, pa.int64())).to_pylist()
         keys = keys.take(pa.array(order, pa.int64()))
+        number = np.zeros(len(keys), np.int64)
+        number[1:] = np.cumsum(changes(keys))
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         for a, b in slices(sizes, SLICE_BYTES):
             raw, n = b"".join(texts[a:b]), sizes[a:b]
@@ -125,11 +134,17 @@ def emit_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             by = np.lexsort((np.arange(len(first)), content, h))
             again = np.zeros(len(first), bool)
             again[by[1:]] = (h[by[1:]] == h[by[:-1]]) & (content[by[1:]] == content[by[:-1]])
+            head = np.empty(len(first), np.int64)
+            head[by] = by[np.maximum.accumulate(np.where(again[by], 0, np.arange(len(by))))]
             packed = pack(first - begin, end - begin, anchor - begin)
+            # Another row with the same key shows the same place once more.
+            other = np.flatnonzero(~(again & (number[row + a] == number[row + a][head])
+                                     & (packed == packed[head])))
             spread = np.where(again, h + packed * 0x9E3779B97F4A7C1, h)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(spread), pa.array(content), keys.take(pa.array(row + a)),
-                 pa.array(packed), pa.array(again)],
+                [pa.array(x[other]) for x in (spread, content)]
+                + [keys.take(pa.array(row[other] + a))]
+                + [pa.array(x[other]) for x in (packed, again)],
                 names=["anchor", "content", "key", "segment", "again"])
 
 
@@ -137,9 +152,9 @@ def sort_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows ``key``, ``segment``, ``repeated`` from rows sorted by anchor, content, key, segment.
 
     Repeated are all but the first of equal segments; the others that are given
-    share their anchor with a different segment.
+    share their anchor with a different segment.  A row equal to the one before is left out.
     """
-    last: tuple[int, int] | None = None           # anchor and content of the row before
+    last: tuple | None = None                     # anchor, content, key and segment of the row before
     waiting = None                                # the only segment so far of the last anchor
     for batch in batches:
         again = batch.column(4).to_numpy(zero_copy_only=False)
@@ -152,7 +167,10 @@ def sort_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                     anchor[1:] == anchor[:-1])
             same = same_anchor & np.append(last is not None and content[0] == last[1],
                                            content[1:] == content[:-1])
-            repeated = np.concatenate([repeated, rows[same]])
+            keys, places = (batch.column(i).take(pa.array(rows)) for i in (2, 3))
+            moved = np.append(last is None or (keys[0].as_py(), places[0].as_py()) != last[2:],
+                              changes(keys) | changes(places))
+            repeated = np.concatenate([repeated, rows[same & moved]])
             heads = np.flatnonzero(~same)
             if len(heads):
                 # Whether a different segment with this anchor comes before.
@@ -168,7 +186,7 @@ def sort_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     waiting = pa.RecordBatch.from_arrays(
                         [batch.column(2).slice(at, 1), batch.column(3).slice(at, 1),
                          pa.array([False])], names=["key", "segment", "repeated"])
-            last = int(anchor[-1]), int(content[-1])
+            last = (int(anchor[-1]), int(content[-1]), keys[-1].as_py(), places[-1].as_py())
         at = np.concatenate([repeated, shared])
         if len(at):
             index = pa.array(at)
