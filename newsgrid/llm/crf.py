@@ -279,3 +279,10 @@ def identify(df: DataFrame, train_on: Column, key: str = "doc_id", text: str = "
 def held_out(key: str = "doc_id") -> Column:
     """Rows that are never learned from: the CRC of the key's text leaves 2 when divided by 4."""
     return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string")), F.lit(4)) == 2, F.lit(False))
+
+
+def drop_unidentified(docs: DataFrame, train_on: Column, least: float = 0.5) -> DataFrame:
+    """``docs`` without texts that are ``und`` or whose language has a score below ``least``."""
+    rows = docs.select("doc_id", "text", "lang", F.struct(*docs.columns).alias("row"))
+    found = identify(rows, train_on, keep=("row",))
+    return found.filter((F.col("lang_pred") != UND) & (F.col("score") >= least)).select("row.*")
