@@ -50,7 +50,6 @@ class Words(dict):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(definition)
         self.kind = kind
-        self.again: set[bytes] = set()            # words found in the cache since it was emptied
 
     def split(self, text: str) -> list[bytes]:
         raw = text.encode()
@@ -82,30 +81,33 @@ class Words(dict):
                         for i, e in zip(odd[a:], got))
 
     def encode(self, texts: list[str], end: bytes) -> tuple[list[bytes], np.ndarray]:
-        split = [self.split(t) for t in texts]
-        unique = set().union(*split)
-        new = unique.difference(self)
-        self.again |= unique - new
-        if len(self) + len(new) > CACHE_WORDS:
-            kept = {w: self[w] for w in self.again if w in self and len(w) <= CACHED_LENGTH}
+        words: list[bytes] = []
+        ends = [0]
+        for t in texts:
+            words += self.split(t)
+            ends.append(len(words))
+        found = list(map(self.get, words))
+        new = [i for i, ids in enumerate(found) if ids is None]
+        if len(self) > CACHE_WORDS:               # words of this batch that were known stay
+            kept = {w: ids for w, ids in zip(words, found)
+                    if ids is not None and len(w) <= CACHED_LENGTH}
             self.clear()
-            self.again = set()
-            if len(kept) < CACHE_WORDS // 2:
-                self.update(kept)
-            new = unique.difference(self)
+            self.update(kept)
         parts, pieces = [], set()
-        for w in new:
+        for w in {words[i] for i in new}:
             core = w.rstrip(b".,!?;:")
-            if core and core != w and (core[-1:].isalnum()):
+            if core and core != w and core[-1:].isalnum():
                 parts.append((w, core, w[len(core):]))
                 pieces.add(core)
                 pieces.add(w[len(core):])
             else:
                 pieces.add(w)
-        self.learn(list(pieces.difference(self)))
+        self.learn([p for p in pieces if p not in self])
         for w, core, rest in parts:
             self[w] = self[core] + self[rest]
-        out = [b"".join([*map(self.__getitem__, words), end]) for words in split]
+        for i in new:
+            found[i] = self[words[i]]
+        out = [b"".join(found[a:b]) + end for a, b in zip(ends, ends[1:])]
         return out, np.fromiter(map(len, out), np.int64, len(out)) // np.dtype(self.kind).itemsize
 
 
