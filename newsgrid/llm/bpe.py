@@ -43,8 +43,8 @@ TWO_LETTER_ENDINGS = ("re", "ve", "ll")
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029,
          0x202F, 0x205F, 0x3000]
 
-BATCH_CHARS = 1 << 21
-CACHE_PIECES = 300_000
+BATCH_CHARS = 1 << 19
+CACHE_PIECES = 200_000
 CACHED_LENGTH = 200
 
 

@@ -21,6 +21,7 @@ gives an empty result.  Input columns named as an output are not carried.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -37,7 +38,8 @@ HASHED = 1 << 16
 LEXICON = 20_000
 EPOCHS, BATCH, RATE = 4, 256, 0.5
 CHUNK = 32
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 19
+FEATURE_WORDS = 1 << 14
 CACHE_WORDS = 200_000
 
 
@@ -45,17 +47,44 @@ def letters(word: str) -> str:
     return word if word.isalpha() else "".join([c for c in word if c.isalpha()])
 
 
-def word_features(word: str, lexicon: frozenset[str]) -> list[int]:
-    """Hashed features of a word's letters; none if it has no letter."""
-    if not word:
-        return []
-    raw, edged = word.encode(), f"^{word}$"
-    found = [b"w" + raw] if word in lexicon else [b"?"]
-    for k in (1, 2, 3):
-        found += [b"p" + word[:k].encode(), b"s" + word[-k:].encode()]
-    for k in (2, 3):
-        found += [edged[i:i + k].encode() for i in range(len(edged) - k + 1)]
-    return [crc32(f) & (HASHED - 1) for f in found]
+def features(words: Sequence[str], lexicon: frozenset[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features of words given by their letters, and the word that each belongs to.
+
+    A word has its 2- and 3-grams with its edges marked, its first and last one to
+    three letters, and itself or a mark that it isn't in the lexicon.  Words
+    without a letter have none.
+    """
+    full = np.flatnonzero(np.fromiter(map(len, words), np.int64, len(words)))
+    texts = [f"^{words[i]}$" for i in full]
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    chars = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    of = np.repeat(full, sizes)
+    end = np.cumsum(sizes)
+    begin = end - sizes
+    left = np.repeat(end, sizes) - np.arange(len(chars))      # characters from here to the end
+
+    def hashed(at: np.ndarray, n: int, salt: int) -> np.ndarray:
+        code = np.full(len(at), salt, np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(n):
+                code = (code + chars[at + k]) * np.uint64(0x9E3779B97F4A7C15)
+                code ^= code >> np.uint64(29)
+        return (code >> np.uint64(17)).astype(np.int64) & (HASHED - 1)
+
+    ids, owners = [], []
+    for n in (2, 3):
+        at = np.flatnonzero(left >= n)
+        ids.append(hashed(at, n, n))
+        owners.append(of[at])
+    for n in (1, 2, 3):
+        long = sizes >= n + 2
+        for at, salt in ((begin[long] + 1, 10 + n), (end[long] - 1 - n, 20 + n)):
+            ids.append(hashed(at, n, salt))
+            owners.append(full[long])
+    ids.append(np.fromiter((crc32(words[i].encode()) & (HASHED - 1) if words[i] in lexicon else 0
+                            for i in full), np.int64, len(full)))
+    owners.append(full)
+    return np.concatenate(ids), np.concatenate(owners)
 
 
 def forward_backward(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray):
@@ -108,13 +137,13 @@ class Model:
         self.transitions = np.zeros((len(labels), len(labels)))
 
     def scores(self, words: Sequence[str]) -> np.ndarray:
-        found = [word_features(letters(w), self.lexicon) for w in words]
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((f for fs in found for f in fs), np.int64, int(counts.sum()))
-        total = np.zeros((len(flat) + 1, len(self.labels)))
-        np.cumsum(self.weights[flat], axis=0, dtype=np.float64, out=total[1:])
-        ends = np.cumsum(counts)
-        return total[ends] - total[ends - counts]
+        if len(words) > FEATURE_WORDS:
+            return np.concatenate([self.scores(words[a:a + FEATURE_WORDS])
+                                   for a in range(0, len(words), FEATURE_WORDS)])
+        ids, of = features([letters(w) for w in words], self.lexicon)
+        return np.stack([np.bincount(of, self.weights[ids, j], len(words))
+                         for j in range(len(self.labels))], axis=1) if self.labels else \
+            np.zeros((len(words), 0))
 
 
 def fit(runs: list[tuple[str, list[str]]], seed: int = 7) -> Model:
@@ -130,10 +159,10 @@ def fit(runs: list[tuple[str, list[str]]], seed: int = 7) -> Model:
         return model
     number = {label: i for i, label in enumerate(labels)}
     index = {w: i for i, w in enumerate(seen)}
-    found = [word_features(w, model.lexicon) for w in seen]
-    counts = np.array([len(f) for f in found])
+    flat, of = features(list(seen), model.lexicon)
+    flat = flat[np.argsort(of, kind="stable")]
+    counts = np.bincount(of, minlength=len(seen))
     first = np.cumsum(counts) - counts
-    flat = np.array([f for fs in found for f in fs])
     rng = np.random.default_rng(seed)
     k = len(labels)
     power, power_t = np.full((HASHED, k), 1e-6), np.full((k, k), 1e-6)
@@ -234,7 +263,7 @@ def label_texts(rows: Rows, texts: Sequence[str]) -> list[tuple[str, float]]:
         rows.reset()
     split = [t.lower().split() for t in texts]
     lengths = np.fromiter(map(len, split), np.int64, len(split))
-    at = np.fromiter((rows[w] for words in split for w in words), np.int64, int(lengths.sum()))
+    at = np.fromiter(map(rows.__getitem__, chain.from_iterable(split)), np.int64, int(lengths.sum()))
     rows.fill()
     out = [(UND, 0.0)] * len(texts)
     full = np.flatnonzero(lengths)
@@ -252,20 +281,26 @@ def label_texts(rows: Rows, texts: Sequence[str]) -> list[tuple[str, float]]:
 
 def identify(df: DataFrame, train_on: Column, key: str = "doc_id", text: str = "text",
              label: str = "lang", keep: Sequence[str] = ("doc_id",),
-             per_label: int = PER_LABEL) -> DataFrame:
-    """``keep``, ``lang_pred`` and ``score``; learns from rows with a label where ``train_on`` holds."""
-    keep = [c for c in keep if c not in ("lang_pred", "score")]
+             per_label: int = PER_LABEL,
+             outputs: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``keep``, ``lang_pred`` and ``score``; learns from rows with a label where ``train_on`` holds.
+
+    ``outputs`` gives the two new columns other names.
+    """
+    keep = [c for c in keep if c not in outputs]
     labelled = df.filter(train_on & df[label].isNotNull() & df[text].isNotNull()).select(
         df[label].alias("label"), df[text].alias("text"), df[key].cast("string").alias("key"))
     model = df.sparkSession.sparkContext.broadcast(
         fit(sample_runs(labelled, F.col("key"), per_label)))
-    schema = T.StructType([*df.select(*keep).schema, T.StructField("lang_pred", T.StringType()),
-                           T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*df.select(*keep).schema, T.StructField(outputs[0], T.StringType()),
+                           T.StructField(outputs[1], T.DoubleType())])
+    own = text in keep                            # then the text isn't handed over twice
+    at = keep.index(text) if own else len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = Rows(model.value)
         for batch in batches:
-            texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
+            texts = [t or "" for t in batch.column(at).to_pylist()]
             for a, b in slices(np.fromiter(map(len, texts), np.int64, len(texts)), BATCH_CHARS):
                 found = label_texts(rows, texts[a:b])
                 yield pa.RecordBatch.from_arrays(
@@ -273,7 +308,8 @@ def identify(df: DataFrame, train_on: Column, key: str = "doc_id", text: str = "
                      pa.array([x for x, _ in found], pa.string()),
                      pa.array([x for _, x in found], pa.float64())], names=schema.names)
 
-    return df.select(*keep, df[text].alias("_text_to_label")).mapInArrow(run, schema)
+    handed = df.select(*keep) if own else df.select(*keep, df[text].alias("_text_to_label"))
+    return handed.mapInArrow(run, schema)
 
 
 def held_out(key: str = "doc_id") -> Column:
@@ -281,8 +317,11 @@ def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
-def drop_unidentified(docs: DataFrame, train_on: Column, least: float = 0.5) -> DataFrame:
+def drop_unidentified(docs: DataFrame, train_on: Column, least: float = 0.4) -> DataFrame:
     """``docs`` without texts that are ``und`` or whose language has a score below ``least``."""
-    rows = docs.select("doc_id", "text", "lang", F.struct(*docs.columns).alias("row"))
-    found = identify(rows, train_on, keep=("row",))
-    return found.filter((F.col("lang_pred") != UND) & (F.col("score") >= least)).select("row.*")
+    free = "_"
+    while any(c.startswith(free) for c in docs.columns):
+        free += "_"
+    found = identify(docs, train_on, keep=docs.columns, outputs=(free + "lang", free + "score"))
+    return found.filter((F.col(free + "lang") != UND) & (F.col(free + "score") >= least)) \
+        .select(docs.columns)
