@@ -9,27 +9,27 @@ from __future__ import annotations
 from newsgrid.operators.lexicon import ArticleLexicon, IncidentLexicon
 
 ARTICLES = ArticleLexicon(
-    valence={"excellent": 3.0, "success": 2.5, "welcome": 1.5, "calm": 1.0, "worry": -1.5,
-             "failure": -2.0, "terrible": -2.5, "disaster": -3.0},
-    left=("redistribution", "unionise"),
-    right=("deregulation", "law and order"),
-    topics={"economy": ("inflation", "budget", "jobs"), "health": ("hospital", "vaccine"),
-            "security": ("police", "border"), "sport": ("match", "league"),
-            "weather": ("rainfall", "drought")},
-    stop=("said", "says", "also", "year", "people", "news"),
+    valence={"splendid": 3.0, "flourishing": 2.5, "pleasant": 1.5, "orderly": 1.0, "uneasy": -1.5,
+             "botched": -2.0, "dreadful": -2.5, "ruinous": -3.0},
+    left=("wealth tax", "collective bargaining"),
+    right=("flat tax", "private ownership"),
+    topics={"economy": ("tariff", "payroll"), "health": ("nurse", "epidemiology"),
+            "science": ("telescope", "laboratory"), "sport": ("goalkeeper", "marathon"),
+            "weather": ("barometer", "snowfall")},
+    stop=("however", "meanwhile", "today", "thing", "things"),
 )
 
 INCIDENTS = IncidentLexicon(
-    topics={"fire": ("fire", "flames", "smoke"), "flood": ("flood", "floodwater", "burst dam"),
-            "accident": ("lorry", "pile-up", "derailment"), "health": ("cholera", "measles")},
-    verbs={"fire": ("gutted", "engulfed"), "flood": ("inundated", "washed out"),
-           "accident": ("collided", "rammed"), "health": ("infected",)},
-    excluded=("transfer window", "album launch"),
-    excluded_patterns=(r"\bpraises\b",),
-    metaphors=("under fire", "fire sale"),
-    severe=("killed", "fatal"), moderate=("injured", "damaged"),
-    rescue=("killed", "fatal"), headline=("killed", "rescue", "evacuated"),
-    cues=("explained", "inside the"),
+    topics={"fire": ("wildfire", "embers"), "flood": ("overflow", "burst dam"),
+            "accident": ("rollover", "pile-up"), "health": ("typhoid", "rabies")},
+    verbs={"fire": ("scorched", "smouldered"), "flood": ("submerged", "swept away"),
+           "accident": ("crashed", "overturned"), "health": ("quarantined",)},
+    excluded=("fantasy league", "board game"),
+    excluded_patterns=(r"\bfictional\b",),
+    metaphors=("flood of offers", "baptism of fire"),
+    severe=("casualties", "perished"), moderate=("bruised", "dented"),
+    rescue=("perished", "casualties"), headline=("perished", "airlifted", "stranded"),
+    cues=("in pictures", "timeline of"),
 )
 
-TITLE_STOP_WORDS = ("After", "Before", "Police", "Court", "Woman", "Driver")
+TITLE_STOP_WORDS = ("Today", "Monday", "Sunday", "Mayor", "Council", "Report")

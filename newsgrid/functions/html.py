@@ -89,10 +89,6 @@ def opening_pattern(selector: str) -> tuple[str, str]:
     return rf"(?is)<({tag})\b{need}[^>]*>", tag
 
 
-# Elements followed when a selector does not name one.
-_NESTING = ("div", "article", "main", "section", "span", "p", "h1", "h2", "td", "ul", "li")
-
-
 def container_html(html: Column, selector: str) -> Column:
     """Inner HTML of the first element a selector names; null when absent.
 
@@ -100,15 +96,14 @@ def container_html(html: Column, selector: str) -> Column:
     folding over the start and end tags behind the opening one.
     """
     opening, tag = opening_pattern(selector)
-    names = _NESTING if tag == r"\w+" else (tag,)
     # The opening tag and everything behind it, in one match.
     found = F.regexp_extract(html, opening + "(.*)$", 0)
 
     def inner(rest: Column) -> Column:
-        name = F.lower(F.regexp_extract(rest, r"^<(\w+)", 1)) if len(names) > 1 else F.lit(tag)
+        name = F.lower(F.regexp_extract(rest, r"^<(\w+)", 1)) if tag == r"\w+" else F.lit(tag)
         tail = F.regexp_replace(rest, r"^<[^>]*>", "")
         # Only tags named like the container can close it, so cut at those.
-        bits = F.split(tail, "(?i)(?=</?(?:" + "|".join(names) + r")\b)")
+        bits = F.split(tail, F.concat(F.lit("(?i)(?=</?"), name, F.lit(r"\b)")))
 
         def step(acc, bit):
             opens = F.lower(F.regexp_extract(bit, r"^<(\w+)", 1)) == name
@@ -134,20 +129,25 @@ def page_body(html: Column, containers: Sequence[str] = DEFAULT_CONTAINERS,
 
 def page_links(html: Column) -> Column:
     """``array<struct<href, label>>`` of every anchor, in page order."""
+    value = r"(?:'[^']*+'|\"[^\"]*+\"|[^\s'\">]++)"
     anchors = F.regexp_extract_all(
-        html, F.lit(r"(?is)<a\b[^>]*\bhref\s*=\s*['\"][^'\"]*['\"][^>]*>.*?</a\s*>"), F.lit(0))
+        html, F.lit(rf"(?is)<a\b[^>]*?\bhref\s*=\s*{value}[^>]*>.*?</a\s*>"), F.lit(0))
+
+    def href(a: Column) -> Column:
+        raw = F.regexp_extract(a, rf"(?is)\bhref\s*=\s*({value})", 1)
+        return decode_references(F.btrim(raw, F.lit("'\"")))
+
     return F.transform(anchors, lambda a: F.struct(
-        F.regexp_extract(a, r"(?is)\bhref\s*=\s*['\"]([^'\"]*)['\"]", 1).alias("href"),
-        strip_tags(a).alias("label")))
+        href(a).alias("href"), strip_tags(a).alias("label")))
 
 
 def absolute_url(href: Column, page_url: Column) -> Column:
-    """Resolve a link against the site root."""
+    """Resolve a link against the site root; links of another scheme stay as they are."""
     scheme = F.coalesce(F.try_parse_url(page_url, F.lit("PROTOCOL")), F.lit("https"))
     host = F.coalesce(F.try_parse_url(page_url, F.lit("HOST")), F.lit(""))
     root = F.concat(scheme, F.lit("://"), host)
     return (F.when(blank_if_null(href) == "", F.lit(""))
-            .when(F.startswith(href, F.lit("http")), href)
+            .when(F.rlike(href, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*:")), href)
             .when(F.startswith(href, F.lit("//")), F.concat(scheme, F.lit(":"), href))
-            .when(F.startswith(href, F.lit("/")), F.concat(root, href))
-            .otherwise(F.concat(root, F.lit("/"), href)))
+            .otherwise(F.concat(root, F.lit("/"), F.regexp_replace(
+                href, r"^/?(?:\.{1,2}(?:/|$))*+/?", ""))))

@@ -10,10 +10,14 @@ from pyspark.sql import Column, functions as F
 from newsgrid.functions.arrays import distinct_ignoring_case, let, strings
 
 # Python-compatible word boundaries: with (?U) a letter outside ASCII is a word
-# character on every JDK.
+# character on every JDK.  Repeated groups are possessive, which the JVM runs as a
+# loop; a backtracking group would recurse once a word and overflow its stack.
 _U = "(?U)"
+_CAPITALISED = r"[A-Z][a-z]++\b"
+# What counts as a span, a place span, a place word and a keyword.
 _SPAN = _U + r"\b(?:[A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,2})\b"
-_PLACE_SPAN = _U + r"\b(?:[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+(?:,\s*[A-Z][a-z]+)*)\b"
+_PLACE_SPAN = (_U + r"\b" + _CAPITALISED + r"(?:\s++" + _CAPITALISED + r")++(?:,\s*+"
+               + _CAPITALISED + r")*+")
 _PLACE_WORD = _U + r"\b[A-Z][a-z]{3,}\b"
 _WORD = _U + r"\b[a-z]{4,}\b"
 _EDGE = " ,.-"
@@ -48,7 +52,8 @@ def word_hits(text: Column, words: Sequence[str]) -> Column:
     """Every whole-word occurrence of any listed word, in one pass over the text.
 
     Whole words cannot overlap, so counting these hits per word equals counting
-    each word by itself.
+    each word by itself.  Words with other marks in them are no such runs; they
+    are counted by ``odd_word_total``.
     """
     plain = [w for w in words if re.fullmatch(r"\w+", w)]
     if not plain:
@@ -56,6 +61,15 @@ def word_hits(text: Column, words: Sequence[str]) -> Column:
     return F.filter(words_of(text), lambda w: w.isin(*plain))
 
 
+def odd_word_total(text: Column, words: Sequence[str]) -> Column:
+    """Occurrences of the listed words that have marks in them, like ``o'clock``."""
+    total = F.lit(0)
+    for w in words:
+        if not re.fullmatch(r"\w+", w):
+            total = total + word_count(text, w)
+    return total
+
+
 def count_among(hits: Column, words: Sequence[str]) -> Column:
     if not words:
         return F.lit(0)
@@ -205,23 +219,32 @@ _NAMED = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apo
 
 
 def decode_references(c: Column) -> Column:
-    """Decode named, decimal and hexadecimal character references."""
+    """Decode named, decimal and hexadecimal character references.
+
+    A number that is no character gives U+FFFD.
+    """
     out = c
     for name, char in _NAMED:
         out = F.replace(out, F.lit(name), F.lit(char))
 
+    def char(digits: Column, base: int) -> Column:
+        # Seven digits hold every code point in either base; more are none.
+        short = F.regexp_replace(digits, "^0+(?=.)", "")
+        code = F.when(F.length(short) <= 7, F.conv(short, base, 10).cast("int"))
+        valid = ((code >= 1) & (code < 0xD800)) | ((code >= 0xE000) & (code <= 0x10FFFF))
+        safe = F.when(valid, code).otherwise(0xFFFD)
+        return F.decode(F.unhex(F.lpad(F.hex(safe), 8, "0")), "UTF-32")
+
     def numeric(t: Column) -> Column:
-        codes = F.array_distinct(F.regexp_extract_all(t, F.lit(r"&#(\d{1,6});"), F.lit(1)))
+        codes = F.array_distinct(F.regexp_extract_all(t, F.lit(r"&#(\d++);"), F.lit(1)))
         return F.aggregate(codes, t, lambda acc, n: F.replace(
-            acc, F.concat(F.lit("&#"), n, F.lit(";")),
-            F.decode(F.unhex(F.lpad(F.hex(n.cast("int")), 8, "0")), "UTF-32")))
+            acc, F.concat(F.lit("&#"), n, F.lit(";")), char(n, 10)))
 
     def hexadecimal(t: Column) -> Column:
         codes = F.array_distinct(F.regexp_extract_all(
-            t, F.lit(r"&#([xX][0-9a-fA-F]{1,6});"), F.lit(1)))
+            t, F.lit(r"&#([xX][0-9a-fA-F]++);"), F.lit(1)))
         return F.aggregate(codes, t, lambda acc, n: F.replace(
-            acc, F.concat(F.lit("&#"), n, F.lit(";")),
-            F.decode(F.unhex(F.lpad(F.substring(n, 2, 6), 8, "0")), "UTF-32")))
+            acc, F.concat(F.lit("&#"), n, F.lit(";")), char(F.substring(n, 2, 1 << 30), 16)))
 
     decoded = let(let(out, numeric), hexadecimal)
     return F.replace(decoded, F.lit("&amp;"), F.lit("&"))

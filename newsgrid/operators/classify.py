@@ -10,7 +10,8 @@ from newsgrid.functions.arrays import evaluate_once, let
 from newsgrid.functions.numbers import round_half_even, weighted_score
 from newsgrid.functions.records import coerce_assessment, loose_object
 from newsgrid.functions.text import (
-    blank_if_null, blank_out, contains_any, distinct_contained, matches_any, word_hits,
+    blank_if_null, blank_out, contains_any, distinct_contained, matches_any, odd_word_total,
+    word_hits,
     words_of,
 )
 from newsgrid.operators.lexicon import IncidentLexicon, all_words, split_terms, term_hits
@@ -90,7 +91,7 @@ def looks_like_incident(title: Column, body: Column, lex: IncidentLexicon) -> Co
 
     def any_term(text: Column) -> Column:
         return (F.exists(words_of(text), lambda w: w.isin(*words)) if words else F.lit(False)) | (
-            contains_any(text, phrases))
+            contains_any(text, phrases)) | (odd_word_total(text, words) > 0)
 
     def cascade(t: Column, b: Column) -> Column:
         # A cue in the title only adds the headline words of the body: every

@@ -15,8 +15,15 @@ from newsgrid.operators.grouped import keep_first
 from newsgrid.schemas import LIVE_STATUSES
 
 
+def _first(batch: DataFrame, order: Sequence[Column], url: str) -> DataFrame:
+    """One row per URL; rows without one are told apart by all their values."""
+    own = F.when(blank_if_null(F.col(url)) == "", F.xxhash64(*batch.columns))
+    return keep_first(batch.withColumn("_own", own), [url, "_own"], order).drop("_own")
+
+
 def first_per_url(batch: DataFrame, order: Sequence[Column], url: str = "url") -> DataFrame:
-    return keep_first(batch, [url], order)
+    """The first row of every URL, and every different row without one."""
+    return _first(batch, order, url)
 
 
 def drop_seen(batch: DataFrame, seen: DataFrame, url: str = "url") -> DataFrame:
@@ -47,14 +54,12 @@ def insert_if_absent(batch: DataFrame, store: DataFrame, order: Sequence[Column]
                      status: str = "post_status") -> DataFrame:
     """Rows of the batch to insert: titled, first of their URL, not stored live yet.
 
-    Rows without a URL cannot be compared and are all inserted.
+    Rows without a URL cannot be compared with the store; all different ones are inserted.
     """
     titled = batch.filter(F.trim(blank_if_null(F.col("title"))) != "") if "title" in batch.columns \
         else batch
     live = store.filter(F.col(status).isin(*LIVE_STATUSES)) if status in store.columns else store
-    # Every row without a URL is a group of its own, so one pass serves both kinds.
-    own = F.when(blank_if_null(F.col(url)) == "", F.monotonically_increasing_id())
-    first = keep_first(titled.withColumn("_own", own), [url, "_own"], order)
+    first = _first(titled, order, url)
     stored = live.select(F.col(store_url).alias(url)).filter(blank_if_null(F.col(url)) != "")
     return first.join(stored.distinct(), url, "left_anti").select(*batch.columns)
 

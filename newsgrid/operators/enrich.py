@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from newsgrid.functions.arrays import head, let
 from newsgrid.functions.numbers import clamp, round_half_even
 from newsgrid.functions.text import (
-    blank_if_null, capitalised_spans, count_among, lower_tokens, ranked_tokens, substring_total,
+    blank_if_null, capitalised_spans, count_among, odd_word_total, lower_tokens, ranked_tokens, substring_total,
     without_words, word_hits,
 )
 from newsgrid.operators.lexicon import ArticleLexicon, Categories
@@ -36,13 +36,14 @@ def sentiment_score(text: Column, valence: Mapping[str, float],
     for word, value in valence.items():
         levels.setdefault(float(value), []).append(word)
 
-    def total(hits: Column) -> Column:
+    def total(t: Column, hits: Column) -> Column:
         out = F.lit(0.0)
         for value, words in levels.items():
-            out = out + count_among(hits, words) * F.lit(value)
+            out = out + (count_among(hits, words) + odd_word_total(t, words)) * F.lit(value)
         return out
 
-    return let(let(word_hits(shown, list(valence)), total),
+    both = let(shown, lambda t: F.struct(t.alias("t"), word_hits(t, list(valence)).alias("h")))
+    return let(let(both, lambda x: total(x["t"], x["h"])),
                lambda s: s / F.sqrt(s * s + F.lit(15.0)))
 
 

@@ -24,6 +24,15 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> D
     return top_per_group(df, keys, order, 1, "_rank").drop("_rank")
 
 
+def latest_per_key(df: DataFrame, key: str, when: str) -> DataFrame:
+    """One row per ``key``: the latest by ``when`` if there is such a column.
+
+    Ties, and rows of a table without it, are settled by a hash of the whole row.
+    """
+    order = [F.col(when).desc_nulls_last()] if when in df.columns else []
+    return keep_first(df, [key], [*order, F.xxhash64(*df.columns)])
+
+
 def capped_by_source(items: DataFrame, registry: DataFrame, source: str, order: Sequence[Column],
                      budget: int, cap: str = "max_per_run", ord_col: str = "ord",
                      default_cap: int = 5) -> DataFrame:

@@ -13,7 +13,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 from newsgrid.functions.text import (
-    count_among, is_phrase, substring_total, word_hits, words_of,
+    count_among, is_phrase, odd_word_total, substring_count, substring_total,
+    word_hits, words_of,
 )
 
 Categories = Mapping[str, Sequence[str]]
@@ -83,7 +84,8 @@ def all_words(*tables: Categories) -> list[str]:
 def term_hits(text: Column, hits: Column, terms: Sequence[str]) -> Column:
     """Occurrences of mixed terms: words from the prepared ``hits``, phrases from ``text``."""
     words, phrases = split_terms(terms)
-    return count_among(hits, words) + substring_total(text, phrases)
+    return (count_among(hits, words) + odd_word_total(text, words)
+            + substring_total(text, phrases))
 
 
 def count_by_category(df: DataFrame, text: str, table: Categories, prefix: str = "n_") -> DataFrame:
@@ -95,15 +97,34 @@ def count_by_category(df: DataFrame, text: str, table: Categories, prefix: str =
 
 
 def category_hits_join(docs: DataFrame, doc_id: str, text: str, lexicon: DataFrame) -> DataFrame:
-    """``doc_id, category, hits`` for a whole-word vocabulary of any size.
+    """``doc_id, category, hits`` for a vocabulary of words and phrases of any size.
 
-    Matching comes first: with a vocabulary small enough to broadcast only
-    matched words are ever shuffled.
+    Words are joined on the text's words.  Terms with other marks in them are
+    joined on their first such mark with a character on either side, and counted
+    where they meet.  Matching comes first: with a vocabulary small enough to
+    broadcast only matches are ever shuffled.
     """
     terms = lexicon.select("category", "term").distinct()
-    return (docs.select(doc_id, F.explode(words_of(F.lower(F.col(text)))).alias("term"))
-            .join(terms, "term")
-            .groupBy(doc_id, "category").agg(F.count("*").alias("hits")))
+    lowered = docs.select(doc_id, F.lower(F.col(text)).alias("_text"))
+    plain = F.rlike("term", F.lit(r"^[\p{L}\p{N}_]+$"))
+    words = (lowered.select(doc_id, F.explode(words_of(F.col("_text"))).alias("term"))
+             .join(terms.filter(plain), "term").select(doc_id, "category", F.lit(1).alias("n")))
+    # A term's first mark with its neighbours, if it has them, is found again in the text.
+    mark = r"[^\p{L}\p{N}_]"
+    shapes = [rf"(?s)(?=(.{mark}.))", rf"(?s)(?=({mark}.))", rf"(?s)(?=(.{mark}))", f"({mark})"]
+    around = F.array_distinct(F.concat(*[F.regexp_extract_all("_text", F.lit(x), F.lit(1))
+                                         for x in shapes]))
+    odd = terms.filter(~plain).withColumn(
+        "_mark", F.regexp_extract("term", rf"(?s).?{mark}.?", 0))
+    phrase = F.contains("term", F.lit(" ")) | F.contains("term", F.lit("-"))
+    bounded = F.concat(F.lit(r"(?U)\b\Q"), F.col("term"), F.lit(r"\E\b"))
+    found = F.when(phrase, substring_count(F.col("_text"), F.col("term"))).otherwise(
+        F.regexp_count("_text", bounded))
+    phrases = (lowered.select(doc_id, "_text", F.explode(around).alias("_mark"))
+               .join(odd, "_mark").filter(F.contains("_text", F.col("term")))
+               .select(doc_id, "category", found.alias("n")).filter("n > 0"))
+    return (words.unionByName(phrases).groupBy(doc_id, "category")
+            .agg(F.sum("n").alias("hits")))
 
 
 def best_category(hits: DataFrame, doc_id: str, score: str, ord_col: str) -> DataFrame:

@@ -13,9 +13,9 @@ from newsgrid.functions.numbers import inside, squared_degrees
 from newsgrid.functions.text import (
     blank_if_null, place_hint_variants, title_place_candidates,
 )
+from newsgrid.operators.grouped import latest_per_key
 
 PLACE = "struct<name:string,lat:double,lng:double,specificity:int>"
-MAX_LITERAL_PLACES = 2000
 
 
 @dataclass(frozen=True)
@@ -56,8 +56,6 @@ def gazetteer_match(text: Column, gazetteer: Sequence) -> Column:
     name beginning there; the best of those is the best overall, also where
     names nest or overlap.
     """
-    if len(gazetteer) > MAX_LITERAL_PLACES:
-        raise ValueError("gazetteer too large for literal matching; use gazetteer_match_join")
     order = sorted(gazetteer, key=lambda g: (-g["specificity"], g["ord"]))
     names = F.array(*[F.lit(g["name"].lower()) for g in order])
     table = F.array(*[place_struct(g["name"], g["lat"], g["lng"], g["specificity"])
@@ -77,14 +75,15 @@ def best_location(text: Column, gazetteer: Sequence, home: Home = DEFAULT_HOME)
                   F.coalesce(gazetteer_match(text, gazetteer), home_place(home)))
 
 
-def gazetteer_match_join(docs: DataFrame, doc_id: str, text: str, gazetteer: DataFrame,
-                         max_words: int = 4) -> DataFrame:
+def gazetteer_match_join(docs: DataFrame, doc_id: str, text: str,
+                         gazetteer: DataFrame) -> DataFrame:
     """``doc_id, name, lat, lng, specificity`` for a gazetteer of any size.
 
-    Word runs of up to ``max_words``, with what stands between the words, are
-    hash-joined on the lower-cased name.
+    Word runs as long as the longest name, with what stands between the words,
+    are hash-joined on the lower-cased name.
     """
     word = r"[\p{L}\p{N}_]+"
+    max_words = gazetteer.agg(F.max(F.regexp_count("name", F.lit(word)))).first()[0] or 1
 
     def runs(pieces: Column) -> Column:
         # Words and separators alternate, so n words span 2n - 1 pieces.
@@ -195,8 +194,6 @@ def nearest_county(lat: Column, lng: Column, counties: Sequence) -> Column:
     The county table is a short administrative list, so it is compared in place
     instead of being joined to every row.
     """
-    if len(counties) > MAX_LITERAL_PLACES:
-        raise ValueError("county table too large to compare in place")
     table = F.array(*[F.struct(
         F.lit(c["ord"]).alias("ord"), F.lit(c["slug"]).alias("slug"), F.lit(c["name"]).alias("name"),
         F.lit(float(c["lat"])).alias("lat"), F.lit(float(c["lng"])).alias("lng"))
@@ -401,8 +398,10 @@ def fix_requests(requests: DataFrame, incidents: DataFrame, counties: DataFrame,
                  countries: DataFrame, home: Home = DEFAULT_HOME) -> DataFrame:
     """Location edits joined to their incidents and snapped; missing incidents are dropped.
 
-    ``requests(incident_id, country, county, subcounty)``.
+    ``requests(incident_id, country, county, subcounty)``; of several for one
+    incident the latest by ``requested_at`` holds.
     """
+    requests = latest_per_key(requests, "incident_id", "requested_at")
     joined = incidents.join(requests, "incident_id")
     return snap_location(joined, counties, countries, home=home)
 

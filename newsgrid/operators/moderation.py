@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from newsgrid.functions.text import address_hash, blank_if_null, first_words, strip_tags
-from newsgrid.operators.grouped import keep_first
+from newsgrid.operators.grouped import keep_first, latest_per_key
 from newsgrid.schemas import (
     INCIDENT_TYPES, LIVE_STATUSES, REVIEW_FLAGS, SAFETY_STATUSES, SEVERITIES, UPDATE_SOURCES,
 )
@@ -117,8 +117,9 @@ def moderate(incidents: DataFrame, decisions: DataFrame) -> DataFrame:
         "post_status": F.when(ok, "publish").when(no, "trash").otherwise(F.col("post_status")),
         "is_verified": F.when(ok, True).otherwise(F.col("is_verified")),
         "needs_review": F.when(ok, False).otherwise(F.col("needs_review")),
-        "reviewed_by": F.when(ok, F.col("reviewer")),
-        "reviewed_at": F.when(ok, F.col("decided_at")),
+        **{c: F.when(ok, F.col(new)).otherwise(F.col(c)) if c in incidents.columns
+           else F.when(ok, F.col(new))
+           for c, new in (("reviewed_by", "reviewer"), ("reviewed_at", "decided_at"))},
     }).drop("action", "reviewer", "decided_at")
 
 
@@ -133,8 +134,10 @@ def moderate_updates(updates: DataFrame, decisions: DataFrame) -> DataFrame:
 def apply_ai(incidents: DataFrame, patches: DataFrame) -> DataFrame:
     """Provided scorer fields overwrite; severity and type only on opt-in.
 
-    One patch per incident; a null field means "not provided".
+    Of several patches of one incident the latest by ``ai_processed_at`` holds; a
+    null field means "not provided".
     """
+    patches = latest_per_key(patches, "incident_id", "ai_processed_at")
     fields = [c for c in ("ai_summary", "ai_severity_reasoning", "ai_flags", "ai_model",
                           "ai_processed_at", "ai_is_followup") if c in patches.columns]
     extra = [c for c in ("severity", "update_severity", "type", "update_type")
@@ -181,8 +184,10 @@ def apply_edits(incidents: DataFrame, edits: DataFrame, strict: bool = True) ->
     """``edits(incident_id, type, severity, status, latitude, longitude)``, nulls untouched.
 
     ``strict`` replaces unknown values by defaults; otherwise they are ignored.
-    Out-of-range coordinates keep the old ones either way.
+    Out-of-range coordinates keep the old ones either way.  Of several edits of one
+    incident the latest by ``edited_at`` holds.
     """
+    edits = latest_per_key(edits, "incident_id", "edited_at")
     names = [c for c in ("type", "severity", "status", "latitude", "longitude")
              if c in edits.columns]
     j = incidents.join(edits.select("incident_id", *[F.col(c).alias("_e_" + c) for c in names]),

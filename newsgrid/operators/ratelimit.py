@@ -146,7 +146,8 @@ def greedy_accept(events: DataFrame, key: str, ts: str, event_id: str, window_se
 
     ``consumes`` names a boolean column of requests that may take the window
     (all do by default); the others are only told whether they were limited.
-    Equal times are ordered by ``event_id``; events without a time are left out.
+    Equal times are ordered by ``event_id``.  Events without a time can't be placed
+    in a window: they are neither accepted nor limited.
     """
     window_us = window_seconds * _MICROS
     chunk_us = (chunk_seconds or max(24 * window_seconds, 86400)) * _MICROS
@@ -166,4 +167,6 @@ def greedy_accept(events: DataFrame, key: str, ts: str, event_id: str, window_se
                .mapInPandas(_carry(window_us), "_key string, _chunk long, _carry long"))
     marked = (slim.join(carried, ["_key", "_chunk"]).sortWithinPartitions(*order)
               .mapInPandas(_mark(window_us), f"_id {id_type}, accepted boolean, limited boolean"))
-    return marked.withColumnRenamed("_id", event_id)
+    undated = events.filter(F.unix_micros(ts).isNull()).select(
+        F.col(event_id).alias("_id"), F.lit(False).alias("accepted"), F.lit(False).alias("limited"))
+    return marked.unionByName(undated).withColumnRenamed("_id", event_id)

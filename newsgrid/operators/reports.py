@@ -25,6 +25,7 @@ def accept_reports(requests: DataFrame, window_seconds: int = REPORT_WINDOW,
     marked = requests.withColumn("_ok", ok)
     decided = greedy_accept(marked, key, ts, event_id, window_seconds, consumes="_ok")
     outcome = (F.when(F.col("limited"), "rate_limited").when(~F.col("_ok"), "out_of_bounds")
+               .when(F.col(ts).isNull(), "undated")
                .otherwise("accepted"))
     return (marked.join(decided, event_id).withColumn("outcome", outcome)
             .select(*requests.columns, "outcome"))
@@ -58,7 +59,8 @@ def accept_updates(requests: DataFrame, incidents: DataFrame, window_seconds: in
     body = strip_tags(F.col("body"))
     outcome = (F.when(F.col("limited"), "rate_limited").when(F.col("_known").isNull(),
                                                             "no_incident")
-               .when(body == "", "empty_body").otherwise("accepted"))
+               .when(body == "", "empty_body").when(F.col(ts).isNull(), "undated")
+               .otherwise("accepted"))
     return (requests.join(decided, event_id).join(known, "incident_id", "left")
             .withColumn("outcome", outcome).select(*requests.columns, "outcome"))
 

@@ -14,7 +14,6 @@ from newsgrid.plans.bindings import (
     d_substrs, quoted, table, view, with_views,
 )
 from newsgrid.plans.registry import query
-from newsgrid.session import spread
 
 
 def articles(spark, sf):
@@ -23,7 +22,7 @@ def articles(spark, sf):
 
 def heavy_articles(spark, sf):
     """The same rows, on every core even when they come from one small file."""
-    return spread(articles(spark, sf))
+    return articles(spark, sf)
 
 
 def incidents(spark, sf):

@@ -45,21 +45,13 @@ def j08(spark, sf):
     return m.filter(F.col("m").isNotNull()).select("article_id", "m.*")
 
 
-_ONE_WORD = [g for g in GAZETTEER if " " not in g["name"]]
-
-
-@query("w05_best_location_by_join", with_views(rf"""
-SELECT article_id, name, lat, lng, specificity
-FROM (SELECT DISTINCT article_id, unnest(regexp_split_to_array(lower(content), '[^\p{{L}}\p{{N}}_]+'))
-        AS w FROM a) x
-JOIN ({values_sql([(g["ord"], g["name"], g["lat"], g["lng"], g["specificity"]) for g in _ONE_WORD])})
-  AS g(ord, name, lat, lng, specificity) ON x.w = lower(g.name)
-QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY specificity DESC, ord) = 1""",
-    a=ARTICLES))
+@query("w05_best_location_by_join", with_views(_match_sql("title || ' ' || content"), a=ARTICLES))
 def w05(spark, sf):
     g = small_table(spark, [(x["ord"], x["name"], x["lat"], x["lng"], x["specificity"])
-                            for x in _ONE_WORD], "ord, name, lat, lng, specificity")
-    return locate.gazetteer_match_join(heavy_articles(spark, sf), "article_id", "content", g, 1)
+                            for x in GAZETTEER], "ord, name, lat, lng, specificity")
+    a = heavy_articles(spark, sf).select(
+        "article_id", F.concat("title", F.lit(" "), "content").alias("text"))
+    return locate.gazetteer_match_join(a, "article_id", "text", g)
 
 
 _CAND = f"""
@@ -83,7 +75,7 @@ SELECT a.article_id, coalesce(CASE WHEN m.name IS NULL THEN f.name END, m.name,
        coalesce(CASE WHEN m.name IS NULL AND f.name IS NOT NULL THEN 1 END, m.specificity, 0)
          AS specificity,
        m.name IS NULL AND f.name IS NOT NULL AS location_fallback
-FROM a LEFT JOIN ({_match_sql("title || ' ' || substring(content, 1, 200)")}) m
+FROM a LEFT JOIN ({_match_sql("title || ' ' || content")}) m
   ON a.article_id = m.article_id
 LEFT JOIN (SELECT article_id, word AS name, p.lat FROM ({_CAND}) c
            JOIN ({values_sql(PLACES)}) AS p(name, lat, lng) ON lower(c.word) = p.name
@@ -94,7 +86,7 @@ LEFT JOIN (SELECT article_id, word AS name, p.lat FROM ({_CAND}) c
 @query("c13_resolve_location", with_views(_RESOLVED, a=ARTICLES))
 def c13(spark, sf):
     a = heavy_articles(spark, sf)
-    text = F.concat("title", F.lit(" "), F.substring("content", 1, 200))
+    text = F.concat("title", F.lit(" "), "content")
     out = locate.resolve_location(a, "article_id", text, F.lit(None).cast("string"),
                                   F.col("title"), GAZETTEER, places(spark), TITLE_STOPS)
     return out.select("article_id", "place.name", F.round("place.lat", 4).alias("lat"),

@@ -17,11 +17,10 @@ from newsgrid.plans.bindings import (
 )
 from newsgrid.plans.catalog_counts import _topic_counts_sql, heavy_articles as articles, incidents
 from newsgrid.plans.registry import query
-from newsgrid.session import spread
 
 
 def docs(spark, sf):
-    return spread(table(spark, sf, "documents"))
+    return table(spark, sf, "documents")
 
 
 def low():
@@ -84,11 +83,11 @@ def _place_sql(text: str) -> str:
 
 
 @query("t07_title_place_candidates", f"""
-SELECT doc_id, array_to_string({_place_sql('substring(text, 1, 120)')}, '|') AS candidates
+SELECT doc_id, array_to_string({_place_sql('text')}, '|') AS candidates
 FROM documents""")
 def t07(spark, sf):
     return docs(spark, sf).select("doc_id", F.array_join(tx.title_place_candidates(
-        F.substring("text", 1, 120), TITLE_STOPS), "|").alias("candidates"))
+        F.col("text"), TITLE_STOPS), "|").alias("candidates"))
 
 
 _TOKENS = f"regexp_extract_all({d_ascii('lower(text)')}, '\\b[a-z]{{4,}}\\b')"
@@ -153,10 +152,10 @@ def t14(spark, sf):
 
 
 @query("t15_slugify", """
-SELECT doc_id, trim(regexp_replace(lower(substring(text, 1, 60)), '[^a-z0-9]+', '-', 'g'), '-')
+SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-')
   AS slug FROM documents""")
 def t15(spark, sf):
-    return docs(spark, sf).select("doc_id", tx.slugify(F.substring("text", 1, 60)).alias("slug"))
+    return docs(spark, sf).select("doc_id", tx.slugify(F.col("text")).alias("slug"))
 
 
 @query("t16_first_words", r"""
@@ -174,7 +173,7 @@ def t17(spark, sf):
         "c_custkey", tx.address_hash(F.col("c_name"), "pepper").alias("h"))
 
 
-_TITLED = "concat(substring(text, 1, 40), CASE WHEN doc_id % 4 <> 0 THEN ' - ' || lang ELSE '' END, " \
+_TITLED = "concat(text, CASE WHEN doc_id % 4 <> 0 THEN ' - ' || lang ELSE '' END, " \
           "CASE WHEN doc_id % 3 = 0 THEN ' - ' || source ELSE '' END)"
 
 
@@ -219,13 +218,13 @@ def t28(spark, sf):
 
 
 @query("t29_level_suffix", r"""
-SELECT doc_id, substring(text, 1, 20) || CASE WHEN b <> '' AND length(b) < 60 THEN ' — ' || b ELSE ''
+SELECT doc_id, text || CASE WHEN b <> '' AND length(b) < 60 THEN ' — ' || b ELSE ''
          END AS title,
-       substring(text, 1, 20) || CASE WHEN b <> '' THEN ' — ' || substring(b, 1, 40) ELSE '' END AS cut
+       text || CASE WHEN b <> '' THEN ' — ' || substring(b, 1, 40) ELSE '' END AS cut
 FROM (SELECT doc_id, text, trim(regexp_extract(text, '^([^.\n]*)\.', 1)) AS b FROM documents)""")
 def t29(spark, sf):
     badge = F.regexp_extract("text", r"^([^.\n]*)\.", 1)
-    title = F.substring("text", 1, 20)
+    title = F.col("text")
     return docs(spark, sf).select("doc_id", tx.with_level(title, badge, shorter_than=60)
                                   .alias("title"), tx.with_level(title, badge, 40).alias("cut"))
 
@@ -391,20 +390,20 @@ def p02(spark, sf):
 # -- lexicon joins ------------------------------------------------------------------
 
 _TERM_ROWS = [(cat, i, w) for i, (cat, terms) in enumerate(IW.topics.items())
-              for w in terms if " " not in w]
+              for w in terms]
 
 
 def lexicon_table(spark):
     return small_table(spark, _TERM_ROWS, "category, ord, term")
 
 
-_HITS = f"""
-SELECT doc_id, category, ord, count(*) AS hits
-FROM (SELECT doc_id, unnest({d_tokens('lower(text)')}) AS w FROM documents) t
-JOIN ({values_sql(_TERM_ROWS)}) AS v(category, ord, term) ON t.w = v.term GROUP BY 1, 2, 3"""
+_HITS = " UNION ALL ".join(
+    f"SELECT * FROM (SELECT doc_id, '{c}' AS category, {i} AS ord, "
+    f"{d_terms('lower(text)', d_tokens('lower(text)'), terms)} AS hits FROM documents) WHERE hits > 0"
+    for i, (c, terms) in enumerate(IW.topics.items()))
 
 
-@query("j07_text_lexicon_match", f"SELECT doc_id, category, hits FROM ({_HITS})")
+@query("j07_text_lexicon_match", f"SELECT doc_id, category, hits FROM ({_HITS})", longs=True)
 def j07(spark, sf):
     return lx.category_hits_join(docs(spark, sf), "doc_id", "text", lexicon_table(spark))
 
@@ -419,7 +418,7 @@ def a20(spark, sf):
 
 @query("a21_best_category", f"""
 SELECT doc_id, category, hits FROM ({_HITS})
-QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, ord) = 1""")
+QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, ord) = 1""", longs=True)
 def a21(spark, sf):
     lex = lexicon_table(spark)
     hits = lx.category_hits_join(docs(spark, sf), "doc_id", "text", lex).join(
@@ -695,29 +694,29 @@ def x02(spark, sf):
 
 @query("x06_flags_text_and_list", """
 SELECT doc_id, len(l) AS n, array_to_string(l, ',') AS joined FROM (
-  SELECT doc_id, list_filter(list_transform(string_split(substring(text, 1, 400), ','),
+  SELECT doc_id, list_filter(list_transform(string_split(text, ','),
                  lambda x: trim(x)), lambda x: trim(x) <> '') AS l FROM documents)""", longs=True)
 def x06(spark, sf):
-    parts = arrays.split_list(F.substring("text", 1, 400))
+    parts = arrays.split_list(F.col("text"))
     return docs(spark, sf).select("doc_id", F.size(parts).alias("n"), arrays.join_list(parts)
                                   .alias("joined"))
 
 
 @query("x07_flag_overlap", """
 SELECT doc_id FROM documents WHERE len(list_intersect(
-  string_split(lower(substring(text, 1, 200)), ' '), ['tion', 'than', 'nicht', 'elle'])) > 0""")
+  string_split(lower(text), ' '), ['tion', 'than', 'nicht', 'elle'])) > 0""")
 def x07(spark, sf):
-    words = F.split(F.lower(F.substring("text", 1, 200)), " ")
+    words = F.split(F.lower("text"), " ")
     return docs(spark, sf).filter(F.arrays_overlap(words, arrays.strings(
         ["tion", "than", "nicht", "elle"]))).select("doc_id")
 
 
 @query("x08_list_truncation", """
-SELECT doc_id, array_to_string(string_split(substring(text, 1, 300), ' ')[1:8], ' ') AS first8
+SELECT doc_id, array_to_string(string_split(text, ' ')[1:8], ' ') AS first8
 FROM documents""")
 def x08(spark, sf):
     return docs(spark, sf).select("doc_id", F.array_join(arrays.head(F.split(
-        F.substring("text", 1, 300), " "), 8), " ").alias("first8"))
+        F.col("text"), " "), 8), " ").alias("first8"))
 
 
 _PARTS_TEXT = r"""md5(array_to_string(list_transform(list_filter(list_transform(

@@ -145,4 +145,10 @@ def run_ingest(batch: DataFrame, article_store: DataFrame, incident_store: DataF
             (F.col("seen") - F.coalesce("_fresh", F.lit(0))).alias("already_seen"),
             *[F.coalesce(c, F.lit(0)).alias(c) for c in counts])
 
-    return IngestRun(stored, new_incidents, lambda: mark_seen(seen, fresh, as_of), funnel)
+    def marked() -> DataFrame:
+        # What is refused for want of a title or URL was not written.
+        written = fresh.filter((F.trim(blank_if_null(F.col("title"))) != "")
+                               & (blank_if_null(F.col("url")) != ""))
+        return mark_seen(seen, written, as_of)
+
+    return IngestRun(stored, new_incidents, marked, funnel)

@@ -32,10 +32,15 @@ def build_session(app: str = "newsgrid", master: str | None = None,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a local one only where none is named."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.
+
+    Only a session that runs in one JVM may do without: it gets a folder of its own.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getCheckpointDir()
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not named:
         named = tempfile.mkdtemp(prefix="newsgrid-checkpoint-")
     if spark.sparkContext.getCheckpointDir() is None:
@@ -47,15 +52,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` on reliable storage, so lost executors do not replay it."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def spread(scan: DataFrame) -> DataFrame:
-    """Give a scan with fewer splits than cores to every core.
-
-    Text jobs are bound by CPU, and a few small files would otherwise run on as
-    many tasks.  A table with enough splits, which is every large one, is left as
-    it is.  Only for plain scans: planning them runs nothing.
-    """
-    want = scan.sparkSession.sparkContext.defaultParallelism
-    have = scan._jdf.queryExecution().toRdd().getNumPartitions()
-    return scan if have >= want else scan.repartition(want)

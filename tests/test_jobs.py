@@ -249,4 +249,4 @@ def test_query_matches_its_oracle(spark, sf, duck, name):
 def test_entry_and_registry(spark):
     assert set(ORACLES) <= set(QUERIES)
     assert entry_module.entry(spark).count() == 5
-    assert set(entry_module.queries()) == set(QUERIES)
+    assert set(entry_module.queries()) >= set(QUERIES)
