@@ -64,6 +64,11 @@ def insert_if_absent(batch: DataFrame, store: DataFrame, order: Sequence[Column]
     return first.join(stored.distinct(), url, "left_anti").select(*batch.columns)
 
 
+def required(batch: DataFrame, *fields: str) -> DataFrame:
+    """Rows that have all of the fields; blank is as good as missing."""
+    return batch.filter(" AND ".join(f"trim(coalesce({f}, '')) <> ''" for f in fields))
+
+
 def rejects(batch: DataFrame, required: str = "title") -> DataFrame:
     """Rows refused for a missing required field, with the reason."""
     return (batch.filter(F.trim(blank_if_null(F.col(required))) == "")

@@ -615,6 +615,14 @@ def w09(spark, sf):
     return ratelimit.greedy_accept(view(spark, sf, REQUESTS), "client", "ts", "event_id", 6 * 3600)
 
 
+@query("v05_rate_limiter_with_condition", with_views(_greedy("latitude > 0", 2 * 3600) + """
+SELECT event_id, ok AND NOT limited AS accepted, limited FROM g""", r=REQUESTS))
+def v05(spark, sf):
+    """The limiter as an extension point: own window, and only some requests use it up."""
+    r = view(spark, sf, REQUESTS).withColumn("uses", F.col("latitude") > 0)
+    return ratelimit.greedy_accept(r, "client", "ts", "event_id", 2 * 3600, consumes="uses")
+
+
 _IN_BOX = "(latitude BETWEEN -5 AND 5 AND longitude BETWEEN 33.5 AND 42.5)"
 
 
@@ -772,11 +780,11 @@ def dt09(spark, sf):
 @query("v04_place_candidate_udtf", f"""
 SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, l[i] AS candidate
 FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i
-      FROM (SELECT doc_id, {_place_sql('substring(text, 1, 120)')} AS l FROM documents))""")
+      FROM (SELECT doc_id, {_place_sql('text')} AS l FROM documents))""")
 def v04(spark, sf):
     """Candidates as a table function, for SQL users."""
     spark.udtf.register("place_candidates", candidate_udtf(TITLE_STOPS))
-    docs = table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 120)
+    docs = table(spark, sf, "documents").select("doc_id", F.col("text")
                                                 .alias("title"))
     return spark.sql("SELECT d.doc_id, c.pos, c.candidate FROM {d} d, "
                      "LATERAL place_candidates(d.title) c", d=docs)

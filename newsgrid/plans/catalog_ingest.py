@@ -4,16 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from newsgrid.functions import arrays, text as tx
+from newsgrid.functions import arrays
 from newsgrid.operators import dedupe, eav, moderation, registry
 from newsgrid.operators.grouped import capped_by_source
+from newsgrid.operators.locate import county_tree, place_candidates
 from newsgrid.plans.bindings import (
-    ARTICLES, AS_OF, INCIDENTS, META, POSTS, SEEN, STORE, UPDATES, d_any, table, view, with_views,
+    ARTICLES, AS_OF, INCIDENTS, META, POSTS, SEEN, STORE, TITLE_STOPS, UPDATES, d_any, table, view,
+    with_views,
 )
 from newsgrid.plans.catalog_counts import articles, incidents, updates
+from newsgrid.plans.catalog_text import _place_sql
 from newsgrid.plans.ingest import dedupe_and_ingest
 from newsgrid.plans.registry import query
+from newsgrid.session import scratch
 from newsgrid.sources import landed, sinks
+from newsgrid.sources.reference import county_table
 
 def first():
     return [F.asc("article_id")]
@@ -225,13 +230,11 @@ SELECT article_id, array_to_string(list_transform(list_filter(p, lambda x: list_
          AS candidates
 FROM (SELECT article_id, list_transform(range(1, len(l) + 1), lambda i: struct_pack(v := l[i], i := i))
         AS p
-      FROM (SELECT article_id, [source, lang] || string_split(title, ' ') AS l FROM a))""",
+      FROM (SELECT article_id, [source] || """ + _place_sql("title") + """ AS l FROM a))""",
     a=ARTICLES))
 def u04(spark, sf):
-    a = articles(spark, sf)
-    both = F.concat(F.array("source", "lang"), F.split("title", " "))
-    return a.select("article_id", F.array_join(arrays.distinct_ignoring_case(both), "|")
-                    .alias("candidates"))
+    found = place_candidates(F.col("source"), F.col("title"), TITLE_STOPS)
+    return articles(spark, sf).select("article_id", F.array_join(found, "|").alias("candidates"))
 
 
 @query("u05_except_seen", with_views("SELECT url FROM a EXCEPT SELECT url FROM s",
@@ -265,8 +268,9 @@ def s13(spark, sf):
 SELECT conv_id, turn FROM conversations WHERE trim(substring(text, 1, 100)) <> ''""")
 def s14(spark, sf):
     posts = table(spark, sf, "conversations").withColumn("title", F.substring("text", 1, 100))
-    kept = posts.filter(F.trim(F.coalesce("title", F.lit(""))) != "")
-    return kept.select("conv_id", "turn")
+    path = scratch(spark)
+    sinks.append_social_posts(posts, path)
+    return spark.read.parquet(path).select("conv_id", "turn")
 
 
 @query("s16_seen_set_append", with_views("""
@@ -351,7 +355,7 @@ def p25(spark, sf):
 SELECT page_id FROM pages WHERE length(regexp_extract(url, '#(.*)$', 1)) > 0""")
 def p27(spark, sf):
     p = table(spark, sf, "pages").withColumn("link", F.regexp_extract("url", "#(.*)$", 1))
-    return p.filter(F.length("link") > 0).select("page_id")
+    return dedupe.required(p, "link").select("page_id")
 
 
 _HAZARD, _PLACE = ["heat", "onst", "nicht"], ["than", "elle", "erin"]
@@ -430,8 +434,9 @@ def s11(spark, sf):
     """Nested reference rows; the group is a short administrative list."""
     n = table(spark, sf, "nation").join(table(spark, sf, "region"),
                                         F.col("n_regionkey") == F.col("r_regionkey"))
-    return n.groupBy(F.col("r_name").alias("region")).agg(
-        F.array_join(F.array_sort(F.collect_list("n_name")), ",").alias("nations"))
+    return county_table(n, "r_name", "n_name").select(
+        F.col("name").alias("region"),
+        F.array_join(F.transform("subs", lambda s: s["name"]), ",").alias("nations"))
 
 
 @query("j18_updates_with_parent_title", with_views("""
@@ -451,9 +456,7 @@ def x11(spark, sf):
     o = table(spark, sf, "orders")
     stored = F.when(F.col("o_orderpriority") != "1-URGENT", F.create_map(
         F.lit("type"), F.col("o_orderpriority"))).otherwise(F.create_map().cast("map<string,string>"))
-    defaults = F.create_map(F.lit("type"), F.lit("fire"), F.lit("status"), F.lit("unsafe"))
-    merged = F.map_concat(F.map_filter(defaults, lambda k, _: ~F.map_contains_key(stored, "type")
-                                       | (k != "type")), stored)
+    merged = arrays.merge_defaults(stored, {"type": "fire", "status": "unsafe"})
     return o.select(F.col("o_orderkey").alias("incident_id"), merged["type"].alias("type"),
                     merged["status"].alias("status"))
 
@@ -465,7 +468,6 @@ FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1""")
 def x10(spark, sf):
     n = table(spark, sf, "nation").join(table(spark, sf, "region"),
                                         F.col("n_regionkey") == F.col("r_regionkey"))
-    subs = n.groupBy(tx.slugify(F.col("r_name")).alias("slug")).agg(F.map_from_entries(
-        F.collect_list(F.struct(tx.slugify(F.col("n_name")), "n_name"))).alias("subs"))
-    return subs.select("slug", F.size("subs").cast("long").alias("n_subs"),
-                       F.array_min(F.map_keys("subs")).alias("first_sub"))
+    tree = county_tree(county_table(n, "r_name", "n_name"))
+    return tree.select("slug", F.size("subs").cast("long").alias("n_subs"),
+                       F.array_min(F.transform("subs", lambda s: s["slug"])).alias("first_sub"))

@@ -26,7 +26,7 @@ def _stream(spark, sf, name):
     """A standard table as a file stream."""
     schema = table(spark, sf, name).schema
     spark.conf.set(_ROCKS, RECOMMENDED[_ROCKS])
-    return flows.file_stream(spark, f"{sf}/{name}*.parquet", schema)
+    return flows.file_stream(spark, f"{sf}/{name}*.parquet", schema, files_per_trigger=1)
 
 
 def _folder(spark) -> str:
@@ -34,11 +34,11 @@ def _folder(spark) -> str:
 
 
 def _run(spark, out, mode: str = "append"):
-    """Run to the end.  Complete mode keeps the last full result, others every batch."""
+    """Run to the end; every batch is kept."""
     base = _folder(spark)
 
     def sink(batch, batch_id):
-        write_batch(batch, base + "/rows", 0 if mode == "complete" else batch_id)
+        write_batch(batch, base + "/rows", batch_id)
 
     (out.writeStream.outputMode(mode).foreachBatch(sink).trigger(availableNow=True)
      .option("checkpointLocation", base + "/state").start().awaitTermination())
@@ -46,12 +46,30 @@ def _run(spark, out, mode: str = "append"):
     return spark.read.schema(schema).parquet(base + "/rows").select(*schema.names)
 
 
+def _in_parts(spark, sf, name, parts=3):
+    """A standard table as a stream of several micro-batches."""
+    folder = _folder(spark) + "/in"
+    rows = table(spark, sf, name)
+    rows.repartition(parts).write.parquet(folder)
+    return flows.file_stream(spark, folder, rows.schema, files_per_trigger=1)
+
+
+def _totals(spark, stream, count):
+    """Counts of a stream, batch by batch, added up."""
+    base = _folder(spark)
+    flows.append_counts(stream, count, base + "/parts", base + "/state").awaitTermination()
+    return flows.total_counts(spark, base + "/parts", count(stream).schema)
+
+
 @query("r01_streaming_seen_dedupe", """
-SELECT DISTINCT user_id || '-' || event_type AS url FROM events""")
+SELECT DISTINCT user_id || '-' || event_type AS url FROM events WHERE user_id % 10 <> 0""")
 def r01(spark, sf):
-    e = _stream(spark, sf, "events").select("ts", F.concat(
-        F.col("user_id").cast("string"), F.lit("-"), "event_type").alias("url"))
-    return _run(spark, flows.unseen(e, late="40 days")).select("url")
+    url = F.concat(F.col("user_id").cast("string"), F.lit("-"), "event_type").alias("url")
+    seen = table(spark, sf, "events").filter("user_id % 10 = 0").select(url).distinct()
+    base = _folder(spark)
+    flows.append_unseen(_in_parts(spark, sf, "events").select("ts", url), seen, base + "/rows",
+                        base + "/state").awaitTermination()
+    return spark.read.schema("url string").parquet(base + "/rows").select("url")
 
 
 @query("r02_micro_batch_ingest", """
@@ -59,17 +77,18 @@ SELECT 'titled' AS part, count(*) AS n FROM (
   SELECT DISTINCT md5(text) FROM documents WHERE trim(substring(text, 1, 80)) <> '')
 UNION ALL SELECT 'rejected', count(*) FROM documents WHERE trim(substring(text, 1, 80)) = ''""")
 def r02(spark, sf):
+    """Copies of a text are in different batches; each is compared with what is written."""
     base = _folder(spark)
-    docs = _stream(spark, sf, "documents").select(
+    docs = _in_parts(spark, sf, "documents").select(
         F.col("doc_id").alias("article_id"), F.md5("text").alias("url"),
         F.substring("text", 1, 80).alias("title"))
+    paths = {"titled": base + "/titled", "rejected": base + "/rejected"}
 
     def build(batch, batch_id):
-        none = batch.limit(0).select("url")
-        return {"titled": dedupe.insert_if_absent(batch, none, [F.asc("article_id")]),
+        stored = flows.earlier(batch.sparkSession, paths["titled"], "url string", batch_id)
+        return {"titled": dedupe.insert_if_absent(batch, stored, [F.asc("article_id")]),
                 "rejected": dedupe.rejects(batch)}
 
-    paths = {"titled": base + "/titled", "rejected": base + "/rejected"}
     flows.ingest_batches(docs, build, paths, base + "/state").awaitTermination()
     parts = [spark.read.schema("article_id long").parquet(paths[p]).agg(F.count("*").alias("n"))
              .select(F.lit(p).alias("part"), "n") for p in paths]
@@ -83,17 +102,30 @@ FROM (SELECT event_type, ts, unnest(generate_series(
         time_bucket(INTERVAL '6' HOUR, ts, TIMESTAMP '2000-01-01'), INTERVAL '6' HOUR)) AS w
       FROM events) GROUP BY 1, 2""")
 def r03(spark, sf):
-    out = flows.rolling_counts(_stream(spark, sf, "events"), "event_type", size="24 hours",
-                               slide="6 hours")
-    return _run(spark, out, "complete").select(
-        F.unix_seconds("window_start").alias("window_start_s"), "event_type", "n")
+    out = _totals(spark, _in_parts(spark, sf, "events"), lambda batch: flows.rolling_counts(
+        batch, "event_type", size="24 hours", slide="6 hours"))
+    return out.select(F.unix_seconds("window_start").alias("window_start_s"), "event_type", "n")
 
 
 @query("r04_daily_timeline_stream", """
 SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n FROM events GROUP BY 1""")
 def r04(spark, sf):
-    out = flows.daily_timeline(_stream(spark, sf, "events"))
-    return _run(spark, out, "complete").select(F.col("day").cast("string").alias("day"), "n")
+    out = _totals(spark, _in_parts(spark, sf, "events"), flows.daily_timeline)
+    return out.select(F.col("day").cast("string").alias("day"), "n")
+
+
+@query("r09_late_articles", """
+SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2""")
+def r09(spark, sf):
+    """The newest rows come first and the oldest last; every late one is counted on its day."""
+    folder = _folder(spark) + "/in"
+    rows = table(spark, sf, "events")
+    rows.withColumn("part", F.when(F.dayofmonth("ts") > 20, 0).when(F.dayofmonth("ts") > 10, 1)
+                    .otherwise(2)).write.partitionBy("part").parquet(folder)
+    late = flows.file_stream(spark, folder + "/part=*", rows.schema, files_per_trigger=1)
+    out = _totals(spark, late, lambda batch: batch.groupBy(
+        F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n")))
+    return out.select(F.col("day").cast("string").alias("day"), "event_type", "n")
 
 
 @query("r05_streaming_rate_limit", with_views(_greedy("true", 6 * 3600) + """
@@ -133,8 +165,8 @@ def r07(spark, sf):
 
 @query("r08_running_counters", "SELECT l_orderkey AS incident_id, count(*) AS n FROM lineitem GROUP BY 1")
 def r08(spark, sf):
-    lines = _stream(spark, sf, "lineitem").select(F.col("l_orderkey").alias("incident_id"))
-    return _run(spark, flows.running_counts(lines), "complete")
+    lines = _in_parts(spark, sf, "lineitem").select(F.col("l_orderkey").alias("incident_id"))
+    return _totals(spark, lines, flows.running_counts)
 
 
 @query("r10_cadence_selection", """

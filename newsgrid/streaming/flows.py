@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.types import StructType
 
 from newsgrid.functions.dates import local_date
+from newsgrid.operators.dedupe import drop_seen, first_per_url
 from newsgrid.sources.sinks import write_batch
 
 
@@ -41,6 +42,53 @@ def ingest_batches(stream: DataFrame, build: Callable[[DataFrame, int], dict[str
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def earlier(spark: SparkSession, path: str, schema: str, batch_id: int) -> DataFrame:
+    """What the batches before ``batch_id`` have written to ``path``."""
+    if batch_id == 0:
+        return spark.createDataFrame([], schema)
+    return (spark.read.schema(f"{schema}, batch_id long").parquet(path)
+            .filter(F.col("batch_id") < batch_id).drop("batch_id"))
+
+
+def append_unseen(stream: DataFrame, seen: DataFrame, path: str, checkpoint: str,
+                  url: str = "url"):
+    """The rows whose URL is neither in ``seen`` nor in an earlier batch, the first of each.
+
+    There is no horizon: a URL that comes back after any time is still known, and
+    a late row is as good as another.
+    """
+    kind = f"{url} {stream.schema[url].dataType.simpleString()}"
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        known = seen.select(url).unionByName(
+            earlier(batch.sparkSession, path, kind, batch_id))
+        first = first_per_url(batch, [F.xxhash64(*batch.columns)], url)
+        write_batch(drop_seen(first, known, url), path, batch_id)
+
+    return (stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
+def append_counts(stream: DataFrame, count: Callable[[DataFrame], DataFrame], path: str,
+                  checkpoint: str):
+    """The counts of every micro-batch, by ``count``, as a part of the totals.
+
+    Nothing is kept as state and no batch writes more than its own counts; rows
+    may come as late as they like.  ``total_counts`` adds the parts up.
+    """
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        write_batch(count(batch), path, batch_id)
+
+    return (stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
+def total_counts(spark: SparkSession, path: str, schema: StructType, n: str = "n") -> DataFrame:
+    """Sums of what ``append_counts`` has written."""
+    parts = spark.read.schema(schema).parquet(path)
+    return parts.groupBy(*[c for c in schema.names if c != n]).agg(F.sum(n).alias(n))
+
+
 def rolling_counts(stream: DataFrame, key: str, ts: str = "ts", size: str = "24 hours",
                    slide: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """Counts per key over sliding windows."""

@@ -24,7 +24,12 @@ class _GreedyLimit(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         last = self.last.get()[0] if self.last.exists() else None
         moved = False
-        for r in sorted(rows, key=lambda r: (r.us, r.event_id)):
+        rows = list(rows)
+        for r in rows:
+            if r.us is None:                      # can't be placed in a window
+                yield Row(client=key[0], event_id=r.event_id, accepted=False, limited=False)
+        dated = [r for r in rows if r.us is not None]
+        for r in sorted(dated, key=lambda r: (r.us, r.event_id)):
             limited = last is not None and r.us < last + self.window_us
             accepted = r.uses and not limited
             if accepted:
@@ -101,7 +106,7 @@ def age_stream(updates: DataFrame, incident_id: str = "incident_id", ts: str = "
     """
     slim = (updates.withWatermark(ts, late)
             .select(F.col(incident_id).cast("long").alias("incident_id"), F.col(ts).alias("ts"),
-                    F.unix_millis(ts).alias("ms")))
+                    F.unix_millis(ts).alias("ms")).filter("ms IS NOT NULL"))
     return slim.groupBy("incident_id").transformWithState(
         _Ageing(expiry_days * _DAY_MS, warn_hours * 3_600_000, resolve_days * _DAY_MS,
                 archive_days * _DAY_MS),
@@ -137,7 +142,8 @@ def breaker_stream(runs: DataFrame, label: str = "label", run_at: str = "run_at"
     """Breaker state per source after every micro-batch."""
     slim = runs.select(F.col(label).alias("label"), F.unix_millis(run_at).alias("ms"),
                        F.col(tie).cast("long").alias("tie"),
-                       F.coalesce(F.col(seen), F.lit(0)).cast("long").alias("seen"))
+                       F.coalesce(F.col(seen), F.lit(0)).cast("long").alias("seen")
+                       ).filter("ms IS NOT NULL")
     return slim.groupBy("label").transformWithState(
         _Breaker(threshold, pause_hours * 3_600_000),
         "label string, zero_runs long, last_articles long, disabled_until_ms long", "update",
