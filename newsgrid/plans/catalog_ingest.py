@@ -375,9 +375,8 @@ def p15(spark, sf):
 SELECT article_id FROM a WHERE contains(lower(title), 'than') OR contains(lower(source), 'src1')""",
     a=ARTICLES))
 def p16(spark, sf):
-    a = articles(spark, sf)
-    return landed.mentions(a, "Than", "title").select("article_id").unionByName(
-        landed.mentions(a, "SRC1", "source").select("article_id")).distinct()
+    return landed.mentions_any(articles(spark, sf), {"title": "Than", "source": "SRC1"}).select(
+        "article_id")
 
 
 @query("s09_social_articles", """

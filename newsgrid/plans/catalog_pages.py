@@ -211,17 +211,18 @@ def s07(spark, sf):
 
 
 @query("s08_search_feed_articles", """
-SELECT 'https://g.example/' || doc_id AS url, substring(text, 1, 40) AS title,
-       substring(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 280) AS excerpt,
-       'News search (' || source || ')' AS source
-FROM (SELECT * FROM documents WHERE NOT contains(substring(text, 1, 40), ' - ')
-        AND NOT regexp_matches(text, '[<&]'))""")
+SELECT 'https://g.example/' || doc_id AS url, split_part(text, chr(10), 1) AS title,
+       substring(""" + _text_sql("text || ' <b>' || lang || '</b> - &amp; x'") + """, 1, 280) AS excerpt,
+       'News search (' || source || ')' AS source FROM documents""")
 def s08(spark, sf):
-    d = table(spark, sf, "documents").filter(
-        ~F.contains(F.substring("text", 1, 40), F.lit(" - ")) & ~F.rlike("text", F.lit("[<&]")))
-    items = d.select(F.concat(F.lit("https://g.example/"), F.col("doc_id").cast("string"))
-                     .alias("link"), F.concat(F.substring("text", 1, 40), F.lit(" - "), "source")
-                     .alias("title"), F.col("text").alias("summary"), F.lit("").alias("published"))
+    """Titles are first lines, with inner dashes; summaries have tags and references."""
+    d = table(spark, sf, "documents")
+    first = F.split_part("text", F.lit("\n"), F.lit(1))
+    items = d.select(
+        F.concat(F.lit("https://g.example/"), F.col("doc_id").cast("string")).alias("link"),
+        F.concat(first, F.lit(" - "), "source").alias("title"),
+        F.concat("text", F.lit(" <b>"), "lang", F.lit("</b> - &amp; x")).alias("summary"),
+        F.lit("").alias("published"))
     return landed.search_feed_articles(items, AS_OF).select("url", "title", "excerpt", "source")
 
 

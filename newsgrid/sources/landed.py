@@ -89,8 +89,13 @@ def with_authors(posts: DataFrame, users: DataFrame, missing: str = "unknown") -
 
 def mentions(items: DataFrame, keyword: str, *columns: str) -> DataFrame:
     """Items naming a keyword in any of the given columns."""
+    return mentions_any(items, dict.fromkeys(columns, keyword))
+
+
+def mentions_any(items: DataFrame, keywords: dict[str, str]) -> DataFrame:
+    """Items where any column names its keyword, in one filter."""
     hit = F.lit(False)
-    for c in columns:
+    for c, keyword in keywords.items():
         hit = hit | F.contains(F.lower(blank_if_null(F.col(c))), F.lit(keyword.lower()))
     return items.filter(hit)
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from newsgrid.functions.arrays import evaluate_once
+from newsgrid.functions.arrays import evaluate_once, let
 from newsgrid.functions.dates import instant, last_updated_date, reissue_date
 from newsgrid.functions.html import (
     DEFAULT_CONTAINERS, absolute_url, container_html, page_body, page_excerpt, page_links,
@@ -80,41 +80,45 @@ class AdvisoryRule:
 
 def advisory_pages(pages: DataFrame, rules: Sequence[AdvisoryRule], as_of,
                    issuer: str = "issuer") -> DataFrame:
-    """Pages of each issuer through its own rule, united.
+    """Pages of each issuer by its own rule, all in one pass over the pages.
 
-    Every rule is a literal expression over the pages of its issuer, so the
-    issuer filter reaches the scan and patterns are compiled once.
+    Every rule is a literal expression under a condition on the issuer, so only
+    the rule of a page's issuer is evaluated and patterns are compiled once.
     """
-    out = None
-    for rule in rules:
-        mine = pages.filter(F.col(issuer) == rule.issuer)
-        html = F.col("html")
+    if not rules:
+        raise ValueError("no advisory rules given")
+    html = F.col("html")
+
+    def read(rule: AdvisoryRule) -> Column:
         badge = strip_tags(F.coalesce(*[container_html(html, s) for s in rule.level], F.lit("")))
         if rule.level_pattern:
             badge = F.regexp_extract(strip_tags(html), rule.level_pattern, 1)
-        content = page_body(html, rule.body)
         head = strip_tags(container_html(html, rule.title_from)) if rule.title_from else F.lit("")
-        found = evaluate_once(mine, content=content, _badge=badge, _meta=page_excerpt(html),
-                              _head=head, _time=time_attribute(html))
-        when = {"reissued": reissue_date(F.col("content")),
-                "last_updated": last_updated_date(F.col("content")),
-                "time": F.try_to_timestamp(F.col("_time"))}.get(rule.dated)
-        published = instant(as_of) if when is None else F.coalesce(when, instant(as_of))
-        excerpt = F.col("_meta")
+        found = F.struct(page_body(html, rule.body).alias("content"), badge.alias("badge"),
+                         page_excerpt(html).alias("meta"), head.alias("head"),
+                         time_attribute(html).alias("time"))
+        return let(found, lambda x: article(rule, x))
+
+    def article(rule: AdvisoryRule, x: Column) -> Column:
+        when = {"reissued": reissue_date, "last_updated": last_updated_date,
+                "time": lambda _: F.try_to_timestamp(x["time"])}.get(rule.dated)
+        published = instant(as_of)
+        if when is not None:
+            published = F.coalesce(when(x["content"]), published)
+        excerpt = x["meta"]
         if rule.excerpt is not None:
-            excerpt = F.trim(F.concat(F.lit(rule.excerpt + " "), F.col("_badge")))
+            excerpt = F.trim(F.concat(F.lit(rule.excerpt + " "), x["badge"]))
         elif rule.excerpt_from_body:
-            excerpt = F.when(F.col("_meta") != "", F.col("_meta")).otherwise(
-                F.substring("content", 1, 280))
-        title = F.when(F.col("_head") != "", F.concat(F.lit(rule.title_prefix), F.col("_head"))
-                       ).otherwise(F.lit(rule.title))
-        rows = found.select(
-            *[c for c in pages.columns if c != "html"],
-            with_level(title, F.col("_badge"), rule.level_max,
-                       rule.level_shorter_than).alias("title"),
-            blank_if_null(excerpt).alias("excerpt"), "content", published.alias("published_at"),
-            F.lit(rule.issuer).alias("source"))
-        out = rows if out is None else out.unionByName(rows)
-    if out is None:
-        raise ValueError("no advisory rules given")
-    return out
+            excerpt = F.when(excerpt != "", excerpt).otherwise(F.substring(x["content"], 1, 280))
+        title = F.when(x["head"] != "", F.concat(F.lit(rule.title_prefix), x["head"])).otherwise(
+            F.lit(rule.title))
+        return F.struct(
+            with_level(title, x["badge"], rule.level_max, rule.level_shorter_than).alias("title"),
+            blank_if_null(excerpt).alias("excerpt"), x["content"].alias("content"),
+            published.cast("timestamp").alias("published_at"), F.lit(rule.issuer).alias("source"))
+
+    mine = pages.filter(F.col(issuer).isin(*[r.issuer for r in rules]))
+    row = F.coalesce(*[F.when(F.col(issuer) == r.issuer, read(r)) for r in rules])
+    names = ("title", "excerpt", "content", "published_at", "source")
+    rest = [c for c in pages.columns if c != "html" and c not in names]
+    return evaluate_once(mine, _row=row).select(*rest, *[F.col(f"_row.{c}") for c in names])
