@@ -139,7 +139,45 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_items(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-@query("op10_line_dedup")
+OP10_SQL = r"""
+WITH raw AS (
+  SELECT doc_id, unnest(l) AS raw, generate_subscripts(l, 1) AS n
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
+unit AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS i,
+         len(string_split_regex(line, '\s+')) AS w
+  FROM (SELECT doc_id, n, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS line FROM raw) WHERE line <> ''),
+summed AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY i) AS total FROM unit),
+pair AS (
+  SELECT a.doc_id, a.i AS a, b.i AS b FROM summed a JOIN summed b
+    ON a.doc_id = b.doc_id AND a.i <= b.i AND b.total - a.total + a.w >= 50),
+win AS (
+  SELECT doc_id, a, min(b) AS b FROM pair GROUP BY doc_id, a
+  UNION SELECT doc_id, max(a), b FROM pair GROUP BY doc_id, b),
+run AS (
+  SELECT win.doc_id, a, b, string_agg(line, chr(10) ORDER BY i) AS run
+  FROM win JOIN unit ON win.doc_id = unit.doc_id AND i BETWEEN a AND b GROUP BY win.doc_id, a, b),
+later AS (
+  SELECT * FROM run QUALIFY row_number() OVER (PARTITION BY run ORDER BY doc_id, a) > 1),
+gone AS (
+  SELECT DISTINCT unit.doc_id, i, n FROM later JOIN unit
+    ON later.doc_id = unit.doc_id AND i BETWEEN a AND b),
+stretch AS (
+  SELECT doc_id, n AS low, CASE WHEN lead(i) OVER w = i + 1 THEN lead(n) OVER w - 1 ELSE n END AS high,
+         lag(i) OVER w IS DISTINCT FROM i - 1 AS head
+  FROM gone WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+kept AS (
+  SELECT raw.doc_id, string_agg(raw.raw, chr(10) ORDER BY n) FILTER (low IS NULL) AS kept,
+         count(low) AS n_removed
+  FROM raw LEFT JOIN stretch ON raw.doc_id = stretch.doc_id AND n BETWEEN low AND high
+  GROUP BY raw.doc_id),
+spans AS (SELECT doc_id, count(*) FILTER (head) AS n_spans FROM stretch GROUP BY doc_id)
+SELECT doc_id, n_removed, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(kept, '')) AS kept_sha256
+FROM kept LEFT JOIN spans USING (doc_id)
+"""
+
+
+@query("op10_line_dedup", OP10_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs, spans="spans").select(
