@@ -18,12 +18,12 @@ from newsgrid.plans.catalog_text import (
     _PARTS_TEXT, _class_sql, _gate_sql, _place_sql, text_parts,
 )
 from newsgrid.plans.registry import query
-from newsgrid.session import cut_lineage
+from newsgrid.session import cut_lineage, dealt
 from newsgrid.sources import feeds, landed, pages as pg
 
 
 def raw_pages(spark, sf):
-    return table(spark, sf, "pages")
+    return dealt(table(spark, sf, "pages"))
 
 
 def _text_sql(html: str) -> str:

@@ -17,10 +17,11 @@ from newsgrid.plans.bindings import (
 )
 from newsgrid.plans.catalog_counts import _topic_counts_sql, heavy_articles as articles, incidents
 from newsgrid.plans.registry import query
+from newsgrid.session import dealt
 
 
 def docs(spark, sf):
-    return table(spark, sf, "documents")
+    return dealt(table(spark, sf, "documents"))
 
 
 def low():

@@ -49,6 +49,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+SCAN_PARTITIONS = "spark.newsgrid.scanPartitions"
+
+
+def dealt(scan: DataFrame) -> DataFrame:
+    """The scan dealt out to as many partitions as the session asks for, if it does.
+
+    For files that Spark can't split, like a table in one row group; unset, the
+    scan stays as it is.
+    """
+    wanted = scan.sparkSession.conf.get(SCAN_PARTITIONS, None)
+    return scan.repartition(int(wanted)) if wanted else scan
+
+
 def scratch(spark: SparkSession) -> str:
     """A new path in the shared folder."""
     return f"{checkpoint_dir(spark)}/scratch/{uuid.uuid4().hex}"
