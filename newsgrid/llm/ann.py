@@ -25,13 +25,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from newsgrid.llm.common import materialise
+from newsgrid.llm.common import materialise, release
 
-NEIGHBOURS = 16
-REVERSE = 12           # nearest of those that have a vertex as their neighbour
+NEIGHBOURS = 32
+REVERSE = 32           # nearest of those that have a vertex as their neighbour
 ORDERS, PLANES, BLOCK = 4, 6, 128
-ROUNDS, STILL = 6, 0.01
-ENTRIES, START, LIST = 256, 4, 64
+ROUNDS, STILL = 5, 0.05
+ENTRIES, START, LIST = 256, 4, 192
+BROADCAST_QUERIES = 50_000     # of one vector each
 
 
 def usable(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
@@ -144,8 +145,8 @@ def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worst, x = rows.column(3).to_numpy(), matrix(rows.column(4))
         starts = np.flatnonzero(np.append(True, mid[1:] != mid[:-1]))
         sizes = np.diff(np.append(starts, len(mid)))
-        for a in range(0, len(starts), 500):
-            n, first = sizes[a:a + 500], starts[a:a + 500]
+        for a in range(0, len(starts), 200):
+            n, first = sizes[a:a + 200], starts[a:a + 200]
             cols = np.arange(n.max())
             at = np.where(cols < n[:, None], first[:, None] + cols, -1)
             d = np.sqrt(squares(x[at]))
@@ -191,6 +192,7 @@ def descend(nodes: DataFrame) -> DataFrame:
         graph = materialise(nearest(
             graph.select("node", "other", "dist", F.lit(False).alias("fresh"))
             .unionByName(found.withColumn("fresh", F.lit(True)))), "graph")
+        release(nodes.sparkSession)
         count, fresh = graph.agg(F.count("*"), F.count_if("fresh")).first()
         if fresh <= STILL * count:
             break
@@ -230,16 +232,19 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame) -> DataFrame:
                 names=["query", "node"])
 
     vectors = nodes.select("node", "vec")
-    queries = queries.select("query", "qvec")
+    queries = materialise(queries.select("query", "qvec"), "queries")
+    few = F.broadcast(queries) if queries.count() <= BROADCAST_QUERIES else queries
     own = queries.join(vectors, F.col("qvec") == F.col("vec")).select("query", "node")
     found = own.unionByName(queries.mapInArrow(enter, "query long, node long")).distinct()
     best = Window.partitionBy("query").orderBy("dist", "node")
-    state = None
+    state, known = None, None
     while True:
-        new = distance(found.join(queries, "query").join(vectors, "node")).withColumn(
+        found = materialise(found, "search-found")
+        known = found if known is None else known.unionByName(found)
+        new = distance(found.join(vectors, "node").join(few, "query")).withColumn(
             "open", F.lit(True))
         if state is not None:
-            # What was in the list stays known: it is expanded already.
+            # What is in the list is expanded already.
             new = state.withColumn("open", F.lit(False)).unionByName(new)
         state = materialise(new.withColumn("rank", F.row_number().over(best))
                             .filter(F.col("rank") <= LIST).drop("rank"), "search")
@@ -247,7 +252,7 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame) -> DataFrame:
         if ahead.isEmpty():
             return state.select("query", "node", "dist")
         found = (ahead.join(links, "node").select("query", F.col("other").alias("node")).distinct()
-                 .join(state.select("query", "node"), ["query", "node"], "left_anti"))
+                 .join(known, ["query", "node"], "left_anti"))
 
 
 def nearest_rows(df: DataFrame, queries: Column, k: int = 10, vec_id: str = "vec_id",
