@@ -20,6 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, types as T
 
 from newsgrid.llm.common import lists, slices
@@ -44,7 +45,7 @@ WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0
          0x202F, 0x205F, 0x3000]
 
 BATCH_CHARS = 1 << 19
-CACHE_PIECES = 200_000
+CACHE_PIECES = 150_000
 CACHED_LENGTH = 200
 
 
@@ -236,15 +237,25 @@ class Merged(dict):
         return ids
 
 
+def binaries(raw: bytes, counts: np.ndarray) -> pa.Array:
+    """A binary column from all bytes end to end and the length of each row's."""
+    ends = np.zeros(len(counts) + 1, np.int32)
+    np.cumsum(counts, out=ends[1:])
+    return pa.Array.from_buffers(pa.binary(), len(counts),
+                                 [None, pa.py_buffer(ends), pa.py_buffer(raw)])
+
+
 @lru_cache(maxsize=2)
 def codec(ranks: bytes) -> Codec:
     return Codec(ranks)
 
 
 def bpe_encode(df: DataFrame, ranks_path: str, text: str = "text",
-               keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+               keep: Sequence[str] = ("doc_id",), decoded: bool = False) -> DataFrame:
     """``keep``, ``ids`` (the tokens of ``text``) and ``offsets`` (each token's first byte).
 
+    With ``decoded`` the ids are decoded again into a column of that name, in the
+    same Python workers; ``bpe_decode`` would take a second set of them.
     ``ranks_path`` is a rank file on the driver; its contents, a vocabulary of
     bounded size, are broadcast.
     """
@@ -253,17 +264,21 @@ def bpe_encode(df: DataFrame, ranks_path: str, text: str = "text",
         ranks = spark.sparkContext.broadcast(file.read())
     carried = df.select(*keep).schema
     schema = T.StructType([*carried, T.StructField("ids", T.ArrayType(T.IntegerType(), False)),
-                           T.StructField("offsets", T.ArrayType(T.IntegerType(), False))])
+                           T.StructField("offsets", T.ArrayType(T.IntegerType(), False)),
+                           *[T.StructField("decoded", T.BinaryType())] * decoded])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks.value)
         for batch in batches:
-            texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
-            for a, b in slices(np.fromiter(map(len, texts), np.int64, len(texts)), BATCH_CHARS):
-                ids, at, counts = own.encode(texts[a:b])
+            column = batch.column(batch.num_columns - 1)
+            sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+            for a, b in slices(sizes, BATCH_CHARS):
+                ids, at, counts = own.encode(
+                    [t or "" for t in column.slice(a, b - a).to_pylist()])
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(i).slice(a, b - a) for i in range(len(carried))),
-                     lists(ids, counts, pa.int32()), lists(at.astype(np.int32), counts, pa.int32())],
+                     lists(ids, counts, pa.int32()), lists(at.astype(np.int32), counts, pa.int32()),
+                     *([binaries(*own.decode(ids, counts))] if decoded else [])],
                     names=schema.names)
 
     return df.select(*keep, df[text].alias("_text_to_encode")).mapInArrow(run, schema)
@@ -287,13 +302,9 @@ def bpe_decode(df: DataFrame, ranks_path: str, ids: str = "ids",
             column = batch.column(batch.num_columns - 1)
             sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             for a, b in slices(sizes, BATCH_CHARS):
-                raw, counts = own.decode(column.slice(a, b - a).flatten().to_numpy(), sizes[a:b])
-                ends = np.zeros(b - a + 1, np.int32)
-                np.cumsum(counts, out=ends[1:])
-                decoded = pa.Array.from_buffers(pa.binary(), b - a,
-                                                [None, pa.py_buffer(ends), pa.py_buffer(raw)])
+                found = own.decode(column.slice(a, b - a).flatten().to_numpy(), sizes[a:b])
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(i).slice(a, b - a) for i in range(len(carried))), decoded],
-                    names=schema.names)
+                    [*(batch.column(i).slice(a, b - a) for i in range(len(carried))),
+                     binaries(*found)], names=schema.names)
 
     return df.select(*keep, df[ids].alias("_ids_to_decode")).mapInArrow(run, schema)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newsgrid.llm.ann import nearest_rows
-from newsgrid.llm.bpe import bpe_decode, bpe_encode
+from newsgrid.llm.bpe import bpe_encode
 from newsgrid.llm.common import ORACLES, QUERIES, query, read, scratch
 from newsgrid.llm.crf import held_out, identify
 from newsgrid.llm.decontaminate import find_items
@@ -28,9 +28,7 @@ BLOCK = ("example.org/es/", "example.org/en/1", "com/de/")
 
 def bpe_digest(docs: DataFrame) -> DataFrame:
     """Encode, decode again, and reduce both to digests."""
-    encoded = bpe_encode(docs, BYTE_RANKS)
-    both = bpe_decode(encoded, BYTE_RANKS, keep=("doc_id", "ids"))
-    return both.select(
+    return bpe_encode(docs, BYTE_RANKS, decoded=True).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
