@@ -225,17 +225,3 @@ def group_near(df: DataFrame, words: int = WORDS, radius: int = RADIUS, key: str
         "print", F.coalesce("component", "least").alias("component_id"))
     return rows.join(named, "print").select(
         key, F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def drop_near(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, key: str = "doc_id",
-              text: str = "text") -> DataFrame:
-    """``docs`` with the document of least key of each group only.
-
-    Rows that share a key stay or go together, and so do rows with a null key
-    whose group has other keys; a group of null keys only stays.
-    """
-    groups = group_near(docs, words, radius, key, text)
-    gone = materialise(groups.filter(F.col(key) != F.col("component_id")).select(key).distinct(),
-                       "near-copies")
-    # The merge join keeps one plan at every size.
-    return docs.join(gone.hint("merge"), key, "left_anti").select(docs.columns)
