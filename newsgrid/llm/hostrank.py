@@ -4,7 +4,9 @@ A rule is ``host/path``: it fits its host and all subdomains of it where the
 URL's path starts with the rule's; the longest rule wins.  Pages that a rule
 allows give their host trust, pages that a rule blocks give it distrust.  Trust
 follows links from host to host, distrust follows them backwards, both as
-personalised PageRank.  A page without a rule is blocked where its host's
+personalised PageRank of ROUNDS rounds, whatever the size of the table: hosts up
+to that many links away are reached, and at most ``DAMPING ** (ROUNDS + 1)`` of
+the seeds' sum, under 5e-5, is left unspread.  A page without a rule is blocked where its host's
 distrust exceeds ``ratio`` times its trust, and allowed otherwise.
 
 A URL that is null or has no ``://`` has an empty host and path; no rule fits it
@@ -21,7 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from newsgrid.llm.common import materialise
 
 DAMPING = 0.85
-TOLERANCE = 1e-4      # of the seeds' sum; rounds end when less than that still moves
+ROUNDS = 60
 FOLD_ROUNDS = 10
 
 
@@ -78,17 +80,16 @@ def propagate(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     start = seeds.selectExpr("host", "stack(2, 'trust', trust, 'distrust', distrust) AS (kind, seed)")
     start = materialise(start.filter("seed > 0").withColumn("seed", F.col("seed") * (1 - DAMPING)),
                         "host-seeds")
-    total = start.agg(F.sum("seed")).first()[0] or 0.0
     rank = start.select("kind", "host", F.col("seed").alias("score"))
     step = rank                                   # what arrived in the last round
-    arrived, rounds = total, 0
-    while arrived > TOLERANCE * total:            # shrinks by DAMPING a round at least
+    for rounds in range(1, ROUNDS + 1):
         step = materialise(
             step.join(spread, ["kind", "host"])
             .groupBy("kind", F.col("next").alias("host"))
             .agg(F.sum(F.col("score") * F.col("share") * DAMPING).alias("score")), "host-step")
+        if step.isEmpty():                        # nothing moves any more
+            break
         rank = rank.unionByName(step)
-        arrived, rounds = step.agg(F.sum("score")).first()[0] or 0.0, rounds + 1
         if rounds % FOLD_ROUNDS == 0:
             rank = materialise(rank.groupBy("kind", "host").agg(F.sum("score").alias("score")),
                                "host-rank")

@@ -58,6 +58,18 @@ def test_propagation(spark):
             assert abs(got.get(h, (0, 0))[k] - score[h]) < 1e-3, (h, k)
 
 
+def test_small_chain_beside_large_seed(spark):
+    """A chain's scores don't depend on seeds that no link connects with it."""
+    edges = spark.createDataFrame([("one", "bad", 1), ("two", "one", 1), ("three", "two", 1), ("x", "y", 1)],
+                                  "src string, dst string, n long")
+    for allowed in (100.0, 1e6, 1e12):
+        seeds = spark.createDataFrame([("bad", 0.0, 3.0), ("big", allowed, 0.0)],
+                                      "host string, trust double, distrust double")
+        got = {r.host: r.distrust for r in propagate(edges, seeds).collect()}
+        want = {"bad": 0.45, "one": 0.45 * 0.85, "two": 0.45 * 0.85 ** 2, "three": 0.45 * 0.85 ** 3, "big": 0.0}
+        assert got.keys() == want.keys() and all(abs(got[h] - want[h]) < 1e-12 for h in want)
+
+
 def test_trust_and_distrust_reach_unruled_pages(spark):
     link = '<a href="http://{}/">'
     pages = [(1, "http://good.org/", link.format("friend.net")), (2, "http://friend.net/", ""),
