@@ -9,9 +9,11 @@ transfer matrices, which carry the sums from chunk to chunk, so long texts and
 short ones are computed side by side.  A text's language is the one with the
 most probability over its words, and the score is its share.
 
-The model is fitted on a bounded sample of labelled rows, at most ``per_label``
-of each of ``MOST_LABELS`` labels on average, with some runs of words from all
-over each text.  Training sequences join runs of different labels.
+The model is fitted on a bounded sample of labelled rows: every label has
+``per_label`` of them, or an equal part of SAMPLE_ROWS if there are many labels,
+but LEAST_ROWS at least, with some runs of words from all over each text.
+Training sequences join runs of different labels.  The model's size grows with
+the number of labels; no label is left out.
 
 A null text and a text without a letter are ``und`` with score 0, as is every
 text if no row is labelled.  Repeated rows get the same result.  An empty table
@@ -32,7 +34,8 @@ from newsgrid.llm.common import slices
 
 UND = "und"
 PER_LABEL = 1000
-MOST_LABELS = 64
+SAMPLE_ROWS, LEAST_ROWS = 64_000, 50
+FOLDED = 64            # with more labels, transfer matrices cost more than steps along the texts
 RUNS, RUN_WORDS, RUNS_JOINED = 4, 16, 3
 HASHED = 1 << 16
 LEXICON = 20_000
@@ -87,6 +90,31 @@ def features(words: Sequence[str], lexicon: frozenset[str]) -> tuple[np.ndarray,
     return np.concatenate(ids), np.concatenate(owners)
 
 
+def step_by_step(scores: np.ndarray, lengths: np.ndarray, step: np.ndarray):
+    """``forward_backward`` from word to word, all texts side by side."""
+    k = scores.shape[1]
+    e = np.exp(scores - scores.max(axis=1, keepdims=True))
+    order = np.argsort(-lengths, kind="stable")
+    begin, sizes = (np.cumsum(lengths) - lengths)[order], lengths[order]
+    longest = int(sizes.max(initial=0))
+    going = np.searchsorted(-sizes, -np.arange(longest), side="left")     # texts with a word there
+    forward, backward = np.empty_like(e), np.empty_like(e)
+    state = np.full((len(sizes), k), 1 / k)
+    for t in range(longest):
+        at, on = begin[:going[t]] + t, slice(going[t])
+        state[on] = (state[on] @ step) * e[at]
+        state[on] /= state[on].sum(axis=1, keepdims=True)
+        forward[at] = state[on]
+    state = np.full((len(sizes), k), 1 / k)
+    for t in reversed(range(longest)):
+        at, on = begin[:going[t]] + t, slice(going[t])
+        backward[at] = state[on]
+        state[on] = (e[at] * state[on]) @ step.T
+        state[on] /= state[on].sum(axis=1, keepdims=True)
+    marginal = forward * backward
+    return forward, backward, marginal / marginal.sum(axis=1, keepdims=True)
+
+
 def forward_backward(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray):
     """Forward and backward sums and marginals of each word; ``lengths`` are of texts end to end.
 
@@ -94,6 +122,8 @@ def forward_backward(scores: np.ndarray, lengths: np.ndarray, transitions: np.nd
     """
     n, k = scores.shape
     step = np.exp(transitions - transitions.max())
+    if k > FOLDED:
+        return step_by_step(scores, lengths, step)
     chunks = -(-lengths // CHUNK)
     m = int(chunks.sum())
     begin = np.cumsum(chunks) - chunks
@@ -187,11 +217,11 @@ def fit(runs: list[tuple[str, list[str]]], seed: int = 7) -> Model:
             inner = np.ones(len(words), bool)
             inner[np.cumsum(sizes) - sizes] = False
             later = np.flatnonzero(inner)
-            pair = (forward[later - 1][:, :, None] * np.exp(model.transitions)
-                    * (np.exp(scores[later] - scores[later].max(axis=1, keepdims=True))
-                       * backward[later])[:, None, :])
-            pair /= pair.sum(axis=(1, 2), keepdims=True)
-            gradient_t = -pair.sum(axis=0)
+            step = np.exp(model.transitions)
+            ahead = forward[later - 1]
+            behind = np.exp(scores[later] - scores[later].max(axis=1, keepdims=True)) * backward[later]
+            ahead = ahead / ((ahead @ step) * behind).sum(axis=1, keepdims=True)
+            gradient_t = -step * (ahead.T @ behind)
             np.add.at(gradient_t, (gold[later - 1], gold[later]), 1)
             power += gradient ** 2
             power_t += gradient_t ** 2
@@ -202,12 +232,11 @@ def fit(runs: list[tuple[str, list[str]]], seed: int = 7) -> Model:
 
 def sample_runs(labelled: DataFrame, key: Column, per_label: int = PER_LABEL) -> list:
     """Labelled runs of words from a bounded sample of ``labelled`` (``label``, ``text``)."""
-    counts = (labelled.groupBy("label").agg(F.count("*").alias("n"))
-              .orderBy(F.desc("n"), "label").limit(MOST_LABELS).collect())
-    if not counts:
+    counts = labelled.groupBy("label").agg(F.count("*").alias("n"))
+    n_labels = counts.count()
+    if not n_labels:
         return []
-    share = F.coalesce(*[F.when(F.col("label") == r.label, F.lit(min(1.0, per_label / r.n)))
-                         for r in counts], F.lit(0.0))
+    most = max(min(per_label, LEAST_ROWS), min(per_label, SAMPLE_ROWS // n_labels))
     draw = F.pmod(F.xxhash64(key), F.lit(1_000_000)) / 1_000_000
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +254,7 @@ def sample_runs(labelled: DataFrame, key: Column, per_label: int = PER_LABEL) ->
                 names=["label", "words"])
 
     # Distinct runs: copies of one row, drawn together, count once.
-    rows = (labelled.filter(draw < share).select("label", "text")
+    rows = (labelled.join(counts, "label").filter(draw < most / F.col("n")).select("label", "text")
             .mapInArrow(cut, "label string, words array<string>").distinct().collect())
     return sorted((r.label, list(r.words)) for r in rows)
 
@@ -259,7 +288,7 @@ class Rows(dict):
 def label_texts(rows: Rows, texts: Sequence[str]) -> list[tuple[str, float]]:
     """The language and score of every text."""
     labels = rows.model.labels
-    if len(rows) > CACHE_WORDS:
+    if len(rows) > CACHE_WORDS * FOLDED // max(FOLDED, len(labels)):
         rows.reset()
     split = [t.lower().split() for t in texts]
     lengths = np.fromiter(map(len, split), np.int64, len(split))
@@ -299,9 +328,10 @@ def identify(df: DataFrame, train_on: Column, key: str = "doc_id", text: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = Rows(model.value)
+        most = BATCH_CHARS * FOLDED // max(FOLDED, len(rows.model.labels))
         for batch in batches:
             texts = [t or "" for t in batch.column(at).to_pylist()]
-            for a, b in slices(np.fromiter(map(len, texts), np.int64, len(texts)), BATCH_CHARS):
+            for a, b in slices(np.fromiter(map(len, texts), np.int64, len(texts)), most):
                 found = label_texts(rows, texts[a:b])
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(i).slice(a, b - a) for i in range(len(keep))),

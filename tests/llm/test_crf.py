@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from newsgrid.llm.crf import fit, forward_backward, held_out, identify, label_texts, Rows
+from newsgrid.llm.crf import fit, forward_backward, held_out, identify, label_texts, Rows, step_by_step
 from newsgrid.llm.queries import QUERIES
 
 
@@ -49,6 +49,29 @@ def test_chunks_equal_one_long_scan():
         at += n
 
 
+def test_steps_equal_chunks():
+    rng = np.random.default_rng(4)
+    lengths = np.array([3, 70, 1, 33, 70])
+    scores, transitions = rng.normal(size=(177, 5)), rng.normal(size=(5, 5))
+    want = forward_backward(scores, lengths, transitions)
+    got = step_by_step(scores, lengths, np.exp(transitions - transitions.max()))
+    assert all(np.allclose(a, b) for a, b in zip(got, want))
+
+
+def test_every_label_is_learned(spark):
+    """80 labels: the rarest ones are found, too."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(80):
+        words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(12)]
+        rows += [(len(rows) + j, " ".join(rng.choice(words, 20)), f"l{i}") for j in range(24 if i < 70 else 12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = identify(df, F.lit(True), keep=("doc_id", "lang")).collect()
+    assert len(got) == len(rows)
+    assert np.mean([r.lang == r.lang_pred and r.score > 0.4 for r in got]) > 0.97
+    assert {r.lang_pred for r in got} == {f"l{i}" for i in range(80)}
+
+
 def test_code_switching():
     words = {"en": "the quick brown fox jumps over this lazy dog while they watch with other things".split(),
              "de": "der schnelle braune fuchs springt über diesen faulen hund während sie schauen mit anderen".split()}
