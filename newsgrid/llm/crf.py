@@ -12,6 +12,7 @@ most probability over its words, and the score is its share.
 The model is fitted on a bounded sample of labelled rows: every label has
 ``per_label`` of them, or an equal part of SAMPLE_ROWS if there are many labels,
 but LEAST_ROWS at least, with some runs of words from all over each text.
+Rows are drawn by a hash of key and text, so keys may be null or repeat.
 Training sequences join runs of different labels.  The model's size grows with
 the number of labels; no label is left out.
 
@@ -28,9 +29,9 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from newsgrid.llm.common import slices
+from newsgrid.llm.common import materialise, slices
 
 UND = "und"
 PER_LABEL = 1000
@@ -232,12 +233,14 @@ def fit(runs: list[tuple[str, list[str]]], seed: int = 7) -> Model:
 
 def sample_runs(labelled: DataFrame, key: Column, per_label: int = PER_LABEL) -> list:
     """Labelled runs of words from a bounded sample of ``labelled`` (``label``, ``text``)."""
-    counts = labelled.groupBy("label").agg(F.count("*").alias("n"))
-    n_labels = counts.count()
+    drawn = labelled.withColumn("draw", F.xxhash64(key, "text"))
+    draws = materialise(drawn.select("label", "draw").distinct(), "draws")
+    n_labels = draws.select("label").distinct().count()
     if not n_labels:
         return []
     most = max(min(per_label, LEAST_ROWS), min(per_label, SAMPLE_ROWS // n_labels))
-    draw = F.pmod(F.xxhash64(key), F.lit(1_000_000)) / 1_000_000
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("draw"))
+    draws = draws.withColumn("rank", rank).filter(F.col("rank") <= most).drop("rank")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,7 +257,7 @@ def sample_runs(labelled: DataFrame, key: Column, per_label: int = PER_LABEL) ->
                 names=["label", "words"])
 
     # Distinct runs: copies of one row, drawn together, count once.
-    rows = (labelled.join(counts, "label").filter(draw < most / F.col("n")).select("label", "text")
+    rows = (drawn.join(F.broadcast(draws), ["label", "draw"]).select("label", "text")
             .mapInArrow(cut, "label string, words array<string>").distinct().collect())
     return sorted((r.label, list(r.words)) for r in rows)
 

@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from newsgrid.llm.crf import fit, forward_backward, held_out, identify, label_texts, Rows, step_by_step
+from newsgrid.llm.crf import fit, forward_backward, held_out, identify, label_texts, Rows, sample_runs, step_by_step
 from newsgrid.llm.queries import QUERIES
 
 
@@ -72,6 +72,16 @@ def test_every_label_is_learned(spark):
     assert {r.lang_pred for r in got} == {f"l{i}" for i in range(80)}
 
 
+def test_sample_is_bounded_whatever_the_keys(spark):
+    names = ["w" + chr(97 + i % 26) + chr(97 + i // 26) for i in range(300)]
+    rows = [(None, f"a{w} b", "null") for w in names] + [("k", f"c{w} d", "same") for w in names] \
+        + [(w, f"e{w} f", "own") for w in names] + [(None, "g h", "copies")] * 300
+    df = spark.createDataFrame(rows, "key string, text string, label string")
+    runs = sample_runs(df, F.col("key"), 20)
+    got = {label: sum(x == label for x, _ in runs) for label, _ in runs}
+    assert got == {"null": 20, "same": 20, "own": 20, "copies": 1}
+
+
 def test_code_switching():
     words = {"en": "the quick brown fox jumps over this lazy dog while they watch with other things".split(),
              "de": "der schnelle braune fuchs springt über diesen faulen hund während sie schauen mit anderen".split()}
