@@ -30,7 +30,7 @@ from newsgrid.llm.common import materialise, release
 NEIGHBOURS = 32
 REVERSE = 32           # nearest of those that have a vertex as their neighbour
 ORDERS, PLANES, BLOCK = 4, 6, 128
-ROUNDS, STILL = 5, 0.05
+STILL = 0.01           # share of fresh edges at which the graph is done
 ENTRIES, START, LIST = 256, 4, 192
 BROADCAST_QUERIES = 50_000     # of one vector each
 
@@ -178,9 +178,13 @@ def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def descend(nodes: DataFrame) -> DataFrame:
-    """The neighbour graph: ``node``, ``other``, ``dist``, ``fresh``."""
+    """The neighbour graph: ``node``, ``other``, ``dist``, ``fresh``.
+
+    It has no cap on rounds: a fresh edge makes its vertex's list nearer, so there
+    is an end at every size.
+    """
     graph = materialise(first_graph(nodes), "graph")
-    for _ in range(ROUNDS):
+    while True:
         worst = graph.groupBy("node").agg(
             F.when(F.count("*") >= NEIGHBOURS, F.max("dist"))
             .otherwise(F.lit(float("inf"))).alias("worst"))
@@ -195,8 +199,7 @@ def descend(nodes: DataFrame) -> DataFrame:
         release(nodes.sparkSession)
         count, fresh = graph.agg(F.count("*"), F.count_if("fresh")).first()
         if fresh <= STILL * count:
-            break
-    return graph
+            return graph
 
 
 def distance(rows: DataFrame) -> DataFrame:

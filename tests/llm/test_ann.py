@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from newsgrid.llm.ann import nearest_rows
+from newsgrid.llm.ann import STILL, descend, nearest_rows
 from newsgrid.llm.queries import QUERIES
 
 TYPE = "vec_id long, embedding array<float>, label int, node long, vec string"
@@ -44,6 +44,16 @@ def test_query_recall(spark):
         assert abs(r.score - np.sqrt((gap * gap).sum())) < 1e-12
 
 
+def test_graph_ends_converged(spark):
+    """Vectors without structure: rounds go on until hardly an edge is fresh."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(6000, 48)).astype(np.float32)
+    nodes = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)],
+                                  "node long, vec array<float>")
+    edges = descend(nodes).collect()
+    assert sum(r.fresh for r in edges) <= STILL * len(edges) and STILL <= 0.01
+
+
 def test_copies_and_bad_rows(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, 8)).astype(np.float32)
