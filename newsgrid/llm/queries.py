@@ -6,12 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newsgrid.llm.ann import nearest_rows
+from newsgrid.llm.audit import audit
 from newsgrid.llm.bpe import bpe_encode
 from newsgrid.llm.common import ORACLES, QUERIES, query, read, scratch
 from newsgrid.llm.crf import held_out, identify
 from newsgrid.llm.decontaminate import find_items
 from newsgrid.llm.hostrank import judge_urls
 from newsgrid.llm.huffman import read_tokens, write_texts
+from newsgrid.llm.infill import infill, restored
 from newsgrid.llm.lines import dedup_lines
 from newsgrid.llm.shard import shard_by_bytes
 from newsgrid.llm.simhash import group_near
@@ -202,3 +204,81 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(read(spark, sf_dir, "documents")).select(
         "doc_id", (F.length("kept") + removed).alias("n_bytes"), removed.alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+         list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+f AS (
+  SELECT doc_id, part, CASE WHEN len(w) < 200 THEN 'A' ELSE '' END
+         || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t)
+                 THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+         || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS failing FROM d),
+l AS (
+  SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic
+  FROM labels GROUP BY doc_id),
+c AS (
+  SELECT part, failing, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, count(*) AS n
+  FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+x(a) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+o AS (
+  SELECT p.a || q.a || r.a || s.a || u.a AS filter_order FROM x p, x q, x r, x s, x u
+  WHERE len(list_distinct([p.a, q.a, r.a, s.a, u.a])) = 5),
+z AS (
+  SELECT filter_order, step, substr(filter_order, step, 1) AS here, substr(filter_order, 1, step - 1) AS before
+  FROM o, (SELECT unnest(range(1, 6)) AS step)),
+y AS (
+  SELECT *, contains(failing, here) AS fails, translate(before, failing, '') <> before AS gone FROM c, z),
+g AS (
+  SELECT part, filter_order, step, here,
+         sum(CASE WHEN NOT fails AND NOT gone THEN n ELSE 0 END) AS kept,
+         sum(CASE WHEN fails AND NOT gone THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN fails AND gone THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN failing = here THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN fails AND NOT gone AND good THEN n ELSE 0 END) AS good_lost,
+         sum(CASE WHEN fails AND NOT gone AND toxic THEN n ELSE 0 END) AS toxic_lost
+  FROM y GROUP BY ALL)
+SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed,
+       redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost,
+       toxic_lost::BIGINT AS toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, here))::BIGINT AS shapley
+FROM g
+"""
+
+
+@query("op11_filter_audit", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(t) AS n,
+         sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+k AS (
+  SELECT *, ('0x' || substr(h, 1, 8))::BIGINT % (n + 1) AS x, ('0x' || substr(h, 9, 8))::BIGINT % (n + 1) AS y,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+                   OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 90 THEN 'plain'
+              WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (
+  SELECT *, least(x, y) AS a, greatest(x, y) - least(x, y) AS b, substr(t, 1, a) AS prefix,
+         substr(t, a + 1, b) AS middle, substr(t, a + b + 1) AS suffix FROM k)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN b END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle
+              ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
+
+
+@query("op13_infill", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = infill(read(spark, sf_dir, "documents"))
+    return cut.select(
+        "doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"),
+        F.col("middle_units").alias("middle_chars"), F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
