@@ -15,6 +15,7 @@ from newsgrid.llm.hostrank import judge_urls
 from newsgrid.llm.huffman import read_tokens, write_texts
 from newsgrid.llm.infill import infill, restored
 from newsgrid.llm.lines import dedup_lines
+from newsgrid.llm.quality import classify, held_out as quality_held_out, learn
 from newsgrid.llm.shard import shard_by_bytes
 from newsgrid.llm.simhash import group_near
 from newsgrid.llm.substrings import dedup_substrings
@@ -282,3 +283,10 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"),
         F.col("middle_units").alias("middle_chars"), F.sha2("output", 256).alias("output_sha256"),
         F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+@query("op12_quality")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    net = learn(docs, read(spark, sf_dir, "labels"), ~quality_held_out())
+    return classify(docs, net).select("doc_id", quality_held_out().alias("held_out"), "score", "predicted")
