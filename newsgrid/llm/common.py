@@ -42,15 +42,27 @@ def scratch(spark: SparkSession, label: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """``df`` written to the shared folder and read back, and the path, for ``delete``.
 
     Cuts lineage, so a lost executor replays one stage at most, and fixes what
     later passes see.
     """
     path = scratch(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """``written`` without the path, for what is kept until the driver's JVM ends."""
+    return written(df, label)[0]
+
+
+def delete(spark: SparkSession, path: str | None) -> None:
+    """Delete a folder of this module's that nothing reads any more."""
+    if path:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def release(spark: SparkSession) -> None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from newsgrid.llm.common import materialise
+from newsgrid.llm.common import delete, written
 
 
 def _least(df: DataFrame) -> DataFrame:
@@ -31,14 +31,17 @@ def components(links: DataFrame) -> DataFrame:
     number of rounds that grows with the logarithm of the longest path.  A node's
     least neighbour is found before the shuffle; no neighbourhood is collected.
     """
-    links = materialise(links.filter("u <> v").select("u", "v").distinct(), "links")
+    spark = links.sparkSession
+    links, path = written(links.filter("u <> v").select("u", "v").distinct(), "links")
     before = None
     while True:
         state = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
             break
         before = state
-        links = materialise(_small_star(_large_star(links)), "links")
+        last = path
+        links, path = written(_small_star(_large_star(links)), "links")
+        delete(spark, last)
     roots = links.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("root"))
                              .distinct())

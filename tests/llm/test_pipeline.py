@@ -7,17 +7,8 @@ import tiktoken
 import corpus_pipeline
 from newsgrid.llm.crf import held_out, identify
 from test_decontaminate import plain as find_plain
+from test_jaccard import plain as similar_plain
 from test_lines import plain as lines_plain
-from test_simhash import plain_components, plain_print
-
-
-def near_plain(docs, words):
-    prints = {k: plain_print(t or "", words) for k, t in docs}
-    roots = plain_components(prints.values())
-    least = {}
-    for k, p in prints.items():
-        least[roots[p]] = min(k, least.get(roots[p], k))
-    return [(k, t) for k, t in docs if least[roots[prints[k]]] == k]
 
 
 def pairs(df):
@@ -38,7 +29,8 @@ def test_each_stage_and_run(spark, sf):
     want = sorted(lines_plain(want).items())
     assert now.columns == docs.columns and pairs(now) == want
     now = stages["near_copies"](spark, now, sf)
-    want = near_plain(want, 5)
+    stay = set(similar_plain(want)[0])
+    want = [(k, t) for k, t in want if k in stay]
     assert now.columns == docs.columns and pairs(now) == want
     now = stages["benchmark"](spark, now, sf)
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
