@@ -3,8 +3,9 @@
 Texts are cut into pieces by a finite automaton over codepoint classes.  A
 character's effect on the automaton is a function from states to states; most
 are constant, the others are composed by pointer doubling, so the boundaries of
-a whole batch come from array operations and no regular expression.  Every
-piece is merged once per worker and then found in a cache.
+a whole batch come from array operations and no regular expression.  A batch's
+different pieces are looked up in a worker's cache; those that are new to it are
+merged together, a pair of each a step, and all are dealt back by offsets.
 
 Null and empty texts have no tokens.  Repeated rows are encoded alike.  Only
 the columns in ``keep`` are carried; an input column named as an output is not.
@@ -44,9 +45,11 @@ TWO_LETTER_ENDINGS = ("re", "ve", "ll")
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029,
          0x202F, 0x205F, 0x3000]
 
-BATCH_CHARS = 1 << 19
-CACHE_PIECES = 150_000
+BATCH_CHARS = 1 << 20
+CACHE_PIECES = 200_000
 CACHED_LENGTH = 200
+WIDTHS = (4, 8, 12, 16, 24, 32)   # bytes of pieces that are merged side by side; longer ones alone
+NEVER = np.int32(2 ** 31 - 1)
 
 
 @lru_cache(maxsize=1)
@@ -149,7 +152,94 @@ class Codec:
         for token, rank in self.ranks.items():
             self.vocabulary[rank] = token
         self.lengths = np.fromiter(map(len, self.vocabulary), np.int64, size)
-        self.cache = Merged(self)
+        self.words = pa.array(self.vocabulary, pa.large_binary())
+        self.cache: dict[bytes, bytes] = {}
+        # Pairs of ids whose bytes in a row are a token, and that token: its id is the pair's rank.
+        pairs = [(self.ranks[t[:k]] << 32 | self.ranks[t[k:]], rank) for t, rank in self.ranks.items()
+                 for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
+        pairs.sort()
+        self.pairs = np.array([p for p, _ in pairs] + [2 ** 63 - 1], np.int64)
+        self.merged = np.array([r for _, r in pairs] + [NEVER], np.int32)
+        single = np.fromiter((self.ranks.get(bytes([b]), -1) for b in range(256)), np.int64, 256)
+        self.single = single.astype(np.int32)
+        self.first = self.rank(np.repeat(single, 256), np.tile(single, 256)).reshape(256, 256)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The id that each pair of ids merges into, or NEVER."""
+        pair = left.astype(np.int64) << 32 | right.astype(np.int64)
+        at = np.searchsorted(self.pairs, pair)
+        return np.where(self.pairs[at] == pair, self.merged[at], NEVER)
+
+    def merge_side_by_side(self, raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray,
+                           width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces of at most ``width`` bytes, one a row, and how many they are.
+
+        Each step merges the pair of lowest rank, the leftmost of equals, in every row.
+        """
+        column = np.arange(width)
+        held = column < sizes[:, None]
+        byte = np.where(held, raw[np.minimum(starts[:, None] + column, len(raw) - 1)], 0)
+        ids = np.where(held, self.single[byte], 0).astype(np.int32)
+        ranks = np.full(ids.shape, NEVER, np.int32)
+        ranks[:, :-1] = np.where(held[:, 1:], self.first[byte[:, :-1], byte[:, 1:]], NEVER)
+        sizes = sizes.copy()
+        rows, out = np.arange(len(ids)), ids.copy()
+        while len(rows):
+            at = ranks.argmin(axis=1)
+            each = np.arange(len(rows))
+            best = ranks[each, at]
+            go = best < NEVER
+            if not go.all():
+                out[rows[~go]] = ids[~go]
+                rows, ids, ranks, at, best = rows[go], ids[go], ranks[go], at[go], best[go]
+                each = np.arange(len(rows))
+                if not len(rows):
+                    break
+            sizes[rows] -= 1
+            later = column[1:] > at[:, None]
+            ids[:, :-1] = np.where(later, ids[:, 1:], ids[:, :-1])
+            ranks[:, :-1] = np.where(later, ranks[:, 1:], ranks[:, :-1])
+            ranks[:, -1] = NEVER
+            ids[each, at] = best
+            left = sizes[rows]
+            inner = at + 1 < left
+            ranks[each, at] = NEVER
+            ranks[each[inner], at[inner]] = self.rank(best[inner], ids[each[inner], at[inner] + 1])
+            inner = at > 0
+            ranks[each[inner], at[inner] - 1] = self.rank(ids[each[inner], at[inner] - 1], best[inner])
+        return out, sizes
+
+    def learn(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of new pieces, as bytes."""
+        out = {p: np.array(self.merge(p), "<i4").tobytes() for p in pieces if len(p) > WIDTHS[-1]}
+        rest = [p for p in pieces if len(p) <= WIDTHS[-1]]
+        sizes = np.fromiter(map(len, rest), np.int64, len(rest))
+        raw = np.frombuffer(b"".join(rest), np.uint8)
+        starts = np.cumsum(sizes) - sizes
+        least = 0
+        for width in WIDTHS:
+            of = np.flatnonzero((sizes > least) & (sizes <= width))
+            least = width
+            if not len(of):
+                continue
+            ids, n = self.merge_side_by_side(raw, starts[of], sizes[of], width)
+            flat = ids[np.arange(width) < n[:, None]].astype("<i4").tobytes()
+            ends = (np.cumsum(n) * 4).tolist()
+            out.update(zip([rest[i] for i in of.tolist()], [flat[a:b] for a, b in zip([0, *ends], ends)]))
+        return out
+
+    def look_up(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each of different pieces, as bytes; the cache is emptied when full."""
+        found = list(map(self.cache.get, pieces))
+        new = [i for i, ids in enumerate(found) if ids is None]
+        if new:
+            learned = self.learn([pieces[i] for i in new])
+            if len(self.cache) + len(new) > CACHE_PIECES:
+                self.cache.clear()
+            for i in new:
+                found[i] = learned[pieces[i]]
+            self.cache.update((p, ids) for p, ids in learned.items() if len(p) <= CACHED_LENGTH)
+        return found
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one piece: the pair of lowest rank, the leftmost of equals, goes first."""
@@ -201,12 +291,13 @@ class Codec:
         byte = np.zeros(len(chars) + 1, np.int64)
         np.cumsum(width, out=byte[1:])
         starts = piece_starts(chars, first)
-        cuts = byte[starts].tolist()
-        cuts.append(len(raw))
-        found = [self.cache[raw[a:b]] for a, b in zip(cuts, cuts[1:])]
-        ids = np.frombuffer(b"".join(found), "<i4")
-        per_piece = np.zeros(len(found) + 1, np.int64)
-        np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 4, out=per_piece[1:])
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [
+            None, pa.py_buffer(np.append(byte[starts], len(raw))), pa.py_buffer(raw)]).dictionary_encode()
+        found = self.look_up(pieces.dictionary.to_pylist())
+        of = pieces.indices.to_numpy()
+        flat = np.frombuffer(b"".join(found), "<i4")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        ids, per_piece = gather(flat, sizes, of)
         bounds = per_piece[np.searchsorted(starts, np.append(begin, len(chars)))]
         counts = np.diff(bounds)
         at = np.cumsum(self.lengths[ids]) - self.lengths[ids]
@@ -214,27 +305,19 @@ class Codec:
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> tuple[bytes, np.ndarray]:
         """All bytes end to end, and how many each list gives."""
-        got = self.vocabulary
         ends = np.zeros(len(ids) + 1, np.int64)
         np.cumsum(self.lengths[ids], out=ends[1:])
-        return b"".join([got[i] for i in ids.tolist()]), np.diff(
-            ends[np.append(0, np.cumsum(counts))])
-
+        raw = self.words.take(pa.array(ids)).buffers()[2].to_pybytes()[:ends[-1]] if len(ids) else b""
+        return raw, np.diff(ends[np.append(0, np.cumsum(counts))])
 
-class Merged(dict):
-    """Pieces to the bytes of their ids; emptied when full."""
 
-    def __init__(self, codec: Codec):
-        super().__init__()
-        self.codec = codec
-
-    def __missing__(self, piece: bytes) -> bytes:
-        ids = np.array(self.codec.merge(piece), "<i4").tobytes()
-        if len(piece) <= CACHED_LENGTH:
-            if len(self) >= CACHE_PIECES:
-                self.clear()
-            self[piece] = ids
-        return ids
+def gather(flat: np.ndarray, sizes: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lists number ``of`` out of lists laid end to end, again end to end, and where each begins."""
+    counts = sizes[of]
+    begin = np.zeros(len(of) + 1, np.int64)
+    np.cumsum(counts, out=begin[1:])
+    shift = (np.cumsum(sizes) - sizes)[of] - begin[:-1]
+    return flat[np.repeat(shift, counts) + np.arange(begin[-1])], begin
 
 
 def binaries(raw: bytes, counts: np.ndarray) -> pa.Array:
