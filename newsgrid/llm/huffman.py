@@ -14,6 +14,7 @@ empty file and reads back empty.
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,6 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from newsgrid.llm.bpe import binaries, gather
 from newsgrid.llm.common import lists, materialise, slices
 
 LIMIT = 18            # longest code; vocabularies have up to 2 ** LIMIT ids
@@ -33,7 +35,33 @@ CACHE_WORDS = 300_000
 CACHED_LENGTH = 100
 GROUP_WORDS = 64
 # First UTF-8 bytes of the combining marks U+0300 to U+036F.
-COMBINING_LEADS = {0xCC, 0xCD}
+COMBINING_LEADS = (b"\xcc", b"\xcd")
+
+
+# Fixed value: the pattern of the tokenizers that `Words` can take apart.
+UNITS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def check_shape(definition: str) -> None:
+    """Refuse a tokenizer whose ids aren't those of its words between spaces.
+
+    Needed are a normaliser that composes, makes white space spaces and lowers, the pattern
+    above, which drops spaces and parts letters and digits from marks, and BPE of such units.
+    """
+    found = json.loads(definition)
+    steps = [s["type"] for s in (found.get("normalizer") or {}).get("normalizers", [])]
+    cuts = (found.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    units = [c["pattern"].get("Regex") for c in cuts
+             if c["type"] == "Split" and c["behavior"] == "Removed" and c["invert"]]
+    plain = [c for c in cuts if c["type"] == "ByteLevel" and not c["use_regex"] and not c["add_prefix_space"]]
+    if (steps != ["NFC", "Replace", "Lowercase"] or units != [UNITS] or len(plain) != 1 or len(cuts) != 2
+            or found["model"]["type"] != "BPE" or not found["model"]["end_of_word_suffix"]):
+        raise ValueError("not a tokenizer of lower-cased words whose pattern drops white space")
+
+
+END = b"\xff"          # in no UTF-8 text
+# Letters below are neither marks nor composed any further.
+PLAIN_BELOW = "\u0250"
 
 
 class Words(dict):
@@ -41,51 +69,60 @@ class Words(dict):
 
     Its pattern drops white space and never joins across it, so a text's ids are
     those of its words in a row.  It also parts letters and digits from other
-    marks, so marks at a word's end are looked up alone.
+    marks, so marks at a word's end are looked up alone.  That is how this kind of
+    tokenizer works, and others are refused.
     """
 
     def __init__(self, definition: str, kind: str):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        check_shape(definition)
+        from tokenizers import normalizers, pre_tokenizers
         self.tokenizer = Tokenizer.from_str(definition)
         self.kind = kind
-
-    def split(self, text: str) -> list[bytes]:
+        # The same model for words of lower-case letters: nothing to normalise, spaces part them.
+        self.plain = Tokenizer.from_str(definition)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary, end = self.tokenizer.get_vocab(), self.tokenizer.model.end_of_word_suffix
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)     # tokens that end a word
+        self.last[[i for t, i in vocabulary.items() if t.endswith(end)]] = True
+
+    def split(self, text: str) -> bytes:
+        """A text's words and END, with a space behind each."""
         raw = text.encode()
-        if not COMBINING_LEADS & set(raw):        # else a mark could compose with a letter's other case
+        if not any(lead in raw for lead in COMBINING_LEADS):   # else a mark could compose with a letter's other case
             raw = raw.lower()
-        return raw.replace(b"\n", b" ").split(b" ")
+        return raw.replace(b"\n", b" ") + b" " + END + b" "
 
     def learn(self, pieces: list[bytes]) -> None:
         texts = [p.decode() for p in pieces]
-        plain = [i for i, t in enumerate(texts) if t.isalpha()]
-        odd = [i for i, t in enumerate(texts) if not t.isalpha()]
+        plain, odd = [], []
+        for i, t in enumerate(texts):
+            (plain if t.isalpha() and t == t.lower() and max(t) < PLAIN_BELOW else odd).append(i)
         width = np.dtype(self.kind).itemsize
-        for a in range(0, len(plain), GROUP_WORDS):
-            group = plain[a:a + GROUP_WORDS]
-            got = self.tokenizer.encode(" ".join([texts[i] for i in group]),
-                                        add_special_tokens=False)
-            of = got.word_ids
-            if not of or of[-1] != len(group) - 1:      # a word is more than one unit of the pattern
-                odd += group
-                continue
-            raw = np.array(got.ids, self.kind).tobytes()
-            ends = (np.searchsorted(of, range(len(group)), side="right") * width).tolist()
-            self.update(zip([pieces[i] for i in group],
-                            [raw[x:y] for x, y in zip([0, *ends], ends)]))
+        groups = [plain[a:a + GROUP_WORDS] for a in range(0, len(plain), GROUP_WORDS)]
+        for a in range(0, len(groups), 256):
+            many = groups[a:a + 256]
+            for group, got in zip(many, self.plain.encode_batch_fast(
+                    [" ".join([texts[i] for i in g]) for g in many], add_special_tokens=False)):
+                ids = np.array(got.ids, self.kind)
+                ends = ((np.flatnonzero(self.last[ids]) + 1) * width).tolist()
+                if len(ends) != len(group):
+                    odd += group
+                    continue
+                raw = ids.tobytes()
+                self.update(zip([pieces[i] for i in group], [raw[x:y] for x, y in zip([0, *ends], ends)]))
         for a in range(0, len(odd), 4096):
             got = self.tokenizer.encode_batch([texts[i] for i in odd[a:a + 4096]],
                                               add_special_tokens=False)
             self.update((pieces[i], np.array(e.ids, self.kind).tobytes())
                         for i, e in zip(odd[a:], got))
 
-    def encode(self, texts: list[str], end: bytes) -> tuple[list[bytes], np.ndarray]:
-        words: list[bytes] = []
-        ends = [0]
-        for t in texts:
-            words += self.split(t)
-            ends.append(len(words))
+    def look_up(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each of different words."""
         found = list(map(self.get, words))
         new = [i for i, ids in enumerate(found) if ids is None]
         if len(self) > CACHE_WORDS:               # words of this batch that were known stay
@@ -94,9 +131,10 @@ class Words(dict):
             self.clear()
             self.update(kept)
         parts, pieces = [], set()
-        for w in {words[i] for i in new}:
+        for i in new:
+            w = words[i]
             core = w.rstrip(b".,!?;:")
-            if core and core != w and core[-1:].isalnum():
+            if core != w and core[-1:].isalnum():
                 parts.append((w, core, w[len(core):]))
                 pieces.add(core)
                 pieces.add(w[len(core):])
@@ -107,8 +145,22 @@ class Words(dict):
             self[w] = self[core] + self[rest]
         for i in new:
             found[i] = self[words[i]]
-        out = [b"".join(found[a:b]) + end for a, b in zip(ends, ends[1:])]
-        return out, np.fromiter(map(len, out), np.int64, len(out)) // np.dtype(self.kind).itemsize
+        return found
+
+    def encode(self, texts: list[str], end: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, each with ``end`` behind, and how many each has."""
+        self[END] = end
+        raws = list(map(self.split, texts))
+        raw = b"".join(raws)
+        spaces = np.flatnonzero(np.frombuffer(raw, np.uint8) == 0x20) + 1
+        words = pa.Array.from_buffers(pa.large_binary(), len(spaces), [
+            None, pa.py_buffer(np.append(0, spaces)), pa.py_buffer(raw)]).dictionary_encode()
+        found = self.look_up([w[:-1] for w in words.dictionary.to_pylist()])
+        flat = np.frombuffer(b"".join(found), self.kind)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // np.dtype(self.kind).itemsize
+        ids, begin = gather(flat, sizes, words.indices.to_numpy())
+        ends = np.cumsum(np.fromiter(map(len, raws), np.int64, len(raws)))
+        return ids, np.diff(np.append(0, begin[np.searchsorted(spaces, ends) + 1]))
 
 
 @lru_cache(maxsize=2)
@@ -129,9 +181,9 @@ def tokenize(df: DataFrame, tokenizer_path: str, end_id: int, key: str = "doc_id
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in slices(np.fromiter(map(len, texts), np.int64, len(texts)), BATCH_CHARS):
-                ids, _ = words.encode(texts[a:b], end)
+                ids, counts = words.encode(texts[a:b], end)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(ids, pa.binary())],
+                    [batch.column(0).slice(a, b - a), binaries(ids.tobytes(), counts * ids.itemsize)],
                     names=schema.names)
 
     return df.select(key, text).mapInArrow(run, schema)

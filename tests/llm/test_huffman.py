@@ -1,8 +1,10 @@
+import json
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
+from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
 from newsgrid.llm.common import scratch
@@ -10,6 +12,7 @@ from newsgrid.llm.huffman import Code, Words, code_lengths, read_tokens, write_t
 from newsgrid.llm.queries import QUERIES
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
+LIBRARY = Words(open(PATH).read(), "<u4"), Tokenizer.from_file(PATH)
 
 
 @pytest.mark.parametrize("n,limit", [(1, 3), (2, 3), (5, 3), (8, 3), (300, 9), (300, 18)])
@@ -49,10 +52,28 @@ def test_words_equal_library():
              "don'<|startoftext|>'s", "日本 🙂", "Σας ΣΑΣ", "1234 5", "w" * 3000, "x y\tz",
              "J\u030c j\u030c \u01f0 \u0130I\u0307", "End. END!! a'. é. 'x.' ...a 5. x\u0301. (b). it's. \u00b2.",
              "a\u00a0b. \u2126hm \u00c5 \u1fbe \u0345. \ufb01.", "aa\u1100\u1161. \ud55c."]
-    out, _ = own.encode(texts, b"")
-    for text, raw in zip(texts, out):
-        assert np.frombuffer(raw, "<u4").tolist() == lib.encode(
-            text, add_special_tokens=False).ids, text
+    out, counts = own.encode(texts, np.array([7], "<u4").tobytes())
+    for text, ids in zip(texts, np.split(out, np.cumsum(counts))):
+        assert ids.tolist() == lib.encode(text, add_special_tokens=False).ids + [7], text
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(list("abÉéß .,!'st\n\t1İıſǅ\u0301")), st.characters(
+    codec="utf-8", max_codepoint=0x2FFF)), max_size=30), max_size=4))
+def test_any_words_equal_library(texts):
+    own, lib = LIBRARY
+    out, counts = own.encode(texts, np.array([7], "<u4").tobytes())
+    for text, ids in zip(texts, np.split(out, np.cumsum(counts))):
+        assert ids.tolist() == lib.encode(text, add_special_tokens=False).ids + [7], text
+
+
+def test_other_tokenizers_are_refused():
+    with pytest.raises(ValueError):
+        Words(open(public_tokenizers.path("byte_bpe_50k.json")).read(), "<u4")
+    changed = json.loads(open(PATH).read())
+    changed["normalizer"]["normalizers"].pop()
+    with pytest.raises(ValueError):
+        Words(json.dumps(changed), "<u4")
 
 
 def test_query(spark, sf):
