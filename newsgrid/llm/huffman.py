@@ -60,6 +60,15 @@ def check_shape(definition: str) -> None:
 
 
 END = b"\xff"          # in no UTF-8 text
+LETTER, DIGIT, MARK, SPACE = 1, 2, 3, 4
+KINDS = np.zeros(256, np.uint8)        # of bytes; others, quotes and the marks of special tokens never part words
+KINDS[list(b"abcdefghijklmnopqrstuvwxyz")] = LETTER
+KINDS[list(b"0123456789")] = DIGIT
+KINDS[list(b".,!?;:#$%&*()[]{}-_+=/\\@~^`\"")] = MARK
+KINDS[0x20] = SPACE
+CUTS = np.zeros(25, bool)              # whether the pattern parts two kinds in a row
+CUTS[[LETTER * 5 + MARK, MARK * 5 + LETTER]] = True
+CUTS[DIGIT * 5:DIGIT * 5 + 5] = True
 # Letters below are neither marks nor composed any further.
 PLAIN_BELOW = "\u0250"
 
@@ -68,9 +77,9 @@ class Words(dict):
     """Words between spaces to the bytes of their ids, by the tokenizers library.
 
     Its pattern drops white space and never joins across it, so a text's ids are
-    those of its words in a row.  It also parts letters and digits from other
-    marks, so marks at a word's end are looked up alone.  That is how this kind of
-    tokenizer works, and others are refused.
+    those of its words in a row.  It also parts letters from marks and takes digits
+    one by one, so words are cut there.  That is how this kind of tokenizer works,
+    and others are refused.
     """
 
     def __init__(self, definition: str, kind: str):
@@ -91,11 +100,11 @@ class Words(dict):
         self.last[[i for t, i in vocabulary.items() if t.endswith(end)]] = True
 
     def split(self, text: str) -> bytes:
-        """A text's words and END, with a space behind each."""
+        """A text's words and END, with a space in front of each."""
         raw = text.encode()
         if not any(lead in raw for lead in COMBINING_LEADS):   # else a mark could compose with a letter's other case
             raw = raw.lower()
-        return raw.replace(b"\n", b" ") + b" " + END + b" "
+        return b" " + raw.replace(b"\n", b" ") + b" " + END
 
     def learn(self, pieces: list[bytes]) -> None:
         texts = [p.decode() for p in pieces]
@@ -130,19 +139,7 @@ class Words(dict):
                     if ids is not None and len(w) <= CACHED_LENGTH}
             self.clear()
             self.update(kept)
-        parts, pieces = [], set()
-        for i in new:
-            w = words[i]
-            core = w.rstrip(b".,!?;:")
-            if core != w and core[-1:].isalnum():
-                parts.append((w, core, w[len(core):]))
-                pieces.add(core)
-                pieces.add(w[len(core):])
-            else:
-                pieces.add(w)
-        self.learn([p for p in pieces if p not in self])
-        for w, core, rest in parts:
-            self[w] = self[core] + self[rest]
+        self.learn(list({words[i] for i in new}))
         for i in new:
             found[i] = self[words[i]]
         return found
@@ -152,15 +149,18 @@ class Words(dict):
         self[END] = end
         raws = list(map(self.split, texts))
         raw = b"".join(raws)
-        spaces = np.flatnonzero(np.frombuffer(raw, np.uint8) == 0x20) + 1
-        words = pa.Array.from_buffers(pa.large_binary(), len(spaces), [
-            None, pa.py_buffer(np.append(0, spaces)), pa.py_buffer(raw)]).dictionary_encode()
-        found = self.look_up([w[:-1] for w in words.dictionary.to_pylist()])
+        kind = KINDS[np.frombuffer(raw, np.uint8)]
+        begins = (kind == SPACE) | (kind == DIGIT)
+        begins[1:] |= CUTS[kind[:-1] * 5 + kind[1:]]
+        starts = np.flatnonzero(begins)
+        words = pa.Array.from_buffers(pa.large_binary(), len(starts), [
+            None, pa.py_buffer(np.append(starts, len(raw))), pa.py_buffer(raw)]).dictionary_encode()
+        found = self.look_up([w.lstrip(b" ") for w in words.dictionary.to_pylist()])
         flat = np.frombuffer(b"".join(found), self.kind)
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // np.dtype(self.kind).itemsize
         ids, begin = gather(flat, sizes, words.indices.to_numpy())
         ends = np.cumsum(np.fromiter(map(len, raws), np.int64, len(raws)))
-        return ids, np.diff(np.append(0, begin[np.searchsorted(spaces, ends) + 1]))
+        return ids, np.diff(np.append(0, begin[np.searchsorted(starts, ends)]))
 
 
 @lru_cache(maxsize=2)
