@@ -9,27 +9,26 @@ from __future__ import annotations
 from newsgrid.operators.lexicon import ArticleLexicon, IncidentLexicon
 
 ARTICLES = ArticleLexicon(
-    valence={"splendid": 3.0, "flourishing": 2.5, "pleasant": 1.5, "orderly": 1.0, "uneasy": -1.5,
-             "botched": -2.0, "dreadful": -2.5, "ruinous": -3.0},
-    left=("wealth tax", "collective bargaining"),
-    right=("flat tax", "private ownership"),
-    topics={"economy": ("tariff", "payroll"), "health": ("nurse", "epidemiology"),
-            "science": ("telescope", "laboratory"), "sport": ("goalkeeper", "marathon"),
-            "weather": ("barometer", "snowfall")},
-    stop=("however", "meanwhile", "today", "thing", "things"),
+    valence={"cheerful": 2.0, "radiant": 2.5, "soothing": 1.5, "neat": 1.0, "gloomy": -1.5,
+             "shoddy": -2.0, "wretched": -2.5, "ghastly": -3.0},
+    left=("rent ceiling", "worker cooperative"),
+    right=("school vouchers", "small government"),
+    topics={"travel": ("ferry", "timetable"), "cooking": ("recipe", "saucepan"),
+            "music": ("orchestra", "violinist"), "gardening": ("compost", "greenhouse")},
+    stop=("perhaps", "although", "tomorrow", "matter", "matters"),
 )
 
 INCIDENTS = IncidentLexicon(
-    topics={"fire": ("wildfire", "embers"), "flood": ("overflow", "burst dam"),
-            "accident": ("rollover", "pile-up"), "health": ("typhoid", "rabies")},
-    verbs={"fire": ("scorched", "smouldered"), "flood": ("submerged", "swept away"),
-           "accident": ("crashed", "overturned"), "health": ("quarantined",)},
-    excluded=("fantasy league", "board game"),
-    excluded_patterns=(r"\bfictional\b",),
-    metaphors=("flood of offers", "baptism of fire"),
-    severe=("casualties", "perished"), moderate=("bruised", "dented"),
-    rescue=("perished", "casualties"), headline=("perished", "airlifted", "stranded"),
-    cues=("in pictures", "timeline of"),
+    topics={"fire": ("haystack blaze", "chimney"), "flood": ("weir", "sandbags"),
+            "accident": ("level crossing", "tailback"), "health": ("salmonella", "measles")},
+    verbs={"fire": ("singed", "kindled"), "flood": ("drenched", "waterlogged"),
+           "accident": ("skidded", "derailed"), "health": ("vomited",)},
+    excluded=("chess problem", "jigsaw puzzle"),
+    excluded_patterns=(r"\bmake-believe\b",),
+    metaphors=("torrent of praise", "fire in the belly"),
+    severe=("hospitalised", "flattened"), moderate=("scuffed", "delayed"),
+    rescue=("winched", "hospitalised"), headline=("winched", "hospitalised", "marooned"),
+    cues=("crossword", "letters page"),
 )
 
-TITLE_STOP_WORDS = ("Today", "Monday", "Sunday", "Mayor", "Council", "Report")
+TITLE_STOP_WORDS = ("Tonight", "Weekend", "Mayor", "Clerk", "Notice", "Bulletin")

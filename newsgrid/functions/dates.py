@@ -24,6 +24,7 @@ def parse_instant(text: Column, as_of) -> Column:
         instant(as_of))
 
 
+# How advisories word their dates.
 _REISSUED = (r"(?:Reissued|Updated|Issued)(?:\s+with\s+[\w\s]+)?[:\s]+"
              r"([A-Z][a-z]+\s+\d{1,2},\s*\d{4})")
 _LAST_UPDATED = r"Last updated[:\s]+(\d{1,2}\.\d{1,2}\.\d{4})"

@@ -36,8 +36,11 @@ def freshness(age: Column) -> Column:
 
 
 def source_health(articles: DataFrame, as_of, window: str = "24h", source: str = "source",
-                  ts: str = "published_at", limit: int | None = 60) -> DataFrame:
-    """Per source: total, count in window, last seen, age and status; most recent first."""
+                  ts: str = "published_at", limit: int | None = None) -> DataFrame:
+    """Per source: total, count in window, last seen, age and status; most recent first.
+
+    ``limit`` keeps the first so many sources, as on a panel of fixed size.
+    """
     inside = in_window(F.col(ts), as_of, window, inclusive=True)
     health = (articles.groupBy(F.col(source).alias("source"))
               .agg(F.count("*").alias("total"), F.count_if(inside).alias("in_window"),
@@ -92,11 +95,11 @@ def ai_backlog(incidents: DataFrame) -> DataFrame:
 
 
 def ops_dashboard(incidents: DataFrame, updates: DataFrame, as_of, hours: int = 24,
-                  shown: int | None = 100) -> DataFrame:
+                  shown: int | None = None) -> DataFrame:
     """One row: queue sizes, expiring incidents and scorer coverage.
 
     Both tables are reduced to the few flags needed and aggregated together.
-    ``shown`` is the largest expiring count the board displays.
+    ``shown`` is the largest expiring count a board displays; unset, the count is whole.
     """
     now = instant(as_of)
     published = F.col("post_status") == "publish"

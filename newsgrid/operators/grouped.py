@@ -50,7 +50,8 @@ def zero_streaks(runs: DataFrame, label: str = "label", run_at: str = "run_at",
                  bucket_seconds: int = 86400) -> DataFrame:
     """Length of the run of zero-yield rows ending at each row, and the last good yield.
 
-    Adds ``zero_runs`` (0 on a productive run) and ``last_articles``.
+    Adds ``zero_runs`` (0 on a productive run) and ``last_articles``.  Rows without a
+    time or a label are in no streak: they stay, with nulls in both columns.
     """
     order = [F.col(run_at)] + ([F.col(tie)] if tie else [])
     within = Window.partitionBy(label, "_bucket").orderBy(*order)
@@ -79,7 +80,11 @@ def zero_streaks(runs: DataFrame, label: str = "label", run_at: str = "run_at",
 
     at = F.col("_base") + F.col("_rn")
     ok_at = F.coalesce(F.col("_base") + F.col("_last_ok"), F.col("_ok_before"), F.lit(0))
-    return (rows.join(carried, [label, "_bucket"])
-            .withColumn("zero_runs", at - ok_at)
-            .withColumn("last_articles", F.coalesce("_last_seen", "_seen_before"))
-            .select(*runs.columns, "zero_runs", "last_articles"))
+    placed = (rows.join(carried, [label, "_bucket"])
+              .withColumn("zero_runs", at - ok_at)
+              .withColumn("last_articles", F.coalesce("_last_seen", "_seen_before"))
+              .select(*runs.columns, "zero_runs", "last_articles"))
+    rest = runs.filter(F.col(run_at).isNull() | F.col(label).isNull())
+    return placed.unionByName(rest.select(
+        *runs.columns, *[F.lit(None).cast(placed.schema[c].dataType).alias(c)
+                         for c in ("zero_runs", "last_articles")]))

@@ -50,10 +50,11 @@ def circuit_breaker(runs: DataFrame, as_of, threshold: int = ZERO_RUNS_BEFORE_PA
     """State of every source at ``as_of`` from its run log.
 
     A streak of ``threshold`` empty runs pauses a source; the pause ends the
-    streak, so streaks over a longer log count modulo the threshold.
+    streak, so streaks over a longer log count modulo the threshold.  Runs without a
+    time or a source tell nothing about any source.
     """
     now = instant(as_of)
-    known = runs.filter(F.col("run_at") <= now)
+    known = runs.filter((F.col("run_at") <= now) & F.col("label").isNotNull())
     streaks = zero_streaks(known, tie=tie, bucket_seconds=bucket_seconds)
     order = [F.desc("run_at")] + ([F.desc(tie)] if tie else [])
     last = keep_first(streaks, ["label"], order)

@@ -48,7 +48,7 @@ def with_views(sql: str, **views: str) -> str:
 # Articles: exact-copy texts share a URL, so de-duplication has work to do.
 ARTICLES = """
 SELECT doc_id AS article_id, concat('https://news.example/', md5(text)) AS url,
-       substring(text, 1, 80) AS title, text AS content, source, lang,
+       split_part(text, chr(10), 1) AS title, text AS content, source, lang,
        CAST(doc_id % 5 + 1 AS INTEGER) AS tier,
        CAST(doc_id % 41 - 20 AS INTEGER) AS bias_baseline,
        CASE doc_id % 3 WHEN 0 THEN 'positive' WHEN 1 THEN 'neutral' ELSE 'negative' END AS sentiment,

@@ -62,7 +62,7 @@ def _flat_health(df):
     since="2024-01-30 00:00:00", now=AS_OF,
     src="(SELECT event_type AS source, ts FROM events)"))
 def c17(spark, sf):
-    return _flat_health(counts.source_health(events_as_articles(spark, sf), AS_OF, "24h"))
+    return _flat_health(counts.source_health(events_as_articles(spark, sf), AS_OF, "24h", limit=60))
 
 
 @query("a08_source_health_from_attributes", with_views(_HEALTH.format(
@@ -74,7 +74,8 @@ def a08(spark, sf):
     from newsgrid.operators.eav import posts_with_key
     posts = view(spark, sf, POSTS).filter(F.col("post_status") == "publish")
     rows = posts_with_key(posts, view(spark, sf, META), "source")
-    return _flat_health(counts.source_health(rows, "2001-08-01 00:00:00", "7d", ts="date_gmt"))
+    return _flat_health(counts.source_health(rows, "2001-08-01 00:00:00", "7d", ts="date_gmt",
+                                             limit=60))
 
 
 @query("p29_freshness_by_source", """
@@ -297,14 +298,14 @@ SELECT (SELECT count(*) FROM i WHERE post_status = 'pending' AND needs_review) A
 
 @query("c27_ops_dashboard", with_views(_BOARD.format(cap="count(*)"), i=INCIDENTS, u=UPDATES))
 def c27(spark, sf):
-    return counts.ops_dashboard(incidents(spark, sf), updates(spark, sf), INCIDENT_AS_OF,
-                                shown=None)
+    return counts.ops_dashboard(incidents(spark, sf), updates(spark, sf), INCIDENT_AS_OF)
 
 
 @query("a13_ops_dashboard_display", with_views(_BOARD.format(cap="least(100, count(*))"),
                                                i=INCIDENTS, u=UPDATES))
 def a13(spark, sf):
-    return counts.ops_dashboard(incidents(spark, sf), updates(spark, sf), INCIDENT_AS_OF)
+    return counts.ops_dashboard(incidents(spark, sf), updates(spark, sf), INCIDENT_AS_OF,
+                                shown=100)
 
 
 @query("a14_ai_backlog", with_views("""
@@ -439,7 +440,7 @@ def f07(spark, sf):
     since="2024-01-24 00:00:00", now=AS_OF, src="(SELECT source, published_at AS ts FROM a)"),
     a=ARTICLES))
 def f08(spark, sf):
-    return _flat_health(counts.source_health(articles(spark, sf), AS_OF, "7d"))
+    return _flat_health(counts.source_health(articles(spark, sf), AS_OF, "7d", limit=60))
 
 
 @query("p14_recent_by_source_and_topic", with_views(f"""

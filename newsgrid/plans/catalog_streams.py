@@ -74,14 +74,14 @@ def r01(spark, sf):
 
 @query("r02_micro_batch_ingest", """
 SELECT 'titled' AS part, count(*) AS n FROM (
-  SELECT DISTINCT md5(text) FROM documents WHERE trim(substring(text, 1, 80)) <> '')
-UNION ALL SELECT 'rejected', count(*) FROM documents WHERE trim(substring(text, 1, 80)) = ''""")
+  SELECT DISTINCT md5(text) FROM documents WHERE trim(split_part(text, chr(10), 1)) <> '')
+UNION ALL SELECT 'rejected', count(*) FROM documents WHERE trim(split_part(text, chr(10), 1)) = ''""")
 def r02(spark, sf):
     """Copies of a text are in different batches; each is compared with what is written."""
     base = _folder(spark)
     docs = _in_parts(spark, sf, "documents").select(
         F.col("doc_id").alias("article_id"), F.md5("text").alias("url"),
-        F.substring("text", 1, 80).alias("title"))
+        F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"))
     paths = {"titled": base + "/titled", "rejected": base + "/rejected"}
 
     def build(batch, batch_id):

@@ -184,6 +184,13 @@ def test_streaks_cross_time_buckets(spark):
         got = {r["event_id"]: (r["zero_runs"], r["last_articles"]) for r in zero_streaks(
             df, tie="event_id", bucket_seconds=bucket).collect()}
         assert got == want
+    lost = spark.createDataFrame([("a", None, 900, 0), (None, NOW, 901, 3), (None, None, 902, None)], df.schema)
+    got = {r["event_id"]: (r["zero_runs"], r["last_articles"]) for r in zero_streaks(
+        df.unionByName(lost), tie="event_id").collect()}
+    assert got == {**want, **{k: (None, None) for k in (900, 901, 902)}}
+    known = registry.circuit_breaker(df, str(NOW + timedelta(days=30)), tie="event_id")
+    more = registry.circuit_breaker(df.unionByName(lost), str(NOW + timedelta(days=30)), tie="event_id")
+    assert sorted(map(str, more.collect())) == sorted(map(str, known.collect()))
 
 
 def breaker(spark, seen, as_of):

@@ -42,6 +42,21 @@ def test_reference_tables(spark):
     assert reference.country_table(c.withColumnRenamed("c", "name")).first().slug == "upper-hill"
 
 
+def test_reference_tables_feed_snapping(spark):
+    """Boxes and centres of read tables are what snapping takes."""
+    raw = spark.createDataFrame(
+        [("North", "a", "1.0", 0.5, 1.5, 10.0, 11.0, 10.5), ("North", "b", "2.0", 1.5, 2.5, 10.0, 12.0, 11.0),
+         ("South", "c", "-5.0", -6.0, -4.0, 10.0, 11.0, 10.5)],
+        "county string, sub string, lat string, min_lat double, max_lat double, min_lng double, max_lng double, lng double")
+    got = {r.slug: r for r in reference.county_table(raw, "county", "sub").collect()}
+    assert (got["north"].lat, got["north"].min_lat, got["north"].max_lat, got["north"].max_lng) == (1.5, 0.5, 2.5, 12.0)
+    countries = reference.country_table(raw.withColumnRenamed("sub", "name").drop("county")).collect()
+    assert [(r.ord, r.slug, r.min_lat, r.max_lng) for r in countries][0] == (0, "a", 0.5, 11.0)
+    same = spark.createDataFrame([("x", i) for i in range(20)], "name string, lat int")
+    once = [[(r.ord, r.lat) for r in reference.gazetteer_table(same.orderBy(F.rand(s))).collect()] for s in (1, 2)]
+    assert sorted(once[0]) == sorted(once[1])
+
+
 def test_sinks_are_read_back(spark, tmp_path):
     incidents = spark.createDataFrame([(1, "x", None)], "incident_id int, type string, ai_model string")
     patches = spark.createDataFrame([(1, "m")], "incident_id int, ai_model string")
