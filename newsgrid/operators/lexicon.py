@@ -1,17 +1,18 @@
 """Term tables and matching them against text.
 
 Small vocabularies are turned into literal expressions, so matching needs no
-shuffle.  Vocabularies beyond that size are matched by exploding words and
-hash-joining, where Spark broadcasts the terms only if their size allows it.
+shuffle.  Vocabularies beyond that size are matched by an index of anchors and a
+join, where Spark broadcasts the index only if its size allows it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from newsgrid.functions.arrays import let, strings
 from newsgrid.functions.text import (
     count_among, is_phrase, odd_word_total, substring_count, substring_total,
     word_hits, words_of,
@@ -22,6 +23,13 @@ Categories = Mapping[str, Sequence[str]]
 # Literal expressions stay reasonable up to here; larger tables take the join.
 LITERAL_LIMIT = 5000
 
+# How many characters on either side of a gap make an anchor, the longest that fits first.
+REACHES = (5, 3, 1)
+# Anchors up to this number are looked for in place.
+SIEVE = 256
+_PLAIN = r"^[\p{L}\p{N}_]+$"
+_GAP = r"[^\p{L}\p{N}_]+"
+
 
 @dataclass(frozen=True)
 class IncidentLexicon:
@@ -96,34 +104,125 @@ def count_by_category(df: DataFrame, text: str, table: Categories, prefix: str =
         for name, terms in table.items()])
 
 
+def _joints(runs: Column, gaps: Column, key: Callable[[Column, Column, Column], Column]) -> Column:
+    """``key(run before, gap, run after)`` of every gap of a text that is cut at its gaps."""
+    return F.transform(gaps, lambda g, i: key(F.get(runs, i), g, F.get(runs, i + 1)))
+
+
+def _around(reach: int) -> Callable[[Column, Column, Column], Column]:
+    return lambda a, g, b: F.concat(F.lit(f"{reach}:"), F.right(a, F.lit(reach)), g, F.left(b, F.lit(reach)))
+
+
+def _before(a: Column, g: Column, _: Column) -> Column:
+    return F.concat(F.lit("b:"), F.right(a, F.lit(3)), F.left(g, F.lit(1)))
+
+
+def _after(_: Column, g: Column, b: Column) -> Column:
+    return F.concat(F.lit("a:"), F.right(g, F.lit(1)), F.left(b, F.lit(3)))
+
+
+def _whole(run: Column) -> Column:
+    return F.concat(F.lit("w:"), run)
+
+
+def _marks(gaps: Column) -> Column:
+    """The single characters of all gaps."""
+    each = F.split(F.array_join(gaps, ""), "")
+    return F.transform(F.filter(F.array_distinct(each), lambda c: c != ""), lambda c: F.concat(F.lit("m:"), c))
+
+
+def phrase_index(lexicon: DataFrame) -> DataFrame:
+    """``anchor, category, term`` for ``category, term`` rows of phrases: one anchor a term.
+
+    Phrases here are terms with a mark in them.  An anchor is something that each text with the term has.  Inside a term a run of
+    letters between two gaps is a whole run of the text; the runs on either side of a gap
+    end and begin as the text's do; at the edges a run may be part of a longer one.
+    Of a term's anchors the one that the fewest terms share is taken, on ties the longest
+    that doesn't reach far: few kinds of anchors are sought in a text then.
+    """
+    terms = (lexicon.filter(F.col("term") != "").select("category", "term").distinct()
+             .select("category", "term", words_of(F.col("term")).alias("runs"),
+                     F.regexp_extract_all("term", F.lit(_GAP), F.lit(0)).alias("gaps")))
+    runs, gaps, last = F.col("runs"), F.col("gaps"), F.size("gaps")
+
+    def fits(i: Column, reach: int) -> Column:
+        """The gap's runs are known as far as ``reach``: inner ones wholly, outer ones if long enough."""
+        return (((i > 0) | (F.length(F.get(runs, i)) >= reach))
+                & ((i < last - 1) | (F.length(F.get(runs, i + 1)) >= reach)))
+
+    def around(reach: int) -> Column:
+        every = _joints(runs, gaps, _around(reach))
+        return F.filter(every, lambda _, i: fits(i, reach))
+
+    inner = F.transform(F.filter(runs, lambda _, i: (i > 0) & (i < last)), _whole)
+    far, near, least = map(around, REACHES)
+    both = F.concat(inner, far, F.when(F.size(near) > 0, near).otherwise(least))
+    # One run at most, open to one side: the run's end with the mark behind it, or the reverse.
+    first, end = F.get(runs, F.lit(0)), F.get(runs, last)
+    edge = (F.when(F.length(first) >= 3, F.array(_before(first, F.get(gaps, F.lit(0)), first)))
+            .when(F.length(end) >= 3, F.array(_after(end, F.get(gaps, last - 1), end)))
+            .otherwise(_marks(gaps)))
+    anchors = F.when(F.size(both) > 0, both).otherwise(edge)
+    each = terms.select("category", "term", F.explode(F.array_distinct(anchors)).alias("anchor"))
+    shared = each.groupBy("anchor").agg(F.count("*").alias("terms"))
+    order = Window.partitionBy("category", "term").orderBy(
+        "terms", F.startswith("anchor", F.lit(f"{REACHES[0]}:")), F.length("anchor").desc(), "anchor")
+    return (each.join(shared, "anchor").withColumn("_place", F.row_number().over(order))
+            .filter("_place = 1").select("anchor", "category", "term"))
+
+
+def text_anchors(text: Column, kinds: Column) -> Column:
+    """The different anchors of a text whose kind is among ``kinds``."""
+    def made(x: Column) -> Column:
+        runs, gaps = x["runs"], x["gaps"]
+        forms = {f"{reach}:": _joints(runs, gaps, _around(reach)) for reach in REACHES}
+        forms |= {"w:": F.transform(runs, _whole), "m:": _marks(gaps),
+                  "b:": _joints(runs, gaps, _before), "a:": _joints(runs, gaps, _after)}
+        parts = [F.when(F.array_contains(kinds, kind), form).otherwise(strings([]))
+                 for kind, form in forms.items()]
+        return F.array_distinct(F.concat(*parts))
+
+    gaps = F.regexp_extract_all(text, F.lit(_GAP), F.lit(0))
+    return let(F.struct(words_of(text).alias("runs"), gaps.alias("gaps")), made)
+
+
 def category_hits_join(docs: DataFrame, doc_id: str, text: str, lexicon: DataFrame) -> DataFrame:
     """``doc_id, category, hits`` for a vocabulary of words and phrases of any size.
 
-    Words are joined on the text's words.  Terms with other marks in them are
-    joined on their first such mark with a character on either side, and counted
-    where they meet.  Matching comes first: with a vocabulary small enough to
-    broadcast only matches are ever shuffled.
+    Words are joined on the text's words.  Phrases and texts meet by anchors
+    (``phrase_index``), without the text; the phrases a text may hold are gathered and
+    its text is joined to them once, where they are counted.  An anchor without its
+    phrase counts nothing.  The anchors of a vocabulary of up to ``SIEVE`` are looked for
+    in place first, so that other anchors don't become rows.
+    ``doc_id`` and ``category`` may be structs.  Rows with equal or null ``doc_id`` count together;
+    null and empty texts and terms match nothing.
     """
-    terms = lexicon.select("category", "term").distinct()
-    lowered = docs.select(doc_id, F.lower(F.col(text)).alias("_text"))
-    plain = F.rlike("term", F.lit(r"^[\p{L}\p{N}_]+$"))
-    words = (lowered.select(doc_id, F.explode(words_of(F.col("_text"))).alias("term"))
-             .join(terms.filter(plain), "term").select(doc_id, "category", F.lit(1).alias("n")))
-    # A term's first mark with its neighbours, if it has them, is found again in the text.
-    mark = r"[^\p{L}\p{N}_]"
-    shapes = [rf"(?s)(?=(.{mark}.))", rf"(?s)(?=({mark}.))", rf"(?s)(?=(.{mark}))", f"({mark})"]
-    around = F.array_distinct(F.concat(*[F.regexp_extract_all("_text", F.lit(x), F.lit(1))
-                                         for x in shapes]))
-    odd = terms.filter(~plain).withColumn(
-        "_mark", F.regexp_extract("term", rf"(?s).?{mark}.?", 0))
-    phrase = F.contains("term", F.lit(" ")) | F.contains("term", F.lit("-"))
-    bounded = F.concat(F.lit(r"(?U)\b\Q"), F.col("term"), F.lit(r"\E\b"))
-    found = F.when(phrase, substring_count(F.col("_text"), F.col("term"))).otherwise(
-        F.regexp_count("_text", bounded))
-    phrases = (lowered.select(doc_id, "_text", F.explode(around).alias("_mark"))
-               .join(odd, "_mark").filter(F.contains("_text", F.col("term")))
-               .select(doc_id, "category", found.alias("n")).filter("n > 0"))
-    return (words.unionByName(phrases).groupBy(doc_id, "category")
+    plain = F.rlike("term", F.lit(_PLAIN))
+    lowered = docs.select(F.col(doc_id).alias("_doc"), F.lower(F.col(text)).alias("_text"))
+    words = (lowered.select("_doc", F.explode(words_of(F.col("_text"))).alias("term"))
+             .join(lexicon.filter(plain).select("category", "term").distinct(), "term")
+             .select("_doc", "category", F.lit(1).cast("long").alias("n")))
+    index = phrase_index(lexicon.filter(~plain))
+    kinds = index.agg(F.collect_set(F.left("anchor", F.lit(2)))).scalar()
+    few = index.select("anchor").distinct().limit(SIEVE + 1).agg(F.collect_set("anchor")).scalar()
+    prepared = lowered.withColumn("_kinds", kinds).withColumn("_few", few)
+    sought = let(text_anchors(F.col("_text"), F.col("_kinds")), lambda found: F.when(
+        F.size("_few") <= SIEVE, F.array_intersect(found, F.col("_few"))).otherwise(found))
+    maybe = (prepared.select(F.col("_doc").alias("_of"), F.explode(sought).alias("anchor"))
+             .join(index, "anchor").groupBy("_of").agg(F.collect_set(F.struct("category", "term")).alias("_maybe")))
+
+    def found(m: Column) -> Column:
+        term = m["term"]
+        quoted = F.replace(term, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
+        bounded = F.concat(F.lit(r"(?U)\b\Q"), quoted, F.lit(r"\E\b"))
+        phrase = F.contains(term, F.lit(" ")) | F.contains(term, F.lit("-"))
+        return F.struct(m["category"].alias("category"),
+                        F.when(phrase, substring_count(F.col("_text"), term))
+                        .otherwise(F.regexp_count("_text", bounded)).cast("long").alias("n"))
+
+    phrases = (maybe.join(lowered, F.col("_of").eqNullSafe(F.col("_doc")))
+               .select("_doc", F.inline(F.transform("_maybe", found))).filter("n > 0"))
+    return (words.unionByName(phrases).groupBy(F.col("_doc").alias(doc_id), "category")
             .agg(F.sum("n").alias("hits")))
 
 
