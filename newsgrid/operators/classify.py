@@ -14,7 +14,9 @@ from newsgrid.functions.text import (
     word_hits,
     words_of,
 )
-from newsgrid.operators.lexicon import IncidentLexicon, all_words, split_terms, term_hits
+from newsgrid.operators.lexicon import (
+    IncidentLexicon, all_words, category_hits_join, split_terms, term_hits,
+)
 
 CONFIDENCE_MIN, CONFIDENCE_REVIEW = 0.30, 0.60
 
@@ -51,6 +53,14 @@ def _category_scores(title: Column, body: Column, title_hits: Column, body_hits:
         c["ord"].alias("ord"), c["type"].alias("type")))
 
 
+def _verdict(title: Column, full: Column, top: Column, lex: IncidentLexicon) -> Column:
+    """The record of the best category ``top``, null below the least confidence or if ruled out."""
+    found = let(top, lambda c: F.when(-c["neg"] >= CONFIDENCE_MIN, F.struct(
+        c["type"].alias("type"), severity_of(full, lex).alias("severity"),
+        round_half_even(-c["neg"], 2).alias("confidence"))))
+    return F.when(~hard_excluded(title, lex) & (distinct_contained(full, lex.excluded) < 2), found)
+
+
 def classify(title: Column, body: Column, lex: IncidentLexicon) -> Column:
     """``struct<type, severity, confidence>`` or null when it is not an incident."""
     words = all_words(lex.topics, lex.verbs)
@@ -67,11 +77,7 @@ def classify(title: Column, body: Column, lex: IncidentLexicon) -> Column:
 
         top = let(F.struct(blank_out(t, lex.metaphors).alias("t"),
                            blank_out(b, lex.metaphors).alias("b")), best)
-        verdict = let(top, lambda c: F.when(-c["neg"] >= CONFIDENCE_MIN, F.struct(
-            c["type"].alias("type"), severity_of(full, lex).alias("severity"),
-            round_half_even(-c["neg"], 2).alias("confidence"))))
-        return F.when(~hard_excluded(t, lex) & (distinct_contained(full, lex.excluded) < 2),
-                      verdict)
+        return _verdict(t, full, top, lex)
 
     lowered = F.struct(F.lower(blank_if_null(title)).alias("t"),
                        F.lower(blank_if_null(body)).alias("b"))
@@ -84,6 +90,53 @@ def classify_incidents(df: DataFrame, lex: IncidentLexicon, title: str = "title"
     return evaluate_once(df, incident=classify(F.col(title), F.col(body), lex))
 
 
+def _part_hits(df: DataFrame, key: str, parts: dict[int, Column], vocabulary: DataFrame) -> DataFrame:
+    """Hits of ``vocabulary`` by ``_part`` (``key`` and weight of the part) and category (with its kind)."""
+    texts = df.select(F.col(key).alias("key"), F.inline(F.array(*[
+        F.struct(F.lit(weight).alias("weight"), text.alias("text")) for weight, text in parts.items()])))
+    return category_hits_join(texts.select(F.struct("key", "weight").alias("_part"), "text"), "_part", "text",
+                              vocabulary.select(F.struct("kind", "category").alias("category"), "term"))
+
+
+def classify_incidents_join(df: DataFrame, key: str, vocabulary: DataFrame, lex: IncidentLexicon,
+                            title: str = "title", body: str = "content") -> DataFrame:
+    """``classify_incidents`` with topics and verbs of any number in a table.
+
+    ``vocabulary`` has ``kind`` (topic or verb), ``category``, ``ord`` and ``term``; of
+    equal scores the category wins whose topics come first.  ``key`` tells rows apart:
+    rows that share one are scored together.  The short lists are taken from ``lex``.
+    """
+    low = {2: F.lower(blank_if_null(F.col(title))), 1: F.lower(blank_if_null(F.col(body)))}
+    hits = _part_hits(df, key, {w: blank_out(t, lex.metaphors) for w, t in low.items()}, vocabulary)
+
+    def weight(kind: str) -> Column:
+        return F.sum(F.when(F.col("category.kind") == kind, F.col("hits") * F.col("_part.weight")).otherwise(0))
+
+    scores = (hits.groupBy(F.col("_part.key").alias("_key"), F.col("category.category").alias("type"))
+              .agg(weight("topic").alias("topic"), weight("verb").alias("verb"))
+              .filter("topic > 0 AND (verb > 0 OR topic >= 3)"))
+    orders = (vocabulary.filter("kind = 'topic'").groupBy(F.col("category").alias("type"))
+              .agg(F.min("ord").alias("ord")))
+    score = weighted_score(F.col("topic"), F.col("verb"))
+    best = (scores.join(orders, "type").groupBy("_key")
+            .agg(F.min(F.struct((-score).alias("neg"), "ord", "type")).alias("_top")))
+    full = F.concat(low[2], F.lit(" "), low[1])
+    found = df.join(best, df[key].eqNullSafe(best["_key"]), "left")
+    return evaluate_once(found, incident=let(
+        F.struct(low[2].alias("t"), full.alias("full"), F.col("_top").alias("top")),
+        lambda x: _verdict(x["t"], x["full"], x["top"], lex))).select(*df.columns, "incident")
+
+
+def _cascade(t: Column, b: Column, anywhere: Column, lex: IncidentLexicon) -> Column:
+    # A cue in the title only adds the headline words of the body: every
+    # other signal it looks for is tested by the last two rules anyway.
+    cue = contains_any(t, lex.cues) & contains_any(b, lex.headline)
+    return (F.when(hard_excluded(t, lex), contains_any(t, lex.rescue))
+            .when(contains_any(t, lex.headline), True)
+            .when(cue, True)
+            .otherwise(anywhere))
+
+
 def looks_like_incident(title: Column, body: Column, lex: IncidentLexicon) -> Column:
     """Inclusive gate: a cascade of cheap signals, the cheapest first."""
     both = [t for table in (lex.topics, lex.verbs) for terms in table.values() for t in terms]
@@ -93,19 +146,10 @@ def looks_like_incident(title: Column, body: Column, lex: IncidentLexicon) -> Co
         return (F.exists(words_of(text), lambda w: w.isin(*words)) if words else F.lit(False)) | (
             contains_any(text, phrases)) | (odd_word_total(text, words) > 0)
 
-    def cascade(t: Column, b: Column) -> Column:
-        # A cue in the title only adds the headline words of the body: every
-        # other signal it looks for is tested by the last two rules anyway.
-        cue = contains_any(t, lex.cues) & contains_any(b, lex.headline)
-        anywhere = any_term(t) | any_term(b)
-        return (F.when(hard_excluded(t, lex), contains_any(t, lex.rescue))
-                .when(contains_any(t, lex.headline), True)
-                .when(cue, True)
-                .otherwise(anywhere))
-
     lowered = F.struct(F.lower(blank_if_null(title)).alias("t"),
                        F.lower(blank_if_null(body)).alias("b"))
-    return let(lowered, lambda x: cascade(x["t"], x["b"]))
+    return let(lowered, lambda x: _cascade(
+        x["t"], x["b"], any_term(x["t"]) | any_term(x["b"]), lex))
 
 
 def gate_incidents(df: DataFrame, lex: IncidentLexicon, title: str = "title",
@@ -115,6 +159,20 @@ def gate_incidents(df: DataFrame, lex: IncidentLexicon, title: str = "title",
     return df.filter(passes) if column is None else evaluate_once(df, **{column: passes})
 
 
+def gate_incidents_join(df: DataFrame, key: str, vocabulary: DataFrame, lex: IncidentLexicon,
+                        title: str = "title", body: str = "content", column: str | None = None) -> DataFrame:
+    """``gate_incidents`` with a ``vocabulary`` as ``classify_incidents_join`` takes it."""
+    low = {2: F.lower(blank_if_null(F.col(title))), 1: F.lower(blank_if_null(F.col(body)))}
+    hit = _part_hits(df, key, low, vocabulary).select(
+        F.col("_part.key").alias("_key"), F.lit(True).alias("_hit")).distinct()
+    marked = df.join(hit, df[key].eqNullSafe(hit["_key"]), "left")
+    passes = let(F.struct(low[2].alias("t"), low[1].alias("b"), F.coalesce("_hit", F.lit(False)).alias("hit")),
+                 lambda x: _cascade(x["t"], x["b"], x["hit"], lex))
+    if column is None:
+        return marked.filter(passes).select(*df.columns)
+    return evaluate_once(marked, **{column: passes}).select(*df.columns, column)
+
+
 Scorer = Callable[[Column, Column], Column]
 """(title, body) to a column of JSON text; a ``pandas_udf`` or a native expression."""
 
@@ -166,6 +224,6 @@ def ai_payload(intel: Column, as_of: Column) -> Column:
 
 __all__ = [
     "CONFIDENCE_MIN", "CONFIDENCE_REVIEW", "Scorer", "ai_payload", "classify",
-    "classify_incidents", "gate_incidents", "hard_excluded", "keyword_assessment",
+    "classify_incidents", "classify_incidents_join", "gate_incidents", "gate_incidents_join", "hard_excluded", "keyword_assessment",
     "looks_like_incident", "score_incidents", "severity_of",
 ]

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from newsgrid.functions.arrays import let, strings
 from newsgrid.functions.text import (
@@ -165,10 +165,13 @@ def phrase_index(lexicon: DataFrame) -> DataFrame:
     anchors = F.when(F.size(both) > 0, both).otherwise(edge)
     each = terms.select("category", "term", F.explode(F.array_distinct(anchors)).alias("anchor"))
     shared = each.groupBy("anchor").agg(F.count("*").alias("terms"))
-    order = Window.partitionBy("category", "term").orderBy(
-        "terms", F.startswith("anchor", F.lit(f"{REACHES[0]}:")), F.length("anchor").desc(), "anchor")
-    return (each.join(shared, "anchor").withColumn("_place", F.row_number().over(order))
-            .filter("_place = 1").select("anchor", "category", "term"))
+    far = F.startswith("anchor", F.lit(f"{REACHES[0]}:"))
+    return (each.join(shared, "anchor").groupBy("category", "term")
+            .agg(F.min_by("anchor", F.struct("terms", far, -F.length("anchor"), "anchor")).alias("anchor"))
+            .select("anchor", "category", "term"))
+
+
+KINDS = (*(f"{reach}:" for reach in REACHES), "w:", "m:", "b:", "a:")
 
 
 def text_anchors(text: Column, kinds: Column) -> Column:
@@ -178,12 +181,12 @@ def text_anchors(text: Column, kinds: Column) -> Column:
         forms = {f"{reach}:": _joints(runs, gaps, _around(reach)) for reach in REACHES}
         forms |= {"w:": F.transform(runs, _whole), "m:": _marks(gaps),
                   "b:": _joints(runs, gaps, _before), "a:": _joints(runs, gaps, _after)}
-        parts = [F.when(F.array_contains(kinds, kind), form).otherwise(strings([]))
+        parts = [F.when(F.array_contains(x["kinds"], kind), form).otherwise(strings([]))
                  for kind, form in forms.items()]
         return F.array_distinct(F.concat(*parts))
 
     gaps = F.regexp_extract_all(text, F.lit(_GAP), F.lit(0))
-    return let(F.struct(words_of(text).alias("runs"), gaps.alias("gaps")), made)
+    return let(F.struct(words_of(text).alias("runs"), gaps.alias("gaps"), kinds.alias("kinds")), made)
 
 
 def category_hits_join(docs: DataFrame, doc_id: str, text: str, lexicon: DataFrame) -> DataFrame:
@@ -203,11 +206,12 @@ def category_hits_join(docs: DataFrame, doc_id: str, text: str, lexicon: DataFra
              .join(lexicon.filter(plain).select("category", "term").distinct(), "term")
              .select("_doc", "category", F.lit(1).cast("long").alias("n")))
     index = phrase_index(lexicon.filter(~plain))
-    kinds = index.agg(F.collect_set(F.left("anchor", F.lit(2)))).scalar()
     few = index.select("anchor").distinct().limit(SIEVE + 1).agg(F.collect_set("anchor")).scalar()
-    prepared = lowered.withColumn("_kinds", kinds).withColumn("_few", few)
-    sought = let(text_anchors(F.col("_text"), F.col("_kinds")), lambda found: F.when(
-        F.size("_few") <= SIEVE, F.array_intersect(found, F.col("_few"))).otherwise(found))
+    prepared = lowered.withColumn("_few", few)
+    small = F.size("_few") <= SIEVE
+    kinds = F.when(small, F.transform("_few", lambda x: F.left(x, F.lit(2)))).otherwise(strings(KINDS))
+    sought = let(text_anchors(F.col("_text"), kinds), lambda found: F.when(
+        small, F.array_intersect(found, F.col("_few"))).otherwise(found))
     maybe = (prepared.select(F.col("_doc").alias("_of"), F.explode(sought).alias("anchor"))
              .join(index, "anchor").groupBy("_of").agg(F.collect_set(F.struct("category", "term")).alias("_maybe")))
 

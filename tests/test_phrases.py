@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from newsgrid.operators import lexicon as lx
+from newsgrid.operators import classify as cl, lexicon as lx
 
 
 def both(spark, docs, table):
@@ -66,3 +66,31 @@ def test_empty_tables_repeated_and_null_keys(spark):
     assert got == {(1, "a"): 6, (1, "b"): 3, (None, "a"): 2, (None, "b"): 1}
     assert lx.category_hits_join(docs, "doc_id", "text", lexicon.limit(0)).count() == 0
     assert lx.category_hits_join(docs.limit(0), "doc_id", "text", lexicon).count() == 0
+
+
+def test_classifier_and_gate_with_a_table(spark):
+    lex = lx.IncidentLexicon(
+        topics={"fire": ["blaze", "smoke", "wild fire"], "flood": ["water", "burst bank", "smoke"]},
+        verbs={"fire": ["burned", "set-a"], "flood": ["drowned"], "none": ["hurt"]}, excluded=["league", "concert"],
+        excluded_patterns=[r"\bhails\b"], metaphors=["blaze of glory"], severe=["dead"], moderate=["hurt", "lost"],
+        rescue=["dead"], headline=["stampede"], cues=["explained"])
+    rng = random.Random(7)
+    said = ["Blaze", "smoke", "wild fires", "water", "burst banks", "burned", "set-ablaze", "drowned", "hurt", "lost", "dead",
+            "league", "concert", "hails", "blaze of glory", "stampede", "explained", "x", "y", "z", "the", "of"]
+    rows = [(i, " ".join(rng.choices(said, k=rng.randint(0, 4))), " ".join(rng.choices(said, k=rng.randint(0, 7))), i % 3)
+            for i in range(300)] + [(300, None, "blaze smoke water"), (301, "Water drowned", None), (None, "", "")]
+    df = spark.createDataFrame([r if len(r) == 4 else (*r, 0) for r in rows],
+                               "id int, title string, content string, term int")
+    words = [(kind, c, i, t) for kind, table in (("topic", lex.topics), ("verb", lex.verbs))
+             for i, (c, ts) in enumerate(table.items()) for t in ts]
+    vocabulary = spark.createDataFrame(words, "kind string, category string, ord int, term string")
+    got = cl.classify_incidents_join(df, "id", vocabulary, lex)
+    want = cl.classify_incidents(df, lex)
+    assert got.columns == want.columns
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert 20 < got.filter("incident IS NOT NULL").count() < 280
+    got, want = cl.gate_incidents_join(df, "id", vocabulary, lex), cl.gate_incidents(df, lex)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert 20 < got.count() < 290
+    empty = cl.classify_incidents_join(df, "id", vocabulary.limit(0), lex)
+    assert empty.count() == df.count() and empty.filter("incident IS NOT NULL").count() == 0
