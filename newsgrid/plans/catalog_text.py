@@ -481,6 +481,21 @@ def c07(spark, sf):
     return out.filter(F.col("incident").isNotNull()).select("article_id", "incident.*")
 
 
+_VOCABULARY = [(kind, cat, i, w) for kind, table in (("topic", IW.topics), ("verb", IW.verbs))
+               for i, (cat, terms) in enumerate(table.items()) for w in terms]
+
+
+def vocabulary(spark):
+    return small_table(spark, _VOCABULARY, "kind, category, ord, term")
+
+
+@query("c07_classify_by_vocabulary_table", with_views(_class_sql(), a=ARTICLES))
+def c07_table(spark, sf):
+    rows = articles(spark, sf).select("article_id", "title", "content")
+    out = cl.classify_incidents_join(rows, "article_id", vocabulary(spark), IW)
+    return out.filter(F.col("incident").isNotNull()).select("article_id", "incident.*")
+
+
 def _gate_sql(title: str = "t", body: str = "b", tt: str = "tt", bt: str = "bt") -> str:
     topics = [w for t in IW.topics.values() for w in t]
     verbs = [w for t in IW.verbs.values() for w in t]
@@ -503,6 +518,12 @@ def c08(spark, sf):
     return cl.gate_incidents(articles(spark, sf), IW).select("article_id")
 
 
+@query("c08_gate_by_vocabulary_table", with_views(f"""
+SELECT article_id FROM {_GATE_SRC} WHERE {_gate_sql()}""", a=ARTICLES))
+def c08_table(spark, sf):
+    return cl.gate_incidents_join(articles(spark, sf), "article_id", vocabulary(spark), IW).select("article_id")
+
+
 @query("p20_hard_exclusion", with_views(f"""
 SELECT article_id FROM a WHERE {_hard('lower(title)')}""", a=ARTICLES))
 def p20(spark, sf):
