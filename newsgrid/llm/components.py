@@ -12,9 +12,10 @@ def _least(df: DataFrame) -> DataFrame:
 
 
 def _large_star(links: DataFrame) -> DataFrame:
+    """At most as many rows as ``links``; some may be repeated."""
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     return (both.join(_least(both), "u").filter("v > u")
-            .select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct())
+            .select(F.col("v").alias("u"), F.least("u", "m").alias("v")))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
