@@ -27,7 +27,7 @@ LITERAL_LIMIT = 5000
 REACHES = (5, 3, 1)
 # Anchors up to this number are looked for in place.
 SIEVE = 256
-_PLAIN = r"^[\p{L}\p{N}_]+$"
+PLAIN = r"^[\p{L}\p{N}_]+$"
 _GAP = r"[^\p{L}\p{N}_]+"
 
 
@@ -189,40 +189,52 @@ def text_anchors(text: Column, kinds: Column) -> Column:
     return let(F.struct(words_of(text).alias("runs"), gaps.alias("gaps"), kinds.alias("kinds")), made)
 
 
+def phrases_maybe(texts: DataFrame, phrases: DataFrame) -> DataFrame:
+    """``_of`` and ``_maybe``, the phrases (``category``, ``term``) that each text may hold.
+
+    ``texts`` has ``_doc`` and lower-cased ``_text``.  The anchors of a vocabulary of up to
+    ``SIEVE`` are looked for in place first, so that other anchors don't become rows.
+    """
+    index = phrase_index(phrases)
+    few = index.select("anchor").distinct().limit(SIEVE + 1).agg(F.collect_set("anchor")).scalar()
+    prepared = texts.withColumn("_few", few)
+    small = F.size("_few") <= SIEVE
+    kinds = F.when(small, F.transform("_few", lambda x: F.left(x, F.lit(2)))).otherwise(strings(KINDS))
+    sought = let(text_anchors(F.col("_text"), kinds), lambda found: F.when(
+        small, F.array_intersect(found, F.col("_few"))).otherwise(found))
+    return (prepared.select(F.col("_doc").alias("_of"), F.explode(sought).alias("anchor"))
+            .join(index, "anchor").groupBy("_of").agg(F.collect_set(F.struct("category", "term")).alias("_maybe")))
+
+
+def bounded(term: Column) -> Column:
+    """A pattern for ``term`` between word boundaries."""
+    quoted = F.replace(term, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
+    return F.concat(F.lit(r"(?U)\b\Q"), quoted, F.lit(r"\E\b"))
+
+
 def category_hits_join(docs: DataFrame, doc_id: str, text: str, lexicon: DataFrame) -> DataFrame:
     """``doc_id, category, hits`` for a vocabulary of words and phrases of any size.
 
     Words are joined on the text's words.  Phrases and texts meet by anchors
     (``phrase_index``), without the text; the phrases a text may hold are gathered and
     its text is joined to them once, where they are counted.  An anchor without its
-    phrase counts nothing.  The anchors of a vocabulary of up to ``SIEVE`` are looked for
-    in place first, so that other anchors don't become rows.
+    phrase counts nothing.
     ``doc_id`` and ``category`` may be structs.  Rows with equal or null ``doc_id`` count together;
     null and empty texts and terms match nothing.
     """
-    plain = F.rlike("term", F.lit(_PLAIN))
+    plain = F.rlike("term", F.lit(PLAIN))
     lowered = docs.select(F.col(doc_id).alias("_doc"), F.lower(F.col(text)).alias("_text"))
     words = (lowered.select("_doc", F.explode(words_of(F.col("_text"))).alias("term"))
              .join(lexicon.filter(plain).select("category", "term").distinct(), "term")
              .select("_doc", "category", F.lit(1).cast("long").alias("n")))
-    index = phrase_index(lexicon.filter(~plain))
-    few = index.select("anchor").distinct().limit(SIEVE + 1).agg(F.collect_set("anchor")).scalar()
-    prepared = lowered.withColumn("_few", few)
-    small = F.size("_few") <= SIEVE
-    kinds = F.when(small, F.transform("_few", lambda x: F.left(x, F.lit(2)))).otherwise(strings(KINDS))
-    sought = let(text_anchors(F.col("_text"), kinds), lambda found: F.when(
-        small, F.array_intersect(found, F.col("_few"))).otherwise(found))
-    maybe = (prepared.select(F.col("_doc").alias("_of"), F.explode(sought).alias("anchor"))
-             .join(index, "anchor").groupBy("_of").agg(F.collect_set(F.struct("category", "term")).alias("_maybe")))
+    maybe = phrases_maybe(lowered, lexicon.filter(~plain))
 
     def found(m: Column) -> Column:
         term = m["term"]
-        quoted = F.replace(term, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
-        bounded = F.concat(F.lit(r"(?U)\b\Q"), quoted, F.lit(r"\E\b"))
         phrase = F.contains(term, F.lit(" ")) | F.contains(term, F.lit("-"))
         return F.struct(m["category"].alias("category"),
                         F.when(phrase, substring_count(F.col("_text"), term))
-                        .otherwise(F.regexp_count("_text", bounded)).cast("long").alias("n"))
+                        .otherwise(F.regexp_count("_text", bounded(term))).cast("long").alias("n"))
 
     phrases = (maybe.join(lowered, F.col("_of").eqNullSafe(F.col("_doc")))
                .select("_doc", F.inline(F.transform("_maybe", found))).filter("n > 0"))

@@ -8,12 +8,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from newsgrid.functions.arrays import distinct_ignoring_case, let, strings
+from newsgrid.functions.arrays import distinct_ignoring_case, let
 from newsgrid.functions.numbers import inside, squared_degrees
 from newsgrid.functions.text import (
-    blank_if_null, place_hint_variants, title_place_candidates,
+    blank_if_null, place_hint_variants, title_place_candidates, words_of,
 )
 from newsgrid.operators.grouped import latest_per_key
+from newsgrid.operators.lexicon import PLAIN, bounded, phrases_maybe
 
 PLACE = "struct<name:string,lat:double,lng:double,specificity:int>"
 
@@ -79,29 +80,24 @@ def gazetteer_match_join(docs: DataFrame, doc_id: str, text: str,
                          gazetteer: DataFrame) -> DataFrame:
     """``doc_id, name, lat, lng, specificity`` for a gazetteer of any size.
 
-    Word runs as long as the longest name, with what stands between the words,
-    are hash-joined on the lower-cased name.
+    Names of one word are joined on the text's words.  Longer ones meet the texts by one
+    anchor each (``lexicon.phrase_index``), so that what a text sends doesn't depend on the
+    longest name, and are looked for in the text, which is joined to them once.
+    ``doc_id`` may be a struct.  Null and empty texts and names match nothing.
     """
-    word = r"[\p{L}\p{N}_]+"
-    max_words = gazetteer.agg(F.max(F.regexp_count("name", F.lit(word)))).first()[0] or 1
-
-    def runs(pieces: Column) -> Column:
-        # Words and separators alternate, so n words span 2n - 1 pieces.
-        return F.flatten(F.transform(pieces, lambda p, i: F.when(
-            F.rlike(p, F.lit("^" + word)), F.transform(
-                F.sequence(F.lit(1), F.lit(max_words)),
-                lambda n: F.array_join(F.slice(pieces, i + 1, n * 2 - 1), "")))
-            .otherwise(strings([]))))
-
-    pieces = F.regexp_extract_all(F.lower(F.col(text)), F.lit(
-        word + r"|[^\p{L}\p{N}_]+"), F.lit(0))
-    keys = docs.select(doc_id, F.explode(F.array_distinct(let(pieces, runs))).alias("_key"))
-    places = gazetteer.withColumn("_key", F.lower("name"))
-    return (keys.join(places, "_key")
-            .groupBy(doc_id)
-            .agg(F.min_by(F.struct("name", "lat", "lng", "specificity"),
-                          F.struct(-F.col("specificity"), F.col("ord"))).alias("_p"))
-            .select(doc_id, "_p.*"))
+    lowered = docs.select(F.col(doc_id).alias("_doc"), F.lower(F.col(text)).alias("_text"))
+    names = gazetteer.select(F.lower("name").alias("term"), F.struct(
+        (-F.col("specificity")).alias("first"), "ord", "name", "lat", "lng", "specificity").alias("category"))
+    plain = F.rlike("term", F.lit(PLAIN))
+    words = (lowered.select("_doc", F.explode(F.array_distinct(words_of(F.col("_text")))).alias("term"))
+             .join(names.filter(plain), "term").select("_doc", F.col("category").alias("_p")))
+    maybe = phrases_maybe(lowered, names.filter(~plain))
+    there = F.filter("_maybe", lambda m: F.rlike("_text", bounded(m["term"])))
+    longer = (maybe.join(lowered, F.col("_of").eqNullSafe(F.col("_doc")))
+              .select("_doc", F.explode(there).alias("_m")).select("_doc", F.col("_m.category").alias("_p")))
+    # The struct's order is the order of preference.
+    return (words.unionByName(longer).groupBy(F.col("_doc").alias(doc_id)).agg(F.min("_p").alias("_p"))
+            .select(doc_id, "_p.name", "_p.lat", "_p.lng", "_p.specificity"))
 
 
 # -- candidate lookup --------------------------------------------------------
@@ -138,14 +134,33 @@ def _vague(place: Column, home: Home) -> Column:
     return place.isNull() | (place["name"] == home.name)
 
 
-def match_place(text: Column, hint: Column, gazetteer: Sequence,
-                home: Home = DEFAULT_HOME) -> Column:
-    """Best listed place of a text; a hint helps out when the text only gives the country."""
-    def with_hint(found: Column) -> Column:
-        hinted = F.when(F.trim(blank_if_null(hint)) != "", gazetteer_match(hint, gazetteer))
-        return F.when(_vague(found, home), F.coalesce(hinted, found)).otherwise(found)
+def _with_hint(text: Column, hint: Column, named: Column, hinted: Column, home: Home) -> Column:
+    """The place for what a text and a hint name; a hint helps out when the text only gives the country."""
+    found = F.when(F.trim(blank_if_null(text)) != "", F.coalesce(named, home_place(home)))
+    told = F.when(F.trim(blank_if_null(hint)) != "", hinted)
+    return let(found, lambda f: F.when(_vague(f, home), F.coalesce(told, f)).otherwise(f))
 
-    return let(best_location(text, gazetteer, home), with_hint)
+
+def match_place(df: DataFrame, row_id: str, text: Column, hint: Column, gazetteer: Sequence | DataFrame,
+                home: Home = DEFAULT_HOME, loc: str = "_loc") -> DataFrame:
+    """Add ``loc``: the best listed place of a text, or of the hint if the text only gives the country.
+
+    A gazetteer that is a table is joined, with texts and hints in one pass; ``row_id`` is
+    then not null and unique.
+    """
+    if not isinstance(gazetteer, DataFrame):
+        return df.withColumn(loc, _with_hint(text, hint, gazetteer_match(text, gazetteer),
+                                             gazetteer_match(hint, gazetteer), home))
+    said = df.select(F.col(row_id).alias("_row"), F.inline(F.array(
+        F.struct(F.lit("text").alias("_part"), text.alias("_said")),
+        F.struct(F.lit("hint").alias("_part"), hint.alias("_said")))))
+    hits = gazetteer_match_join(said.select(F.struct("_row", "_part").alias("_key"), "_said"), "_key", "_said", gazetteer)
+    place = place_struct(F.col("name"), F.col("lat"), F.col("lng"), F.col("specificity"))
+    both = hits.groupBy(F.col("_key._row").alias(row_id)).agg(
+        *[F.max(F.when(F.col("_key._part") == p, place)).alias(f"_{p}_place") for p in ("text", "hint")])
+    return (df.join(both, row_id, "left")
+            .withColumn(loc, _with_hint(text, hint, F.col("_text_place"), F.col("_hint_place"), home))
+            .drop("_text_place", "_hint_place"))
 
 
 def look_up_place(df: DataFrame, row_id: str, loc: str, hint: Column, title: Column,
@@ -171,14 +186,15 @@ def look_up_place(df: DataFrame, row_id: str, loc: str, hint: Column, title: Col
 
 
 def resolve_location(df: DataFrame, row_id: str, text: Column, hint: Column, title: Column,
-                     gazetteer: Sequence, places: DataFrame | None,
+                     gazetteer: Sequence | DataFrame, places: DataFrame | None,
                      stop_words: Sequence[str] = (), home: Home = DEFAULT_HOME) -> DataFrame:
     """Add ``place`` and ``location_fallback``.
 
     Precedence: a listed place in the text, a listed place in the hint, the first
-    candidate the place table knows, the country centre.
+    candidate the place table knows, the country centre.  The gazetteer is a short list
+    or a table of any size.
     """
-    matched = df.withColumn("_loc", match_place(text, hint, gazetteer, home))
+    matched = match_place(df, row_id, text, hint, gazetteer, home)
     return look_up_place(matched, row_id, "_loc", hint, title, places, stop_words, home)
 
 

@@ -43,10 +43,14 @@ def confidence_band(confidence: Column) -> Column:
 # -- queues -------------------------------------------------------------------
 
 def newest_page(df: DataFrame, limit: int, offset: int = 0, date: str = "created_at",
-                row_id: str = "incident_id") -> DataFrame:
-    """Newest first; limit within 1..200, offset not negative."""
+                row_id: str = "incident_id", total: str | None = None) -> DataFrame:
+    """Newest first; limit within 1..200, offset not negative.
+
+    ``total`` names a column for the number of rows on all pages.
+    """
     limit, offset = max(1, min(200, int(limit))), max(0, int(offset))
-    return df.orderBy(F.desc(date), F.desc(row_id)).offset(offset).limit(limit)
+    page = df.orderBy(F.desc(date), F.desc(row_id)).offset(offset).limit(limit)
+    return page.withColumn(total, df.agg(F.count("*")).scalar()) if total else page
 
 
 def pending_review(df: DataFrame) -> DataFrame:

@@ -390,11 +390,11 @@ def f01(spark, sf):
 
 
 @query("f02_newest_page", with_views("""
-SELECT incident_id, epoch_us(created_at) AS created_us, title FROM i
+SELECT incident_id, epoch_us(created_at) AS created_us, title, (SELECT count(*) FROM i) AS total FROM i
 ORDER BY created_at DESC, incident_id DESC LIMIT 200 OFFSET 150""", i=INCIDENTS))
 def f02(spark, sf):
-    p = moderation.newest_page(incidents(spark, sf), 500, 150)  # 500 is clamped to 200
-    return p.select("incident_id", F.unix_micros("created_at").alias("created_us"), "title")
+    p = moderation.newest_page(incidents(spark, sf), 500, 150, total="total")  # 500 is clamped to 200
+    return p.select("incident_id", F.unix_micros("created_at").alias("created_us"), "title", "total")
 
 
 @query("f03_newest_in_window", with_views("""

@@ -45,13 +45,16 @@ def j08(spark, sf):
     return m.filter(F.col("m").isNotNull()).select("article_id", "m.*")
 
 
+def _gazetteer(spark):
+    return small_table(spark, [(x["ord"], x["name"], x["lat"], x["lng"], x["specificity"])
+                               for x in GAZETTEER], "ord, name, lat, lng, specificity")
+
+
 @query("w05_best_location_by_join", with_views(_match_sql("title || ' ' || content"), a=ARTICLES))
 def w05(spark, sf):
-    g = small_table(spark, [(x["ord"], x["name"], x["lat"], x["lng"], x["specificity"])
-                            for x in GAZETTEER], "ord, name, lat, lng, specificity")
     a = heavy_articles(spark, sf).select(
         "article_id", F.concat("title", F.lit(" "), "content").alias("text"))
-    return locate.gazetteer_match_join(a, "article_id", "text", g)
+    return locate.gazetteer_match_join(a, "article_id", "text", _gazetteer(spark))
 
 
 _CAND = f"""
@@ -69,30 +72,50 @@ def j09(spark, sf):
     return locate.lookup_candidates(a, "article_id", "c", places(spark))
 
 
+# Hints with a listed place, a known place behind an opener or a marker, an unknown one, or nothing.
+_PLACE_HINT = """CASE article_id % 8 WHEN 1 THEN '' WHEN 2 THEN 'Eriner' WHEN 3 THEN 'near Tion'
+  WHEN 4 THEN 'outer rim' WHEN 5 THEN 'junction of retion' WHEN 6 THEN 'by the Nicht' WHEN 7 THEN ' Thon ' END"""
+_EXCERPT = "CASE WHEN article_id % 11 = 0 THEN 'Seen from Para' ELSE concat('From ', source) END"
+_HINTED = f"SELECT *, {_PLACE_HINT} AS hint, {_EXCERPT} AS excerpt FROM ({ARTICLES})"
+
 _RESOLVED = f"""
-SELECT a.article_id, coalesce(CASE WHEN m.name IS NULL THEN f.name END, m.name, 'Kenya') AS name,
-       round(coalesce(CASE WHEN m.name IS NULL THEN f.lat END, m.lat, 0.0236), 4) AS lat,
-       coalesce(CASE WHEN m.name IS NULL AND f.name IS NOT NULL THEN 1 END, m.specificity, 0)
+SELECT a.article_id, coalesce(m.name, hm.name, hp.name, f.name, 'Kenya') AS name,
+       round(coalesce(m.lat, hm.lat, hp.lat, f.lat, 0.0236), 4) AS lat,
+       coalesce(m.specificity, hm.specificity, CASE WHEN coalesce(hp.name, f.name) IS NOT NULL THEN 1 END, 0)
          AS specificity,
-       m.name IS NULL AND f.name IS NOT NULL AS location_fallback
-FROM a LEFT JOIN ({_match_sql("title || ' ' || content")}) m
+       coalesce(m.name, hm.name) IS NULL AND coalesce(hp.name, f.name) IS NOT NULL AS location_fallback
+FROM a LEFT JOIN ({_match_sql("title || ' ' || excerpt || ' ' || content")}) m
   ON a.article_id = m.article_id
+LEFT JOIN ({_match_sql("coalesce(hint, '')")}) hm ON a.article_id = hm.article_id
+LEFT JOIN (SELECT article_id, trim(hint) AS name, p.lat FROM a
+           JOIN ({values_sql(PLACES)}) AS p(name, lat, lng)
+             ON p.name = regexp_replace(lower(trim(a.hint)), '^near |^junction of ', '')) hp
+  ON a.article_id = hp.article_id
 LEFT JOIN (SELECT article_id, word AS name, p.lat FROM ({_CAND}) c
            JOIN ({values_sql(PLACES)}) AS p(name, lat, lng) ON lower(c.word) = p.name
            QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY pos) = 1) f
   ON a.article_id = f.article_id"""
 
 
-@query("c13_resolve_location", with_views(_RESOLVED, a=ARTICLES))
-def c13(spark, sf):
-    a = heavy_articles(spark, sf)
-    text = F.concat("title", F.lit(" "), "content")
-    out = locate.resolve_location(a, "article_id", text, F.lit(None).cast("string"),
-                                  F.col("title"), GAZETTEER, places(spark), TITLE_STOPS)
+def _resolved(spark, sf, gazetteer):
+    a = heavy_articles(spark, sf).withColumns({"hint": F.expr(_PLACE_HINT), "excerpt": F.expr(_EXCERPT)})
+    text = F.concat_ws(" ", "title", "excerpt", "content")
+    out = locate.resolve_location(a, "article_id", text, F.col("hint"), F.col("title"), gazetteer,
+                                  places(spark), TITLE_STOPS)
     return out.select("article_id", "place.name", F.round("place.lat", 4).alias("lat"),
                       "place.specificity", "location_fallback")
 
 
+@query("c13_resolve_location", with_views(_RESOLVED, a=_HINTED))
+def c13(spark, sf):
+    return _resolved(spark, sf, GAZETTEER)
+
+
+@query("c13_resolve_location_by_table", with_views(_RESOLVED, a=_HINTED))
+def c13_table(spark, sf):
+    return _resolved(spark, sf, _gazetteer(spark))
+
+
 @query("j10_points_in_county_boxes", with_views("""
 SELECT i.incident_id, c.slug AS county_slug FROM i JOIN c
   ON i.latitude BETWEEN c.min_lat AND c.max_lat AND i.longitude BETWEEN c.min_lng AND c.max_lng""",
@@ -512,11 +535,12 @@ def s17(spark, sf):
 
 
 @query("c23_needs_ai_page", with_views("""
-SELECT incident_id, severity, type, post_status FROM i WHERE coalesce(ai_model, '') = ''
+SELECT incident_id, severity, type, post_status, count(*) OVER () AS total FROM i
+WHERE coalesce(ai_model, '') = ''
 ORDER BY created_at DESC, incident_id DESC LIMIT 100 OFFSET 200""", i=INCIDENTS))
 def c23(spark, sf):
-    return moderation.needs_ai(incidents(spark, sf), 100, 200).select(
-        "incident_id", "severity", "type", "post_status")
+    return moderation.needs_ai(incidents(spark, sf), 100, 200, total="total").select(
+        "incident_id", "severity", "type", "post_status", "total")
 
 
 @query("c23_queue_reanalysis", with_views("""

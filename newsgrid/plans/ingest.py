@@ -62,7 +62,7 @@ def assess(fresh: DataFrame, articles: ArticleLexicon, incidents: IncidentLexico
             .drop("_t", "_b", "_body"))
 
 
-def incident_payload(assessed: DataFrame, gazetteer: Sequence, places: DataFrame | None,
+def incident_payload(assessed: DataFrame, gazetteer: Sequence | DataFrame, places: DataFrame | None,
                      as_of, row_id: str = "article_id", stop_words: Sequence[str] = (),
                      home: Home = DEFAULT_HOME,
                      keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
@@ -76,9 +76,8 @@ def incident_payload(assessed: DataFrame, gazetteer: Sequence, places: DataFrame
     text = F.concat(blank_if_null(F.col("title")), F.lit(" "), excerpt, F.lit(" "),
                     blank_if_null(F.col("content")))
     hint = F.col("intel.location_hint")
-    matched = keep(found.select(
-        row_id, "title", "url", "source", "published_at", "intel",
-        match_place(text, hint, gazetteer, home).alias("_loc")))
+    matched = keep(match_place(found, row_id, text, hint, gazetteer, home).select(
+        row_id, "title", "url", "source", "published_at", "intel", "_loc"))
     located = look_up_place(matched, row_id, "_loc", hint, F.col("title"), places, stop_words, home)
     i, p = F.col("intel"), F.col("place")
     reason = review_reason(i["confidence"], F.col("location_fallback"), p["specificity"],
@@ -101,7 +100,7 @@ def incident_payload(assessed: DataFrame, gazetteer: Sequence, places: DataFrame
 
 def run_ingest(batch: DataFrame, article_store: DataFrame, incident_store: DataFrame,
                seen: DataFrame, articles: ArticleLexicon, incidents: IncidentLexicon,
-               gazetteer: Sequence, places: DataFrame | None, as_of, order: Sequence[Column],
+               gazetteer: Sequence | DataFrame, places: DataFrame | None, as_of, order: Sequence[Column],
                row_id: str = "article_id", scorer: Scorer | None = None,
                score_all: bool = False, stop_words: Sequence[str] = (),
                home: Home = DEFAULT_HOME,

@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,9 +122,7 @@ def test_gazetteer_join_agrees_with_literal_form(spark):
     docs = spark.createDataFrame(
         [(1, "in OLD WEST SIDE today"), (2, "old west, side"), (3, "none"), (4, "a side")],
         "id int, text string")
-    gaz = spark.createDataFrame([(g["ord"], g["name"], g["lat"], g["lng"], g["specificity"])
-                                 for g in GAZ],
-                                "ord int, name string, lat double, lng double, specificity int")
+    gaz = gazetteer_frame(spark, GAZ)
     joined = {r["id"]: r["name"] for r in locate.gazetteer_match_join(
         docs, "id", "text", gaz).collect()}
     literal = {r["id"]: r["m"]["name"] for r in docs.select(
@@ -129,7 +130,40 @@ def test_gazetteer_join_agrees_with_literal_form(spark):
     assert joined == literal
 
 
-def test_location_precedence(spark):
+def gazetteer_frame(spark, rows):
+    return spark.createDataFrame([(g["ord"], g["name"], g["lat"], g["lng"], g["specificity"]) for g in rows],
+                                 "ord int, name string, lat double, lng double, specificity int")
+
+
+def test_gazetteer_of_many_names(spark):
+    """20,000 names, one of 60 words, some with marks: the same as plain search, and no job while planning."""
+    rng = random.Random(4)
+    parts = [f"{a}{b}" for a in ("ka", "mo", "ri", "tu", "ne") for b in ("bari", "sola", "wen", "dito", "x")]
+    names = [rng.choice(" -'").join(rng.choice(parts) for _ in range(rng.randrange(1, 4))).title() for _ in range(20000)]
+    names += [" ".join(rng.choice(parts) for _ in range(60)), "St. Ka", "Ka (Old)", "", "É tu"]
+    gaz = [{"ord": i, "name": n, "lat": float(i), "lng": 0.0, "specificity": rng.randrange(4)} for i, n in enumerate(names)]
+    texts = [rng.choice(" ,-.").join(rng.choice(parts) for _ in range(rng.randrange(1, 30))) for _ in range(60)]
+    texts += ["x " + names[20000].upper() + ".", "at st. ka", "ka (old)x", "", None, "no é tu", "ka (old)"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    table = gazetteer_frame(spark, gaz)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("planning", "")
+    planned = locate.gazetteer_match_join(df, "id", "text", table)
+    assert not list(tracker.getJobIdsForGroup("planning"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    got = {r["id"]: r["lat"] for r in planned.collect()}
+    want = {}
+    for i, t in enumerate(texts):
+        low = (t or "").lower()
+        found = [g for g in gaz if g["name"] and g["name"].lower() in low
+                 and re.search(r"\b" + re.escape(g["name"].lower()) + r"\b", low)]
+        if found:
+            want[i] = min(found, key=lambda g: (-g["specificity"], g["ord"]))["lat"]
+    assert got == want and len(want) > 40
+
+
+@pytest.mark.parametrize("as_table", [False, True])
+def test_location_precedence(spark, as_table):
     rows = [(1, "in side", "Old West", "T"), (2, "plain", "near Old West", "T"),
             (3, "plain", "at the mill pond", "T"), (4, "plain", None, "Mill Pond quiet"),
             (5, "plain", None, "nothing"), (6, "", None, "nothing")]
@@ -137,7 +171,7 @@ def test_location_precedence(spark):
     places = spark.createDataFrame([("mill pond", 9.0, 8.0)], "name string, lat double, lng double")
     out = {r["id"]: (r["place"]["name"], r["place"]["specificity"], r["location_fallback"])
            for r in locate.resolve_location(df, "id", F.col("text"), F.col("hint"), F.col("title"),
-                                            GAZ, places).collect()}
+                                            gazetteer_frame(spark, GAZ) if as_table else GAZ, places).collect()}
     assert out == {1: ("Side", 2, False), 2: ("Old West", 2, False),
                    3: ("at the mill pond", 1, True), 4: ("Mill Pond", 1, True),
                    5: ("Kenya", 0, False), 6: ("Kenya", 0, True)}
