@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from newsgrid.operators import dedupe
+from newsgrid.operators.registry import active_sources
 from newsgrid.plans.bindings import table, with_views
 from newsgrid.plans.catalog_counts import _ISLANDS
 from newsgrid.plans.catalog_incidents import REQUESTS, _greedy
@@ -170,14 +171,23 @@ def r08(spark, sf):
 
 
 @query("r10_cadence_selection", """
-SELECT doc_id, source FROM documents WHERE source IN (
-  SELECT source FROM documents GROUP BY source HAVING min(doc_id) % 2 = 0)""")
+SELECT doc_id, d.source, CASE WHEN first % 2 = 0 THEN 'fast' ELSE 'slow' END AS cadence
+FROM documents d JOIN (SELECT source, min(doc_id) AS first FROM documents GROUP BY source) s ON d.source = s.source
+WHERE first % 5 <> 4""")
 def r10(spark, sf):
-    """One query per cadence: the stream restricted to the sources of that cadence."""
-    fast = (table(spark, sf, "documents").groupBy("source").agg(F.min("doc_id").alias("m"))
-            .filter("m % 2 = 0").select("source"))
-    docs = _stream(spark, sf, "documents").select("doc_id", "source")
-    return _run(spark, docs.join(fast, "source")).select("doc_id", "source")
+    """One query per cadence: the stream restricted to the registry's enabled sources of that cadence."""
+    docs = table(spark, sf, "documents")
+    first = F.col("ord")
+    listed = docs.groupBy(F.col("source").alias("id")).agg(F.min("doc_id").alias("ord")).select(
+        "id", "ord", (first % 5 != 4).alias("enabled"),
+        F.when(first % 2 == 0, "fast").otherwise("slow").alias("cadence"))
+
+    def run(cadence: str) -> DataFrame:
+        named = active_sources(listed, cadence).select(F.col("id").alias("source"), "cadence")
+        rows = _stream(spark, sf, "documents").select("doc_id", "source").join(named, "source")
+        return _run(spark, rows).select("doc_id", "source", "cadence")
+
+    return run("fast").unionByName(run("slow"))
 
 
 @query("r11_run_metrics", """
