@@ -6,8 +6,11 @@ time order; the batch itself is bounded by the source's per-trigger limit.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -113,7 +116,53 @@ def age_stream(updates: DataFrame, incident_id: str = "incident_id", ts: str = "
         "incident_id long, stage string, at_ms long", "append", "EventTime")
 
 
+HELD_ROWS = 1 << 16
+NO_TIE = -1 << 63
+
+
+def _ending(ms: np.ndarray, tie: np.ndarray, seen: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Positions of the rows from each label's last row with something seen on, in time order."""
+    order = np.lexsort((seen, tie, ms, label))
+    sorted_label = label[order]
+    starts = np.flatnonzero(np.append(True, sorted_label[1:] != sorted_label[:-1]))
+    at = np.arange(len(order))
+    last = np.maximum.reduceat(np.where(seen[order] > 0, at, -1), starts)
+    return order[at >= np.repeat(last, np.diff(np.append(starts, len(order))))]
+
+
+def ending_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``label``, ``ms``, ``tie``, ``seen`` without rows that a later one of the label overrides.
+
+    A row with something seen ends all that was before it.  A task holds about
+    HELD_ROWS rows at a time.
+    """
+    def cut(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        label = rows.column(0).dictionary_encode("encode").indices.to_numpy()
+        return rows.take(pa.array(_ending(*(rows.column(i).to_numpy() for i in (1, 2, 3)), label)))
+
+    held, size = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.num_rows
+        if size >= HELD_ROWS:
+            rest = cut(held)
+            held, size = [rest], rest.num_rows
+            if 2 * size >= HELD_ROWS:
+                yield rest
+                held, size = [], 0
+    if held:
+        yield cut(held)
+
+
 class _Breaker(StatefulProcessor):
+    """A row with something seen sets a streak to zero; the others behind it are only counted.
+
+    Of a batch the last such row and the times of what may be behind it are held, 16 bytes a row.
+    """
+
     def __init__(self, threshold: int, pause_ms: int) -> None:
         self.threshold, self.pause_ms = threshold, pause_ms
 
@@ -122,13 +171,28 @@ class _Breaker(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         streak, last = self.state.get() if self.state.exists() else (0, None)
-        until = None
-        for r in sorted(rows, key=lambda r: (r.ms, r.tie)):
+        top, zeros, room = None, (array("q"), array("q")), HELD_ROWS
+
+        def behind() -> tuple[np.ndarray, np.ndarray]:
+            ms, tie = (np.frombuffer(x, np.int64) for x in zeros)
+            keep = slice(None) if top is None else (ms > top[0]) | ((ms == top[0]) & (tie > top[1]))
+            return ms[keep], tie[keep]
+
+        for r in rows:
             if r.seen > 0:
-                streak, last, until = 0, r.seen, None
-            else:
-                streak = streak % self.threshold + 1
-                until = r.ms + self.pause_ms if streak == self.threshold else None
+                top = max(top, (r.ms, r.tie, r.seen)) if top else (r.ms, r.tie, r.seen)
+            elif top is None or (r.ms, r.tie) > top[:2]:
+                zeros[0].append(r.ms)
+                zeros[1].append(r.tie)
+                if len(zeros[0]) >= room:
+                    zeros = tuple(array("q", x.tobytes()) for x in behind())
+                    room = max(HELD_ROWS, 2 * len(zeros[0]))
+        ms, _ = behind()
+        if top:
+            streak, last = 0, top[2]
+        if len(ms):
+            streak = (streak + len(ms) - 1) % self.threshold + 1
+        until = int(ms.max()) + self.pause_ms if len(ms) and streak == self.threshold else None
         self.state.update((streak, last))
         yield Row(label=key[0], zero_runs=streak, last_articles=last, disabled_until_ms=until)
 
@@ -139,12 +203,16 @@ class _Breaker(StatefulProcessor):
 def breaker_stream(runs: DataFrame, label: str = "label", run_at: str = "run_at",
                    seen: str = "articles_seen", tie: str = "event_id", threshold: int = 5,
                    pause_hours: int = 168) -> DataFrame:
-    """Breaker state per source after every micro-batch."""
+    """Breaker state per source after every micro-batch.
+
+    Rows of a batch that a later one overrides are left out before the shuffle.  Of
+    runs at one time with one ``tie``, or none, those with articles are the last.
+    """
     slim = runs.select(F.col(label).alias("label"), F.unix_millis(run_at).alias("ms"),
-                       F.col(tie).cast("long").alias("tie"),
+                       F.coalesce(F.col(tie).cast("long"), F.lit(NO_TIE)).alias("tie"),
                        F.coalesce(F.col(seen), F.lit(0)).cast("long").alias("seen")
                        ).filter("ms IS NOT NULL")
-    return slim.groupBy("label").transformWithState(
+    return slim.mapInArrow(ending_rows, slim.schema).groupBy("label").transformWithState(
         _Breaker(threshold, pause_hours * 3_600_000),
         "label string, zero_runs long, last_articles long, disabled_until_ms long", "update",
         "None")

@@ -1,10 +1,13 @@
 """Streams against stored tables, late rows, reference tables."""
 
+import random
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from newsgrid.functions import arrays
 from newsgrid.sources import reference, sinks
-from newsgrid.streaming import flows
+from newsgrid.streaming import flows, stateful
 
 
 def batches(spark, folder, *parts, schema="url string, ts timestamp, n int"):
@@ -76,3 +79,71 @@ def test_array_helpers(one):
     stored = F.create_map(F.lit("k"), F.lit("v"))
     assert one(arrays.merge_defaults(stored, {"k": "d", "l": "e"})) == {"k": "v", "l": "e"}
     assert one(arrays.merge_defaults(F.lit(None).cast("map<string,string>"), {"k": "d"})) == {"k": "d"}
+
+
+class _Run:
+    """A row of a stream that counts how many of its kind are held."""
+    held = most = 0
+
+    def __init__(self, ms, tie, seen):
+        self.ms, self.tie, self.seen = ms, tie, seen
+        _Run.held += 1
+        _Run.most = max(_Run.most, _Run.held)
+
+    def __del__(self):
+        _Run.held -= 1
+
+
+class _State:
+    value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+def by_hand(rows, streak, last, threshold, pause):
+    until = None
+    for ms, _, seen in sorted(rows):
+        if seen > 0:
+            streak, last, until = 0, seen, None
+        else:
+            streak = streak % threshold + 1
+            until = ms + pause if streak == threshold else None
+    return streak, last, until
+
+
+def test_breaker_holds_no_rows(monkeypatch):
+    """A source's rows of a batch are read one by one, in any order, and not kept."""
+    rng = random.Random(4)
+    monkeypatch.setattr(stateful, "HELD_ROWS", 16)
+    breaker = stateful._Breaker(5, 100)
+    breaker.state, streak, last = _State(), 0, None
+    for share in (0.0, 0.02, 0.5, 0.0, 0.01, 1.0, 0.0):
+        rows = [(rng.randrange(300), i, rng.randrange(1, 9) if rng.random() < share else 0) for i in range(500)]
+        _Run.most = _Run.held
+        (got,) = breaker.handleInputRows(("a",), (_Run(*r) for r in rows), None)
+        assert _Run.most <= _Run.held + 2
+        streak, last, until = by_hand(rows, streak, last, 5, 100)
+        assert (got.zero_runs, got.last_articles, got.disabled_until_ms) == (streak, last, until)
+
+
+def test_overridden_rows_are_left_out(monkeypatch):
+    """Before the shuffle only what is behind a label's last row with articles is left, per label, nulls included."""
+    rng = random.Random(6)
+    monkeypatch.setattr(stateful, "HELD_ROWS", 64)
+    rows = [(rng.choice(["a", "b", None]), rng.randrange(10 ** 6), i, int(rng.random() < 0.3)) for i in range(5000)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
+        zip(*rows[i:i + 70]), (pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["label", "ms", "tie", "seen"])
+        for i in range(0, 5000, 70)]
+    got = [tuple(r.values()) for b in stateful.ending_rows(iter(batches)) for r in b.to_pylist()]
+    assert len(got) < 200 and set(got) <= set(rows)
+    for label in ("a", "b", None):
+        want, left = ([r[1:] for r in x if r[0] == label] for x in (rows, got))
+        assert by_hand(left, 3, None, 5, 7) == by_hand(want, 3, None, 5, 7)
+    assert list(stateful.ending_rows(iter(batches[:0]))) == []
