@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from newsgrid.functions import arrays
+from newsgrid.plans import catalog_streams
 from newsgrid.sources import reference, sinks
 from newsgrid.streaming import flows, stateful
 
@@ -147,3 +148,22 @@ def test_overridden_rows_are_left_out(monkeypatch):
         want, left = ([r[1:] for r in x if r[0] == label] for x in (rows, got))
         assert by_hand(left, 3, None, 5, 7) == by_hand(want, 3, None, 5, 7)
     assert list(stateful.ending_rows(iter(batches[:0]))) == []
+
+
+def test_parts_follow_the_size_of_the_table(spark, sf, tmp_path, monkeypatch):
+    """A table of many splits is dealt out to as many tasks for each of the three batches."""
+    monkeypatch.setattr(catalog_streams, "_folder", lambda spark: str(tmp_path))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    try:
+        splits = spark.read.parquet(f"{sf}/lineitem.parquet").rdd.getNumPartitions()
+        stream = catalog_streams._in_parts(spark, sf, "lineitem").select(F.col("l_orderkey").alias("incident_id"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert splits > 3 and len(list(tmp_path.glob("in/*.parquet"))) == 3 * splits
+    flows.append_counts(stream, flows.running_counts, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    assert len(list(tmp_path.glob("out/batch_id=*"))) == 3
+    got = flows.total_counts(spark, f"{tmp_path}/out", flows.running_counts(stream).schema)
+    want = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("incident_id")).agg(
+        F.count("*").alias("n"))
+    assert got.exceptAll(want).count() == 0 and got.count() == want.count()
