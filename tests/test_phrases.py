@@ -38,6 +38,23 @@ def test_random_terms(spark):
     assert joined == literal and len(joined) > 300
 
 
+def test_few_phrases_move_no_text(spark, monkeypatch):
+    """Few phrases are counted where the text is read, with the same result as by anchors and a join."""
+    terms = [("a", "oil spill"), ("a", "spill"), ("b", "o'clock"), ("b", "l s"), ("c", " ")]
+    lexicon = spark.createDataFrame(terms, "category string, term string")
+    texts = ["Oil spill oil spills", "five O'Clock o'clocks", "", None, "oil  spill", "fuel spill" * 3]
+    docs = spark.createDataFrame([(i % 4, t) for i, t in enumerate(texts)], "doc_id int, text string")
+    found = []
+    for direct in (lx.DIRECT, 0):
+        monkeypatch.setattr(lx, "DIRECT", direct)
+        hits = lx.category_hits_join(docs, "doc_id", "text", lexicon)
+        got = sorted(tuple(r) for r in hits.collect())
+        final = hits._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        found.append((got, final.count("Join [")))
+    assert found[0][0] == found[1][0] and len(found[0][0]) >= 4
+    assert found[0][1] == 1 < found[1][1]
+
+
 def test_a_large_vocabulary(spark):
     rng = random.Random(5)
     words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(3000)]
