@@ -1,9 +1,12 @@
-"""Near copies by exact Jaccard similarity of word shingles: the pipeline's near-copy stage.
+"""Near copies by exact Jaccard similarity of word shingles.
+
+The pipeline's near-copy stage links texts by operator 1 (``simhash.group_near``)
+first; what is here adds the similar texts that fingerprints don't tell.
 
 Two texts are linked if the similarity of their sets of ``words``-word shingles is
 ``similarity`` or more; documents of a group are those reachable over links.
-This isn't SimHash: at similarity 0.8 two 64-bit fingerprints differ in 9 to 10
-bits, where fingerprints of unrelated texts can't be told apart cheaply.
+At similarity 0.8 two 64-bit fingerprints differ in 9 to 10 bits, where
+fingerprints of unrelated texts can't be told apart cheaply.
 
 Candidates come from prefix filters, which lose no pair.  Under any fixed order
 of all shingles, two sets that are similar enough share one among the first
@@ -30,7 +33,7 @@ empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -330,11 +333,23 @@ def candidate_pairs(left: DataFrame, tried: int, now: int, similarity: float) ->
                     F.when(ahead, F.col("root")).otherwise(F.col("of")).alias("root")).distinct())
 
 
-def connect(index: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """``node`` and ``root`` of every content in ``index``, over all similar pairs."""
+def linked_already(found: DataFrame) -> DataFrame:
+    """``node`` and ``root`` of contents in groups of several, from ``content`` and ``component_id``."""
+    moved = found.filter("content <> component_id").select(F.col("content").alias("node"),
+                                                           F.col("component_id").alias("root"))
+    return moved.unionByName(moved.select(F.col("root").alias("node"), "root").distinct())
+
+
+def connect(index: DataFrame, sets: DataFrame, similarity: float, known: DataFrame | None = None) -> DataFrame:
+    """``node`` and ``root`` of every content in ``index`` and ``known``, over all similar pairs.
+
+    ``known`` has the ``node`` and ``root`` of contents that other links connect.
+    """
     spark = index.sparkSession
-    groups, path = written(index.select(F.col("content").alias("node"), F.col("content").alias("root")).distinct(),
-                           "similar-groups")
+    start = index.select(F.col("content").alias("node"), F.col("content").alias("root")).distinct()
+    if known is not None:
+        start = start.join(known.hint("merge"), "node", "left_anti").unionByName(known)
+    groups, path = written(start, "similar-groups")
     tried, now = 0, 1
     while True:
         left, left_path = written(unconnected(index, groups, tried), "similar-left")
@@ -355,9 +370,12 @@ def connect(index: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def drop_similar(docs: DataFrame, words: int, similarity: float = SIMILARITY, key: str = "doc_id",
-                 text: str = "text") -> DataFrame:
+                 text: str = "text", linked: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``docs`` with the document of least key of each group only.
 
+    ``linked`` takes the different texts (``content``, ``text``) and gives their groups
+    (``content``, ``component_id``, the least content) by other links; a group here is
+    what both kinds of links connect.
     Rows that share a key stay or go together; rows with a null key stay.
     """
     spark = docs.sparkSession
@@ -365,6 +383,8 @@ def drop_similar(docs: DataFrame, words: int, similarity: float = SIMILARITY, ke
     texts, texts_path = written(docs.select(content.alias("content"), docs[text].alias("text")).groupBy("content")
                                 .agg(F.any_value("text").alias("text")), "texts")
     release(spark)
+    known, known_path = written(linked_already(linked(texts)), "linked") if linked else (None, None)
+    release(spark)
     near = materialise(not_alone(texts, words, similarity), "not-alone")
     release(spark)
     sets, sets_path = written(shingle_lists(texts.join(near.hint("merge"), "content", "left_semi"), words), "sets")
@@ -372,7 +392,7 @@ def drop_similar(docs: DataFrame, words: int, similarity: float = SIMILARITY, ke
     release(spark)
     index = materialise(rarity_index(sets, similarity), "index")
     release(spark)
-    groups = connect(index, sets, similarity)
+    groups = connect(index, sets, similarity, known)
     rows = docs.select(docs[key].alias("key"), content.alias("content"))
     rows = rows.join(groups.hint("merge"), F.col("content") == F.col("node"), "left").select(
         "key", F.coalesce("root", "content").alias("root"))
@@ -380,7 +400,7 @@ def drop_similar(docs: DataFrame, words: int, similarity: float = SIMILARITY, ke
     least = rows.groupBy("root").agg(F.min("key").alias("least"))
     gone = rows.join(least.hint("merge"), "root").filter("key <> least").select("key").distinct()
     gone = materialise(gone.withColumnRenamed("key", "gone"), "near-copies")
-    delete(spark, rows_path)
-    delete(spark, sets_path)
+    for old in (rows_path, sets_path, known_path):
+        delete(spark, old)
     # The merge join keeps one plan at every size.
     return docs.join(gone.hint("merge"), docs[key] == F.col("gone"), "left_anti").select(docs.columns)

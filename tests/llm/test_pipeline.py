@@ -6,6 +6,7 @@ import tiktoken
 
 import corpus_pipeline
 from newsgrid.llm.crf import held_out, identify
+from newsgrid.llm.simhash import group_near
 from test_decontaminate import plain as find_plain
 from test_jaccard import plain as similar_plain
 from test_lines import plain as lines_plain
@@ -65,3 +66,21 @@ def test_edges(spark, sf):
                 assert got.columns == df.columns
             n = got.count()
             assert n == 0 if df is not docs else 0 < n <= docs.count()
+
+
+def test_near_copies_by_fingerprint(spark):
+    """Operator 1 links texts of one fingerprint whose shingle sets differ; similar texts of both join the group."""
+    line = "one two three four five " * 200
+    tails = [" ".join(f"{k}{i}" for i in range(60)) for k in "abc"]
+    other = " ".join(f"w{i}" for i in range(200))
+    rows = [(1, line + tails[0]), (2, line + tails[1]), (3, line + tails[1] + " more"), (4, tails[2][:90]),
+            (5, other), (6, other + " end"), (None, line + tails[2]), (7, None), (8, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = {r.doc_id: r.component_id for r in group_near(docs.filter("doc_id <= 3")).collect()}
+    assert groups[2] == 1 and not jaccard_links(rows[0][1], rows[1][1])
+    got = corpus_pipeline.near_copies(spark, docs, None)
+    assert sorted(str(r.doc_id) for r in got.collect()) == ["1", "4", "5", "7", "None"]
+
+
+def jaccard_links(a, b):
+    return len(similar_plain([(0, a), (1, b)])[0]) == 1
