@@ -6,7 +6,11 @@ side, and is improved by joins: the neighbours of each vector, in both
 directions, meet, and pairs that are nearer than what either of them has become
 its neighbours, until few change.  A search starts at the query's own vector, if
 it is in the index, and at the nearest of a fixed number of entry vectors, and
-expands the best candidates of its list until all of them are expanded.
+expands the best candidates of its list until all of them are expanded.  Lists
+are short, as most of what is near is the query's neighbour in the graph already;
+a query looks at about as many vertices as its list has links.  The recall of
+some of the queries is measured against all vectors, and lists are doubled until
+it is at least RECALL or they hold every vertex.
 
 Equal vectors are one vertex; the least ids of each, as many as a search
 returns, are its members.  Vectors that are null, zero, or have a null or
@@ -25,13 +29,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from newsgrid.llm.common import materialise, release
+from newsgrid.llm.common import delete, materialise, release, written
 
-NEIGHBOURS = 32
-REVERSE = 32           # nearest of those that have a vertex as their neighbour
+NEIGHBOURS = 64
+REVERSE = 32           # of those that have a vertex as their neighbour, in order of a hash
 ORDERS, PLANES, BLOCK = 4, 6, 128
 STILL = 0.01           # share of fresh edges at which the graph is done
-ENTRIES, START, LIST = 256, 4, 192
+ENTRIES, START, LIST = 256, 4, 24
+RECALL, MEASURED = 0.95, 200   # queries whose recall is measured
 BROADCAST_QUERIES = 50_000     # of one vector each
 
 
@@ -125,8 +130,11 @@ def nearest(edges: DataFrame) -> DataFrame:
 
 
 def both_ways(graph: DataFrame) -> DataFrame:
-    """``mid``, ``other``, ``fresh``: neighbours, and the nearest REVERSE of which it is one."""
-    back = Window.partitionBy("other").orderBy("dist", "node")
+    """``mid``, ``other``, ``fresh``: neighbours, and REVERSE of those of which it is one.
+
+    The nearest of those are mostly its own neighbours, hence any of them.
+    """
+    back = Window.partitionBy("other").orderBy(F.xxhash64("node", "other"), "node")
     reverse = (graph.withColumn("rank", F.row_number().over(back))
                .filter(F.col("rank") <= REVERSE)
                .select(F.col("other").alias("mid"), F.col("node").alias("other"), "fresh"))
@@ -183,7 +191,7 @@ def descend(nodes: DataFrame) -> DataFrame:
     It has no cap on rounds: a fresh edge makes its vertex's list nearer, so there
     is an end at every size.
     """
-    graph = materialise(first_graph(nodes), "graph")
+    graph, path = written(first_graph(nodes), "graph")
     while True:
         worst = graph.groupBy("node").agg(
             F.when(F.count("*") >= NEIGHBOURS, F.max("dist"))
@@ -193,9 +201,11 @@ def descend(nodes: DataFrame) -> DataFrame:
                 .join(vectors, "other").select("mid", "other", "fresh", "worst", "vec")
                 .repartition("mid").sortWithinPartitions("mid"))
         found = rows.mapInArrow(meet, "node long, other long, dist double")
-        graph = materialise(nearest(
+        last = path
+        graph, path = written(nearest(
             graph.select("node", "other", "dist", F.lit(False).alias("fresh"))
             .unionByName(found.withColumn("fresh", F.lit(True)))), "graph")
+        delete(nodes.sparkSession, last)
         release(nodes.sparkSession)
         count, fresh = graph.agg(F.count("*"), F.count_if("fresh")).first()
         if fresh <= STILL * count:
@@ -216,9 +226,44 @@ def distance(rows: DataFrame) -> DataFrame:
         run, "query long, node long, dist double")
 
 
-def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame) -> DataFrame:
-    """``query``, ``node``, ``dist``: each query's list when all of it is expanded."""
-    links = materialise(both_ways(graph).select(F.col("mid").alias("node"), "other"), "graph-links")
+def reaches(nodes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """``query``, ``reach``, ``most`` of MEASURED queries, against every vertex.
+
+    ``most``, ``k`` or fewer, other vertices are at most ``reach`` away.
+    """
+    sample = queries.orderBy(F.xxhash64("query"), "query").limit(MEASURED).collect()
+    asked = np.array([r.query for r in sample])
+    vec = np.array([r.qvec for r in sample], dtype=np.float64)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows or not len(asked):
+                continue
+            x, n = matrix(batch.column(0)), min(k + 1, batch.num_rows)
+            d = (x ** 2).sum(axis=1) - 2 * vec @ x.T
+            near = np.argpartition(d, n - 1, axis=1)[:, :n]
+            dist = np.sqrt(((x[near] - vec[:, None]) ** 2).sum(axis=2)).ravel()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(asked, n)[dist > 0]), pa.array(dist[dist > 0])],
+                names=["query", "dist"])
+
+    best = Window.partitionBy("query").orderBy("dist")
+    return (nodes.select("vec").mapInArrow(scan, "query long, dist double")
+            .withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+            .groupBy("query").agg(F.max("dist").alias("reach"), F.count("*").alias("most")))
+
+
+def recall(found: DataFrame, reach: DataFrame) -> float:
+    """The share of what is within ``reach`` that was found; ties count as found."""
+    hits = (reach.join(found, "query", "left").groupBy("query")
+            .agg(F.count_if((F.col("dist") > 0) & (F.col("dist") <= F.col("reach"))).alias("hits"),
+                 F.first("most").alias("most")))
+    share = hits.agg(F.avg(F.least("hits", "most") / F.col("most"))).first()[0]
+    return 1.0 if share is None else share
+
+
+def search(nodes: DataFrame, links: DataFrame, queries: DataFrame, size: int) -> DataFrame:
+    """``query``, ``node``, ``dist``: each query's list of ``size`` when all of it is expanded."""
     sample = nodes.orderBy(F.xxhash64("node"), "node").limit(ENTRIES).select("node", "vec").collect()
     entry = np.array([r.node for r in sample])
     entry_vec = np.array([r.vec for r in sample], dtype=np.float64)
@@ -235,7 +280,6 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame) -> DataFrame:
                 names=["query", "node"])
 
     vectors = nodes.select("node", "vec")
-    queries = materialise(queries.select("query", "qvec"), "queries")
     few = F.broadcast(queries) if queries.count() <= BROADCAST_QUERIES else queries
     own = queries.join(vectors, F.col("qvec") == F.col("vec")).select("query", "node")
     found = own.unionByName(queries.mapInArrow(enter, "query long, node long")).distinct()
@@ -250,7 +294,7 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame) -> DataFrame:
             # What is in the list is expanded already.
             new = state.withColumn("open", F.lit(False)).unionByName(new)
         state = materialise(new.withColumn("rank", F.row_number().over(best))
-                            .filter(F.col("rank") <= LIST).drop("rank"), "search")
+                            .filter(F.col("rank") <= size).drop("rank"), "search")
         ahead = state.filter("open")
         if ahead.isEmpty():
             return state.select("query", "node", "dist")
@@ -266,8 +310,17 @@ def nearest_rows(df: DataFrame, queries: Column, k: int = 10, vec_id: str = "vec
     """
     rows = usable(df, vec_id, vector)
     nodes = materialise(vertices(rows, k + 1), "vertices")
-    asked = rows.filter(queries).select(F.col("id").alias("query"), F.col("vec").alias("qvec"))
-    found = search(nodes, descend(nodes), asked)
+    asked = materialise(rows.filter(queries).select(
+        F.col("id").alias("query"), F.col("vec").alias("qvec")), "queries")
+    links = materialise(both_ways(descend(nodes)).select(
+        F.col("mid").alias("node"), "other"), "graph-links")
+    reach = materialise(reaches(nodes, asked, k), "reaches")
+    size, total = max(LIST, k + 1), nodes.count()
+    while True:
+        found = search(nodes, links, asked, size)
+        if size >= total or recall(found, reach) >= RECALL:
+            break
+        size *= 2
     best = Window.partitionBy("query").orderBy("dist", "id")
     return (found.join(nodes.select("node", "members"), "node")
             .select("query", "dist", F.explode("members").alias("id")).filter("id <> query")

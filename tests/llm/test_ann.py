@@ -1,6 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from newsgrid.llm import ann
 from newsgrid.llm.ann import STILL, descend, nearest_rows
 from newsgrid.llm.queries import QUERIES
 
@@ -54,6 +55,34 @@ def test_graph_ends_converged(spark):
     assert sum(r.fresh for r in edges) <= STILL * len(edges) and STILL <= 0.01
 
 
+def test_search_looks_at_few_vertices(spark, monkeypatch):
+    """A query's share of the table is small, and its neighbours are found nevertheless."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(5000, 32)).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(c) for c in v], 1, 5, "x") for i, v in enumerate(x)], TYPE)
+    seen, distance = [], ann.distance
+
+    def counted(rows):
+        seen.append(rows.count())
+        return distance(rows)
+
+    monkeypatch.setattr(ann, "distance", counted)
+    got = nearest_rows(df, F.col("id") % 100 == 0).collect()
+    check(got, exact(list(range(5000)), x.astype(np.float64), list(range(0, 5000, 100))), 0.95)
+    assert sum(seen) <= 0.4 * 5000 * 50, sum(seen)
+
+
+def test_lists_follow_the_recall(spark, monkeypatch):
+    """Over a poor graph short lists find too little; they are doubled."""
+    monkeypatch.setattr(ann, "NEIGHBOURS", 6)
+    monkeypatch.setattr(ann, "LIST", 12)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(2000, 24)).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(c) for c in v], 1, 5, "x") for i, v in enumerate(x)], TYPE)
+    got = nearest_rows(df, F.col("id") % 100 == 0).collect()
+    check(got, exact(list(range(2000)), x.astype(np.float64), list(range(0, 2000, 100))), 0.95)
+
+
 def test_copies_and_bad_rows(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, 8)).astype(np.float32)
