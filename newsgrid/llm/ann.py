@@ -1,9 +1,9 @@
 """Nearest neighbours by NN-descent and greedy graph search (operator 5).
 
 The index is a graph over the distinct vectors.  It starts from exact
-neighbours within small blocks of vectors that random hyperplanes put side by
-side, and is improved by joins: the neighbours of each vector, in both
-directions, meet, and pairs that are nearer than what either of them has become
+neighbours within blocks of vectors that share a nearest centre, and is improved
+by joins (``descent.py``): the neighbours of each vector, in both directions,
+meet, and pairs that are nearer than what either of them has become
 its neighbours, until few change.  A search starts at the query's own vector, if
 it is in the index, and at the nearest of a fixed number of entry vectors, and
 expands the best candidates of its list until all of them are expanded.  Lists
@@ -27,13 +27,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from newsgrid.llm.common import delete, materialise, release, written
+from newsgrid.llm.common import materialise
+from newsgrid.llm.descent import Graph, edges, grown, links, matrix
 
 NEIGHBOURS = 64
 REVERSE = 32           # of those that have a vertex as their neighbour, in order of a hash
-ORDERS, PLANES, BLOCK = 4, 6, 128
 STILL = 0.01           # share of fresh edges at which the graph is done
 ENTRIES, START, LIST = 256, 4, 24
 RECALL, MEASURED = 0.95, 200   # queries whose recall is measured
@@ -61,155 +61,14 @@ def vertices(rows: DataFrame, members: int) -> DataFrame:
                                 F.sort_array(F.collect_list("id")).alias("members")))
 
 
-def matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
-
-
-def squares(x: np.ndarray) -> np.ndarray:
-    """Squared distances within each group of ``x`` (groups, rows, components)."""
-    norm = np.einsum("gij,gij->gi", x, x)
-    return np.maximum(norm[:, :, None] + norm[:, None, :] - 2 * x @ x.transpose(0, 2, 1), 0)
-
-
-def first_graph(nodes: DataFrame) -> DataFrame:
-    """``node``, ``other``, ``dist`` within blocks along several random orders."""
-    kind = nodes.schema["vec"].dataType
-    ordered = T.StructType([
-        T.StructField("turn", T.IntegerType()), T.StructField("leaf", T.IntegerType()),
-        T.StructField("place", T.DoubleType()), T.StructField("node", T.LongType()),
-        T.StructField("vec", kind)])
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = matrix(batch.column(1))
-            for turn in range(ORDERS):
-                rng = np.random.default_rng(turn)
-                side = x @ rng.normal(size=(x.shape[1], PLANES + 1))
-                leaf = (side[:, :PLANES] > 0) @ (1 << np.arange(PLANES))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(x), turn), pa.int32()), pa.array(leaf, pa.int32()),
-                     pa.array(side[:, PLANES]), batch.column(0), batch.column(1)],
-                    names=ordered.names)
-
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            turn = batch.column(0).to_numpy()
-            ids, x = batch.column(1).to_numpy(), None
-            cuts = sorted({0, len(ids), *(np.flatnonzero(np.diff(turn)) + 1).tolist()})
-            for a0, b0 in zip(cuts, cuts[1:]):
-                x = matrix(batch.column(2).slice(a0, b0 - a0))
-                for a in range(0, b0 - a0, BLOCK):
-                    part, own = x[a:a + BLOCK], ids[a0:b0][a:a + BLOCK]
-                    if len(part) < 2:
-                        continue
-                    d = squares(part[None])[0]
-                    np.fill_diagonal(d, np.inf)
-                    k = min(NEIGHBOURS, len(part) - 1)
-                    near = np.argpartition(d, k - 1, axis=1)[:, :k]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(own, k)), pa.array(own[near].ravel()),
-                         pa.array(np.sqrt(np.take_along_axis(d, near, axis=1)).ravel())],
-                        names=["node", "other", "dist"])
-
-    found = (nodes.select("node", "vec").mapInArrow(place, ordered)
-             .repartitionByRange("turn", "leaf", "place")
-             .sortWithinPartitions("turn", "leaf", "place", "node").select("turn", "node", "vec")
-             .mapInArrow(pair, "node long, other long, dist double"))
-    return nearest(found.withColumn("fresh", F.lit(True)))
-
-
-def nearest(edges: DataFrame) -> DataFrame:
-    """The nearest NEIGHBOURS of every vertex; an edge known before isn't fresh."""
-    best = Window.partitionBy("node").orderBy("dist", "other")
-    return (edges.repartition("node").groupBy("node", "other")
-            .agg(F.min("dist").alias("dist"), F.bool_and("fresh").alias("fresh"))
-            .withColumn("rank", F.row_number().over(best))
-            .filter(F.col("rank") <= NEIGHBOURS).drop("rank"))
-
-
-def both_ways(graph: DataFrame) -> DataFrame:
-    """``mid``, ``other``, ``fresh``: neighbours, and REVERSE of those of which it is one.
-
-    The nearest of those are mostly its own neighbours, hence any of them.
-    """
-    back = Window.partitionBy("other").orderBy(F.xxhash64("node", "other"), "node")
-    reverse = (graph.withColumn("rank", F.row_number().over(back))
-               .filter(F.col("rank") <= REVERSE)
-               .select(F.col("other").alias("mid"), F.col("node").alias("other"), "fresh"))
-    return (graph.select(F.col("node").alias("mid"), "other", "fresh").unionByName(reverse)
-            .groupBy("mid", "other").agg(F.bool_or("fresh").alias("fresh")))
-
-
-def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a vertex's neighbours that are nearer than what one of them has.
-
-    Rows (``mid``, ``other``, ``fresh``, ``worst``, ``vec``) come sorted by ``mid``.
-    """
-    def pairs(rows: pa.RecordBatch | pa.Table) -> Iterator[pa.RecordBatch]:
-        mid = rows.column(0).to_numpy()
-        ids, fresh = rows.column(1).to_numpy(), rows.column(2).to_numpy(zero_copy_only=False)
-        worst, x = rows.column(3).to_numpy(), matrix(rows.column(4))
-        starts = np.flatnonzero(np.append(True, mid[1:] != mid[:-1]))
-        sizes = np.diff(np.append(starts, len(mid)))
-        for a in range(0, len(starts), 200):
-            n, first = sizes[a:a + 200], starts[a:a + 200]
-            cols = np.arange(n.max())
-            at = np.where(cols < n[:, None], first[:, None] + cols, -1)
-            d = np.sqrt(squares(x[at]))
-            i, j = np.triu_indices(len(cols), 1)
-            u, v, dist = at[:, i], at[:, j], d[:, i, j]
-            good = (u >= 0) & (v >= 0) & (fresh[u] | fresh[v])
-            out = [(good & (dist < worst[s]), s, t) for s, t in ((u, v), (v, u))]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([ids[s[keep]] for keep, s, _ in out])),
-                 pa.array(np.concatenate([ids[t[keep]] for keep, _, t in out])),
-                 pa.array(np.concatenate([dist[keep] for keep, _, _ in out]))],
-                names=["node", "other", "dist"])
-
-    held: pa.Table | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch])
-        if held is not None:
-            table = pa.concat_tables([held, table])
-        table = table.combine_chunks()
-        mid = table.column(0).to_numpy()
-        cut = int(np.searchsorted(mid, mid[-1]))     # the last vertex may go on
-        held = table.slice(cut)
-        if cut:
-            yield from pairs(table.slice(0, cut).combine_chunks().to_batches()[0])
-    if held is not None:
-        yield from pairs(held.combine_chunks().to_batches()[0])
+def grow(nodes: DataFrame) -> Graph:
+    """The neighbour graph in packed rows."""
+    return grown(nodes, NEIGHBOURS, REVERSE, STILL)
 
 
 def descend(nodes: DataFrame) -> DataFrame:
-    """The neighbour graph: ``node``, ``other``, ``dist``, ``fresh``.
-
-    It has no cap on rounds: a fresh edge makes its vertex's list nearer, so there
-    is an end at every size.
-    """
-    graph, path = written(first_graph(nodes), "graph")
-    while True:
-        worst = graph.groupBy("node").agg(
-            F.when(F.count("*") >= NEIGHBOURS, F.max("dist"))
-            .otherwise(F.lit(float("inf"))).alias("worst"))
-        vectors = nodes.select(F.col("node").alias("other"), "vec")
-        rows = (both_ways(graph).join(worst.withColumnRenamed("node", "other"), "other")
-                .join(vectors, "other").select("mid", "other", "fresh", "worst", "vec")
-                .repartition("mid").sortWithinPartitions("mid"))
-        found = rows.mapInArrow(meet, "node long, other long, dist double")
-        last = path
-        graph, path = written(nearest(
-            graph.select("node", "other", "dist", F.lit(False).alias("fresh"))
-            .unionByName(found.withColumn("fresh", F.lit(True)))), "graph")
-        delete(nodes.sparkSession, last)
-        release(nodes.sparkSession)
-        count, fresh = graph.agg(F.count("*"), F.count_if("fresh")).first()
-        if fresh <= STILL * count:
-            return graph
+    """The neighbour graph: ``node``, ``other``, ``dist``, ``fresh``."""
+    return edges(grow(nodes))
 
 
 def distance(rows: DataFrame) -> DataFrame:
@@ -262,7 +121,7 @@ def recall(found: DataFrame, reach: DataFrame) -> float:
     return 1.0 if share is None else share
 
 
-def search(nodes: DataFrame, links: DataFrame, queries: DataFrame, size: int) -> DataFrame:
+def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, size: int) -> DataFrame:
     """``query``, ``node``, ``dist``: each query's list of ``size`` when all of it is expanded."""
     sample = nodes.orderBy(F.xxhash64("node"), "node").limit(ENTRIES).select("node", "vec").collect()
     entry = np.array([r.node for r in sample])
@@ -298,7 +157,7 @@ def search(nodes: DataFrame, links: DataFrame, queries: DataFrame, size: int) ->
         ahead = state.filter("open")
         if ahead.isEmpty():
             return state.select("query", "node", "dist")
-        found = (ahead.join(links, "node").select("query", F.col("other").alias("node")).distinct()
+        found = (ahead.join(graph, "node").select("query", F.explode("others").alias("node")).distinct()
                  .join(known, ["query", "node"], "left_anti"))
 
 
@@ -312,12 +171,11 @@ def nearest_rows(df: DataFrame, queries: Column, k: int = 10, vec_id: str = "vec
     nodes = materialise(vertices(rows, k + 1), "vertices")
     asked = materialise(rows.filter(queries).select(
         F.col("id").alias("query"), F.col("vec").alias("qvec")), "queries")
-    links = materialise(both_ways(descend(nodes)).select(
-        F.col("mid").alias("node"), "other"), "graph-links")
+    graph = materialise(links(grow(nodes)), "graph-links")
     reach = materialise(reaches(nodes, asked, k), "reaches")
     size, total = max(LIST, k + 1), nodes.count()
     while True:
-        found = search(nodes, links, asked, size)
+        found = search(nodes, graph, asked, size)
         if size >= total or recall(found, reach) >= RECALL:
             break
         size *= 2

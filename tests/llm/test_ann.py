@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from newsgrid.llm import ann
+from newsgrid.llm import ann, descent
 from newsgrid.llm.ann import STILL, descend, nearest_rows
 from newsgrid.llm.queries import QUERIES
 
@@ -105,3 +105,44 @@ def test_small_tables(spark):
     one = df.filter("vec_id = 0")
     assert nearest_rows(one, F.col("id") % 100 == 0).collect() == []
     assert nearest_rows(df.limit(0), F.col("id") % 100 == 0).collect() == []
+
+
+def test_graph_is_kept_in_few_rows(spark, monkeypatch):
+    """Lists of neighbours are one row a vertex, not one a link, and are right over several rows a part."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(5000, 16)).astype(np.float32)
+    x[:1500] = x[0] + 0.01 * x[:1500]
+    df = spark.createDataFrame([(i, [float(c) for c in v], 1, 5, "x") for i, v in enumerate(x)], TYPE)
+    rows, materialise = {}, ann.materialise
+
+    def counted(df, label):
+        out = materialise(df, label)
+        rows[label] = out.count()
+        return out
+
+    monkeypatch.setattr(ann, "materialise", counted)
+    got = nearest_rows(df, F.col("id") % 100 == 0).collect()
+    check(got, exact(list(range(5000)), x.astype(np.float64), list(range(0, 5000, 100))), 0.95)
+    assert rows["graph-links"] <= 5000, rows
+
+
+def test_graph_lists_are_the_nearest(spark, monkeypatch):
+    """Parts of several packed rows; distances in the unit of the vectors, of any size."""
+    monkeypatch.setattr(descent, "LEAST_PARTS", 2)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(4500, 12)) * 1e20
+    x[:40] = x[0] * (1 + 1e-3 * rng.normal(size=(40, 12)))
+    nodes = spark.createDataFrame([(i * 7, [float(c) for c in v]) for i, v in enumerate(x)],
+                                  "node long, vec array<double>")
+    got = {}
+    for r in descend(nodes).collect():
+        got.setdefault(r.node, {})[r.other] = r.dist
+    assert len(got) == 4500 and {len(v) for v in got.values()} == {ann.NEIGHBOURS}
+    hits = 0
+    for i in range(0, 4500, 50):
+        d = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+        near = np.argsort(d)[1:11] * 7
+        hits += len(set(near.tolist()) & set(got[i * 7]))
+        assert i * 7 not in got[i * 7]
+        assert all(abs(v - d[o // 7]) <= 1e-3 * d[o // 7] + 1e14 for o, v in got[i * 7].items())
+    assert hits >= 0.97 * 900, hits
