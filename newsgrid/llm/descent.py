@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from itertools import groupby
 from typing import NamedTuple
 
 import numpy as np
@@ -129,27 +130,28 @@ def dealt(kind: int, sender: int, s: np.ndarray, *values: np.ndarray) -> Iterato
                *(v[a:b] for v in values))
 
 
+def by_kind(rows: Iterator[tuple]) -> dict[int, list[tuple]]:
+    """Lists of (sender, a, b, c) by kind."""
+    kinds = defaultdict(list)
+    for _, kind, *row in rows:
+        kinds[kind].append(tuple(row))
+    return kinds
+
+
 def by_part(df: DataFrame, parts: int, step: Callable, schema: str = ROW) -> DataFrame:
-    """``step(part, rows)`` for each part; ``rows`` are lists of (sender, a, b, c) by kind.
+    """``step(part, rows)`` for each part; ``rows`` (part, kind, sender, a, b, c) come by kind and sender.
 
     It gives tuples of packed rows, or record batches.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def groups() -> Iterator[tuple[int, dict]]:
-            last, rows = None, defaultdict(list)
+        def read() -> Iterator[tuple]:
             for batch in batches:
                 keys = [batch.column(i).to_pylist() for i in range(3)]
-                for i, (part, kind, sender) in enumerate(zip(*keys)):
-                    if part != last and rows:
-                        yield last, rows
-                        rows = defaultdict(list)
-                    last = part
-                    rows[kind].append((sender, *(batch.column(j)[i].as_buffer() for j in (5, 6, 7))))
-            if rows:
-                yield last, rows
+                for i, key in enumerate(zip(*keys)):
+                    yield (*key, *(batch.column(j)[i].as_buffer() for j in (5, 6, 7)))
 
         out, size = [], 0
-        for part, rows in groups():
+        for part, rows in groupby(read(), key=lambda row: row[0]):
             for row in step(part, rows):
                 if isinstance(row, pa.RecordBatch):
                     yield row
@@ -306,8 +308,9 @@ def first_found(vectors: DataFrame, parts: int, centres: np.ndarray, k: int) ->
             .mapInArrow(pair, ROW))
 
 
-def merge(part: int, rows: dict, k: int, reverse: int) -> Iterator[tuple]:
+def merge(part: int, rows: Iterator[tuple], k: int, reverse: int) -> Iterator[tuple]:
     """The nearest ``k`` of what a vertex has and what was found; their ends are told."""
+    rows = by_kind(rows)
     found: list[list] = [[] for _ in range(1 + max(r[0] for r in rows[GRAPH]))]
     for _, a, b, c in rows.get(FOUND, ()):
         s, t, d = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32), np.frombuffer(c, np.float32)
@@ -341,13 +344,14 @@ def merge(part: int, rows: dict, k: int, reverse: int) -> Iterator[tuple]:
     yield from dealt(REV, part, v[at], u[at], fresh[at])
 
 
-def push(part: int, rows: dict, k: int, reverse: int, ids: bool = False) -> Iterator[tuple]:
+def push(part: int, rows: Iterator[tuple], k: int, reverse: int, ids: bool = False) -> Iterator[tuple]:
     """Who meets at each vertex with a fresh edge, and the vectors to the parts where they meet.
 
     Neighbours meet, and ``reverse`` of those of which a vertex is one: the nearest
     of those are mostly its own neighbours, hence any of them, in order of a hash.
     With ``ids`` groups are of all vertices, and ids go in place of vectors.
     """
+    rows = by_kind(rows)
     v, u, fresh = (joined(rows.get(REV, ()), i, kind)
                    for i, kind in ((1, np.uint32), (2, np.uint32), (3, np.uint8)))
     wanted = [np.unique(pairs(u >> LOCAL, v, LOCAL))]
@@ -394,18 +398,31 @@ def addresses(rows: list[tuple]) -> np.ndarray:
                            *(np.frombuffer(r[1], np.uint32) + np.uint32(r[0] << LOCAL) for r in rows)])
 
 
-def meet(part: int, rows: dict) -> Iterator[tuple]:
-    """Pairs of a vertex's neighbours that are nearer than what one of them has."""
-    if not rows[GROUP]:
+def meet(part: int, rows: Iterator[tuple]) -> Iterator[tuple]:
+    """Pairs of a vertex's neighbours that are nearer than what one of them has.
+
+    Groups come before the vectors, of which only those of the groups are held.
+    """
+    groups, where, wide = [], np.empty(0, np.uint32), None
+    for _, kind, sender, a, b, c in rows:
+        if kind == GROUP:
+            # Copies, as a view would hold its whole batch.
+            groups.append((np.frombuffer(a, np.uint16).copy(), np.frombuffer(b, np.uint32).copy(),
+                           np.frombuffer(c, np.uint8).copy()))
+            continue
+        if not groups:
+            return
+        if wide is None:
+            where, dim = np.unique(np.concatenate([u for _, u, _ in groups])), len(b) // len(a)
+            # Two columns more, so that a product with (-2 x, norm, 1) is a squared distance.
+            wide, least = np.empty((len(where), dim + 2), np.float32), np.empty(len(where), np.float32)
+        at = np.frombuffer(a, np.uint32) + np.uint32(sender << LOCAL)
+        place = np.minimum(np.searchsorted(where, at), len(where) - 1)
+        met = where[place] == at
+        wide[place[met], :dim] = np.frombuffer(b, np.float32).reshape(-1, dim)[met]
+        least[place[met]] = np.frombuffer(c, np.float32)[met] ** 2
+    if wide is None:
         return
-    where, least = addresses(rows[PUSH]), joined(rows[PUSH], 3, np.float32) ** 2
-    dim = len(rows[PUSH][0][2]) // len(rows[PUSH][0][1])
-    # Two columns more, so that a product with (-2 x, norm, 1) is a squared distance.
-    wide, a = np.empty((len(where), dim + 2), np.float32), 0
-    for _, local, vec, _ in rows.pop(PUSH):
-        x = np.frombuffer(vec, np.float32).reshape(-1, dim)
-        wide[a:a + len(x), :dim] = x
-        a += len(x)
     vec = wide[:, :dim]
     norm = np.einsum("ij,ij->i", vec, vec)
     wide[:, dim], wide[:, dim + 1] = 1, norm
@@ -425,9 +442,8 @@ def meet(part: int, rows: dict) -> Iterator[tuple]:
         good = d < least[s]
         yield from dealt(FOUND, part, where[s[good]], where[t[good]], np.sqrt(d[good]))
 
-    for _, a, b, c in rows[GROUP]:
-        mid, fresh = np.frombuffer(a, np.uint16), np.frombuffer(c, np.uint8)
-        near = np.searchsorted(where, np.frombuffer(b, np.uint32))
+    for mid, others, fresh in groups:
+        near = np.searchsorted(where, others)
         starts = starts_of(mid)
         sizes, news = np.diff(np.append(starts, len(mid))), np.add.reduceat(fresh, starts, dtype=np.int64)
         todo = np.argsort(news, kind="stable")[::-1]
@@ -494,7 +510,8 @@ def grown(nodes: DataFrame, k: int, reverse: int, still: float) -> Graph:
 
 def named(graph: Graph, step: Callable, schema: str) -> DataFrame:
     """``step(rows, ids)`` of each part, where ``ids`` gives the ids of addresses in its lists."""
-    def run(part: int, rows: dict) -> Iterator[pa.RecordBatch]:
+    def run(part: int, rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        rows = by_kind(rows)
         where = addresses(rows[PUSH])
         known = joined(rows[PUSH], 2, np.int64)
         yield from step(rows, lambda at: known[np.searchsorted(where, at)])
